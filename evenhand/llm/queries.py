@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, lengths, rules, secrets
+from evenhand.llm import bpe, crosspoly, lengths, nbsvm, pfair, rules, secrets
 from evenhand.llm.common import table
 
 
@@ -21,12 +22,29 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Target weights of the mixture: source srcN gets 1 + N modulo 5 shares.
+TARGETS = {f"src{n}": 1 + n % 5 for n in range(20)}
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair.mixed(docs, TARGETS)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict:
