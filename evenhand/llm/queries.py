@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, crosspoly, lengths, minhash, nbsvm, pfair, rules, secrets
+from evenhand.llm import bpe, crosspoly, lengths, minhash, nbsvm, pfair, rules, secrets, suffix
 from evenhand.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("component")
 
@@ -48,7 +52,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict:
