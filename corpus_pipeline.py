@@ -1,17 +1,80 @@
-"""A corpus pipeline from the operators of evenhand.llm."""
+"""A corpus pipeline from the operators of evenhand.llm.
+
+Each stage reads what the one before it wrote. Stages keep the columns of documents; the last one returns token digests.
+Empty tables pass through; null texts are scored, kept as documents of their own, have no secrets and no tokens.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenhand.llm import bpe, minhash, nbsvm, pfair, secrets
+from evenhand.llm.common import table
+from evenhand.llm.queries import TARGETS
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents with a lower score go.
+QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    return nbsvm.scored(docs, model, keep=tuple(COLUMNS)).where(F.col("score") >= QUALITY).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the smallest id; of rows that share it, one."""
+    found = minhash.near_duplicates(docs)
+    empty = found.where(F.col("component").isNull()).select("doc_id").distinct()
+    best = found.where(F.col("component").isNotNull() & F.col("kept")).select("doc_id", "component").distinct()
+    keep = best.select("doc_id").union(empty).distinct().select(F.col("doc_id").alias("~id"))
+    if keep.count() <= minhash.BROADCAST_ROWS:
+        keep = F.broadcast(keep)
+    left = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("~id")), "left_semi")
+    # rows that share an id are rare, so only they are shuffled to find repeated ones
+    shared = docs.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("~id")).limit(minhash.BROADCAST_ROWS + 1)
+    n_shared = shared.count()
+    if n_shared > minhash.BROADCAST_ROWS:
+        return left.dropDuplicates(["doc_id", "text"])
+    if n_shared:
+        is_shared = F.col("doc_id").eqNullSafe(F.col("~id"))
+        once = left.join(F.broadcast(shared), is_shared, "left_semi").dropDuplicates(["doc_id", "text"])
+        return left.join(F.broadcast(shared), is_shared, "left_anti").unionByName(once)
+    return left
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are replaced by marks; n_chars follows."""
+    clean = secrets.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture: the files written follow each other slot by slot."""
+    return pfair.in_order(pfair.mixed(docs.select(*COLUMNS), TARGETS)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
+    return bpe.round_trip(docs, keep=("doc_id", "source"))
 
-from evenhand.llm import bpe, secrets
 
-STAGES = []
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("redact", redact), ("mix", mix), ("encode", encode)]
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; between them the rows are written to the shared checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    top = f"{top}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, crosspoly, lengths, minhash, nbsvm, pfair, rules, secrets, suffix
+from evenhand.llm import bpe, crosspoly, lengths, minhash, nbsvm, pfair, rules, secrets, suffix, windows
 from evenhand.llm.common import table
 
 
@@ -51,8 +51,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.duplicate_passages(table(spark, sf_dir, "documents"))
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["x"].cast("string"), s["y"].cast("string")))
+    return found.withColumn("spans", F.array_join(text, ","))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe, op10_compact_windows)}
 
 
 def oracle_sql() -> dict:
