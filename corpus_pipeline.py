@@ -6,14 +6,13 @@ Empty tables pass through; null texts are scored, kept as documents of their own
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.llm import bpe, minhash, nbsvm, pfair, secrets
-from evenhand.llm.common import table
+from evenhand.llm.common import shared_folder, table
 from evenhand.llm.queries import TARGETS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,8 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between them the rows are written to the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    top = f"{top}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")

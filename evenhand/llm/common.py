@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,16 +26,29 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (in tests)."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_folder
+
+
+_own_folder: str | None = None
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the cluster shares.
+    """Cuts the lineage: the rows are written to a new table in the shared folder, and read again from there.
 
-    The folder is spark.checkpoint.dir; a folder of our own is set only where the session has none.
+    Parquet takes a fraction of the room of a checkpoint, and planning knows its size. The tables stay until the folder is
+    cleared, as checkpoints of a failed application would.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/evenhand-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_map(df: DataFrame, text_col: str, keep: list[str], outputs: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
