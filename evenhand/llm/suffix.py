@@ -231,9 +231,10 @@ def _intervals(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray, spread: np.ndarray, pieces: list[bytes], length: int) -> pd.DataFrame:
-    """Rows of a shard's segments: intervals [a, b) of starts that repeat here or in an equal segment (kind 0), and for
-    spread anchors the key of each distinct window (kind 1; its segment and start, known if it repeats already)."""
+def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray, spread: np.ndarray, pieces: list[bytes], length: int, ranges: int = 1) -> pd.DataFrame:
+    """Rows of a shard's segments: intervals [a, b) of starts that repeat here or in an equal segment (kind 0), and of
+    spread anchors a sorted run for each range of keys (kind 1, a is the range): the key of each distinct window, its
+    segment (as a number of ``segments``), its start, and whether it repeats already."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     first = np.cumsum(sizes) - sizes
     count = sizes - length + 1
@@ -247,11 +248,11 @@ def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray,
     twin = shared >= length
     again = np.zeros(len(raw), bool)
     again[order] = twin | np.r_[twin[1:], False]
-    out: dict[str, list] = {c: [] for c in ("kind", "anchor", "digest", "a", "b", "key", "known")}
+    out: dict[str, list] = {c: [] for c in ("kind", "anchor", "digest", "a", "b", "keys", "owners", "starts", "known", "anchors", "digests")}
 
     def put(**row) -> None:
         for c in out:
-            out[c].append(row.get(c, 0))
+            out[c].append(row.get(c, [] if c.endswith("s") or c == "known" else 0))
 
     for s in range(len(pieces)):
         marks = np.ones(count[s], bool) if copies[s] > 1 else again[first[s] : first[s] + count[s]]
@@ -261,10 +262,19 @@ def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray,
         owner = np.searchsorted(first, order, side="right") - 1
         lead = ~twin  # first of each class of equal windows
         known = again[order] | (copies[owner] > 1)
-        for i in np.flatnonzero(lead & spread[owner]):
-            s, p = owner[i], order[i]
-            put(kind=1, anchor=anchor[s], digest=digest[s], a=p - first[s], key=xxhash.xxh3_64_intdigest(raw[p : p + length].tobytes(), seed=9) - 2**63, known=int(known[i]))
-    return pd.DataFrame({"kind": pd.Series(out["kind"], dtype="int32"), **{c: pd.Series(out[c], dtype="int64") for c in ("anchor", "digest", "a", "b", "key")}, "known": pd.Series(out["known"], dtype="int32")})
+        chosen = np.flatnonzero(lead & spread[owner])
+        view = raw.tobytes()
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + length], seed=9) for p in order[chosen].tolist()), np.uint64, len(chosen))
+        by = np.argsort(keys, kind="stable")
+        chosen, keys = chosen[by], keys[by]
+        at = (keys.astype(np.float64) / (2.0**64 / ranges)).astype(np.int64)
+        for r in np.unique(at):
+            here = at == r
+            own = owner[chosen[here]]
+            used, number = np.unique(own, return_inverse=True)
+            put(kind=1, a=int(r), keys=keys[here].view(np.int64), owners=number.astype(np.int64), starts=order[chosen[here]] - first[own], known=known[chosen[here]], anchors=anchor[used], digests=digest[used])
+    lists = {c: pd.Series(out[c], dtype=object) for c in ("keys", "owners", "starts", "known", "anchors", "digests")}
+    return pd.DataFrame({"kind": pd.Series(out["kind"], dtype="int32"), **{c: pd.Series(out[c], dtype="int64") for c in ("anchor", "digest", "a", "b")}, **lists})
 
 
 def merged_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -318,24 +328,31 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGT
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "digest"])
-        out = repeats_in_shard(*(pdf[c].to_numpy() for c in ("anchor", "digest", "copies")), pdf["spread"].to_numpy(bool), pdf["bytes"].tolist(), length)
-        out["run"] = int(pdf["shard"].iloc[0])
-        return out
+        return repeats_in_shard(*(pdf[c].to_numpy() for c in ("anchor", "digest", "copies")), pdf["spread"].to_numpy(bool), pdf["bytes"].tolist(), length, ranges)
 
-    found = cut(pieces.groupBy("shard").applyInPandas(shard, "kind int, anchor long, digest long, a long, b long, key long, known int, run long"))
-    keys = found.where("kind = 1")
-    ranges = max(1, -(-keys.count() // MERGED))
+    spread_keys = distinct.join(many, "anchor").agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-spread_keys // MERGED))
+    kinds = "kind int, anchor long, digest long, a long, b long, keys array<long>, owners array<long>, starts array<long>, known array<boolean>, anchors array<long>, digests array<long>"
+    found = cut(pieces.groupBy("shard").applyInPandas(shard, kinds))
+    runs = found.where("kind = 1").select(F.col("a").alias("range"), "keys", "owners", "starts", "known", "anchors", "digests")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "key"])
-        parts = [p for _, p in pdf.groupby("run", sort=True)]
-        hit = np.concatenate(merged_runs([p["key"].to_numpy() for p in parts])) if parts else np.zeros(0, bool)
-        return pdf[hit & (pdf["known"].to_numpy() == 0)][["anchor", "digest", "a"]]
-
-    by_range = F.floor((F.col("key").cast("double") + 2.0**63) / (2.0**64 / ranges))
-    crossed = keys.withColumn("range", by_range).groupBy("range").applyInPandas(merge, "anchor long, digest long, a long")
+        hits = merged_runs([np.asarray(k).view(np.uint64) for k in pdf["keys"]])
+        got: dict[str, list] = {"anchor": [], "digest": [], "a": [], "b": []}
+        for hit, row in zip(hits, pdf.itertuples(), strict=True):
+            new = hit & ~np.asarray(row.known, bool)
+            owners, starts = np.asarray(row.owners)[new], np.asarray(row.starts)[new]
+            by = np.lexsort((starts, owners))
+            owners, starts = owners[by], starts[by]
+            edge = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(owners) else []
+            for x, y in zip(edge, [*edge[1:], len(owners)], strict=False):
+                for c, v in zip(got, (row.anchors[owners[x]], row.digests[owners[x]], starts[x], starts[y - 1] + 1), strict=True):
+                    got[c].append(v)
+        return pd.DataFrame({c: pd.Series(v, dtype="int64") for c, v in got.items()})
+
+    crossed = runs.groupBy("range").applyInPandas(merge, "anchor long, digest long, a long, b long")
     local = found.where("kind = 0").select("anchor", "digest", "a", "b")
-    verdicts = local.union(crossed.select("anchor", "digest", "a", (F.col("a") + 1).alias("b")))
+    verdicts = local.union(crossed)
     judged = open_.join(verdicts, ["anchor", "digest"]).select("tkey", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     return certain.union(judged)
 
