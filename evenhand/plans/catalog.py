@@ -1,11 +1,424 @@
-"""Queries of the engine with their DuckDB twins."""
+"""Queries of the engine with their DuckDB twins.
+
+The twins say the same in SQL from scratch; both sides round to six places in the output only.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenhand.operators import ensemble, evaluation, hardness, neighbours, sampling
+from evenhand.operators.learners import NearestCentroid, SparkLearner
+from evenhand.sources.frame import canonical, doc_table, embedding_table, imbalanced
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+MEMBERS, SEED = 5, 42
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def flat(df: DataFrame, width: int = 3) -> DataFrame:
+    """features as rounded columns f0, f1, ..."""
+    return df.select(*(c for c in df.columns if c != "features"), *(F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(width)))
+
+
+def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return canonical(rows, "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+
+
+# ---- SQL parts ----
+DOC = "doc AS (SELECT l.doc_id AS row_id, l.toxic AS label, [d.n_chars::DOUBLE, (length(d.text) - length(replace(d.text, ' ', '')))::DOUBLE, l.quality::DOUBLE] AS features FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+EMB = "doc AS (SELECT vec_id AS row_id, label, embedding::DOUBLE[] AS features FROM embeddings)"
+EMB2 = "doc AS (SELECT vec_id AS row_id, (label < 2)::INT AS label, embedding::DOUBLE[] AS features FROM embeddings)"
+LI = "doc AS (SELECT l_orderkey AS row_id, l_returnflag AS label, [l_quantity, l_extendedprice, l_discount, l_tax] AS features FROM lineitem)"
+CELLS = "cells AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS pos FROM doc), ranges AS (SELECT pos, min(v) AS low, max(v) AS high FROM cells GROUP BY pos)"
+OVERLAP = (
+    CELLS + ", scaled AS (SELECT row_id, label, pos, CASE WHEN high > low THEN (v - low) / (high - low) ELSE 0e0 END AS s FROM cells JOIN ranges USING (pos))"
+    ", cent AS (SELECT label, pos, avg(s) AS g FROM scaled GROUP BY label, pos)"
+    ", away AS (SELECT s.row_id, s.label, c.label AS other, sqrt(sum((s.s - c.g) * (s.s - c.g))) AS d FROM scaled s JOIN cent c ON s.pos = c.pos AND s.label <> c.label GROUP BY s.row_id, s.label, c.label)"
+    ", raw AS (SELECT row_id, label, 1 / (1 + min(d)) AS r FROM away GROUP BY row_id, label)"
+    ", hard AS (SELECT row_id, label, CASE WHEN max(r) OVER () > min(r) OVER () THEN (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) ELSE 1e0 / count(*) OVER () END AS complexity FROM raw)"
+)
+COUNTS = "counts AS (SELECT label, count(*) AS n FROM doc GROUP BY label)"
+TARGET = COUNTS + ", tgt AS (SELECT CAST(sum(n) // count(*) AS BIGINT) AS t FROM counts)"
+
+
+def u_sql(purpose: str, key: str) -> str:
+    return f"((('0x' || substr(md5('{SEED}:{purpose}:' || {key}), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)"
+
+
+def knn_sql(k: int) -> str:
+    return f"near AS (SELECT a.row_id AS query_id, b.row_id, a.label AS own, b.label, list_distance(a.features, b.features) AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features), b.row_id) AS rk FROM doc a JOIN doc b ON a.row_id <> b.row_id QUALIFY rk <= {k})"
+
+
+def resample_sql(mu: str, sigma: float = 0.2, k: int = 3, members: int | None = None) -> str:
+    """CTEs that end in ``real`` and ``made``; with members by member_id and their mu."""
+    b, bj = ("member_id, ", "member_id, label") if members else ("", "label")
+    grid = f", grid AS (SELECT i::INT AS member_id, i / {members - 1}e0 AS mu FROM range({members}) r(i))" if members else ""
+    rng = f"greatest(exp(-0.5e0 * pow((complexity - {mu}) / {sigma}e0, 2)) / ({sigma}e0 * sqrt(2 * pi())), 1e-10)"
+    return (
+        f"{TARGET}{grid}, w AS (SELECT {b}h.row_id, h.label, doc.features, {rng} AS weight FROM hard h JOIN doc USING (row_id){' CROSS JOIN grid' if members else ''})"
+        f", ranked AS (SELECT {b}w.row_id, label, features, row_number() OVER (PARTITION BY {bj} ORDER BY -ln({u_sql('under', 'row_id')}) / weight, row_id) AS rk FROM w)"
+        ", real AS (SELECT ranked.* FROM ranked, tgt WHERE rk <= t)"
+        f", short AS (SELECT {b}label, t - count(*) AS missing, least({k}, count(*)) AS kk FROM w, tgt GROUP BY {b}label, t HAVING count(*) < t)"
+        f", slots AS (SELECT {b}label, kk, unnest(range(1, missing + 1)) AS slot FROM short)"
+        f", bl AS (SELECT {b}label, row_id, weight, floor({u_sql('range', 'row_id')} * 64)::INT AS block FROM w)"
+        f", bs AS (SELECT {b}label, block, sum(weight) AS s FROM bl GROUP BY {b}label, block)"
+        f", be AS (SELECT {b}label, block, sum(s) OVER (PARTITION BY {bj} ORDER BY block ROWS UNBOUNDED PRECEDING) AS e FROM bs)"
+        f", bb AS (SELECT {b}label, block, e, lag(e, 1, 0e0) OVER (PARTITION BY {bj} ORDER BY block) AS begin_, max(e) OVER (PARTITION BY {bj}) AS total FROM be)"
+        f", asked AS (SELECT {b}label, slot, kk, max(block) AS block, arg_max(x - begin_, block) AS pos FROM (SELECT {b}label, slot, kk, block, begin_, {u_sql('seed', chr(39) + chr(39) + ' || label || ' + chr(39) + ':' + chr(39) + ' || slot')} * total AS x FROM slots JOIN bb USING ({bj})) WHERE begin_ <= x GROUP BY {b}label, slot, kk)"
+        f", cum AS (SELECT {b}label, block, row_id, sum(weight) OVER (PARTITION BY {bj}, block ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS c FROM bl)"
+        f", st AS (SELECT {b}label, block, row_id, lag(c, 1, 0e0) OVER (PARTITION BY {bj}, block ORDER BY row_id) AS p0 FROM cum)"
+        f", drawn AS (SELECT {b}label, slot, kk, arg_max(row_id, p0) AS seed_row_id FROM asked JOIN st USING ({bj}, block) WHERE p0 <= pos GROUP BY {b}label, slot, kk)"
+        ", cand AS (SELECT a.row_id AS seed_row_id, b.row_id AS neighbor_row_id, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features), a.row_id <> b.row_id, b.row_id) AS rk FROM (SELECT DISTINCT seed_row_id AS row_id FROM drawn) d JOIN doc a USING (row_id) JOIN doc b ON a.label = b.label)"
+        f", made AS (SELECT {', '.join('d.' + c.strip() for c in bj.split(','))}, d.slot, d.seed_row_id, c.neighbor_row_id, alpha, a.features AS fa, z.features AS fb FROM (SELECT *, {u_sql('alpha', 'label || ' + chr(39) + ':' + chr(39) + ' || slot')} AS alpha, floor({u_sql('nbr', 'label || ' + chr(39) + ':' + chr(39) + ' || slot')} * kk) + 1 AS pick FROM drawn) d JOIN cand c ON c.seed_row_id = d.seed_row_id AND c.rk = d.pick JOIN doc a ON a.row_id = d.seed_row_id JOIN doc z ON z.row_id = c.neighbor_row_id)"
+    )
+
+
+def columns_sql(width: int, source: str) -> str:
+    return ", ".join((f"round(fa[{i + 1}] + alpha * (fb[{i + 1}] - fa[{i + 1}]), 6) AS f{i}" if source == "made" else f"round(features[{i + 1}], 6) AS f{i}") for i in range(width))
+
+
+def balanced_sql(b: str = "", width: int = 3) -> str:
+    return (
+        f"SELECT {b}label, row_id, NULL::BIGINT AS slot, false AS is_synthetic, NULL::BIGINT AS seed_row_id, NULL::BIGINT AS neighbor_row_id, {columns_sql(width, 'real')} FROM real"
+        f" UNION ALL SELECT {b}label, NULL, slot, true, seed_row_id, neighbor_row_id, {columns_sql(width, 'made')} FROM made"
+    )
+
+
+def nc_sql(train: str, rows: str, b: str = "") -> str:
+    """``proba``: p of the nearest-centroid learner fitted on ``train`` (features) for ``rows``."""
+    on = "USING (pos)"
+    return (
+        f"tc AS (SELECT {b}label AS class, pos, avg(v) AS g FROM (SELECT {b}label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM {train}) GROUP BY {b}label, pos)"
+        f", rc AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM {rows})"
+        f", sc AS (SELECT {b}row_id, label, class, 1 / (1 + sqrt(sum((v - g) * (v - g)))) AS s FROM rc JOIN tc {on} GROUP BY {b}row_id, label, class)"
+        f", proba AS (SELECT {b}row_id, label, class, s / sum(s) OVER (PARTITION BY {b}row_id) AS p FROM sc)"
+    )
+
+
+def bags_sql() -> str:
+    return f"WITH {DOC}, {OVERLAP}, {resample_sql('mu', k=5, members=MEMBERS)}, bag AS (SELECT member_id, label, features FROM real UNION ALL SELECT member_id, label, list_transform(range(1, len(fa) + 1), lambda i: fa[i] + alpha * (fb[i] - fa[i])) FROM made)"
+
+
+# ---- classes and targets ----
+@query("class_counts", f"WITH {DOC}, {COUNTS} SELECT label, n FROM counts")
+def class_counts(spark, sf):
+    return evaluation.class_counts(doc_table(spark, sf))
+
+
+@query("class_ratio", f"WITH {DOC}, {COUNTS} SELECT round(max(n) / min(n)::DOUBLE, 6) AS ratio FROM counts")
+def class_ratio(spark, sf):
+    return rounded(evaluation.class_counts(doc_table(spark, sf)).agg((F.max("n") / F.min("n")).alias("ratio")), "ratio")
+
+
+for _name, _sql in (("mean", "sum(n) // count(*)"), ("median", "floor(quantile_cont(n, 0.5))"), ("max", "max(n)"), ("min", "min(n)")):
+
+    @query(f"target_{_name}", f"WITH {EMB}, {COUNTS} SELECT CAST({_sql} AS BIGINT) AS target FROM counts")
+    def target(spark, sf, strategy=_name):
+        return sampling.target_size(evaluation.class_counts(embedding_table(spark, sf)), strategy)
+
+
+@query("class_info", f"WITH {DOC}, {TARGET} SELECT label, n, t AS target, (SELECT count(*) FROM counts) AS n_classes FROM counts, tgt")
+def class_info(spark, sf):
+    return sampling.class_info(doc_table(spark, sf))
+
+
+# ---- features ----
+@query("minmax_features", f"WITH {LI}, {CELLS} SELECT CAST(pos AS INT) AS pos, low, high FROM ranges")
+def minmax_features(spark, sf):
+    return hardness.feature_ranges(lineitems(spark, sf))
+
+
+@query("class_centroids", f"WITH {LI}, {CELLS} SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 4) AS m FROM cells GROUP BY label, pos")
+def class_centroids(spark, sf):
+    return hardness.centroids(lineitems(spark, sf)).select("label", F.posexplode("centroid").alias("pos", "m")).withColumn("m", F.round("m", 4))
+
+
+# ---- hardness ----
+def hard(kind: str, table=doc_table, **options):
+    return lambda spark, sf: rounded(hardness.REGISTRY[kind](table(spark, sf), **options), "complexity")
+
+
+HARD = "SELECT row_id, label, round(complexity, 6) AS complexity FROM "
+query("hardness_overlap", f"WITH {DOC}, {OVERLAP} {HARD} hard")(hard("overlap"))
+query("hardness_overlap_multiclass", f"WITH {EMB}, {OVERLAP} {HARD} hard")(hard("overlap", embedding_table))
+query("hardness_neighborhood", f"WITH {EMB}, {knn_sql(5)} SELECT query_id AS row_id, own AS label, round(avg((own <> label)::INT), 6) AS complexity FROM near GROUP BY query_id, own")(hard("neighborhood", embedding_table))
+query("hardness_class_balance", f"WITH {EMB}, {COUNTS} SELECT row_id, label, round(1e0 / (SELECT count(*) FROM counts) - n / (SELECT sum(n) FROM counts)::DOUBLE, 6) AS complexity FROM doc JOIN counts USING (label)")(hard("class_balance", embedding_table))
+query("hardness_minority_value", f"WITH {EMB}, {COUNTS} SELECT row_id, label, round(1 - n / (SELECT max(n) FROM counts)::DOUBLE, 6) AS complexity FROM doc JOIN counts USING (label)")(hard("minority_value", embedding_table))
+query("hardness_n2", f"WITH {EMB2}, d AS (SELECT a.row_id, a.label, min(list_distance(a.features, b.features)) FILTER (a.label = b.label) AS f, min(list_distance(a.features, b.features)) FILTER (a.label <> b.label) AS e FROM doc a JOIN doc b ON a.row_id <> b.row_id GROUP BY a.row_id, a.label) SELECT row_id, label, round(coalesce(f / nullif(e, 0) / (1 + f / nullif(e, 0)), 1), 6) AS complexity FROM d")(hard("n2", lambda s, d: embedding_table(s, d, True)))
+query("hardness_error_rate_tree")(lambda spark, sf: hardness.error_rate(doc_table(spark, sf), SparkLearner("tree"), 3))
+
+
+@query("knn_topk", f"WITH {EMB}, {knn_sql(5)} SELECT query_id, CAST(rk AS INT) AS rank, row_id, round(d * d, 6) AS d2, label FROM near")
+def knn_topk(spark, sf):
+    rows = embedding_table(spark, sf)
+    return rounded(neighbours.nearest(rows, rows, 5), "d2")
+
+
+FOLDS = 3
+FOLD_SQL = (
+    f"{COUNTS}, firsts AS (SELECT label, min(row_id) AS f FROM doc GROUP BY label), offs AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM counts JOIN firsts USING (label))"
+    f", places AS (SELECT label, fold, count(*) AS c FROM (SELECT label, unnest(range(o::BIGINT, (o + n)::BIGINT)) % {FOLDS} AS fold FROM offs) GROUP BY label, fold)"
+    ", ends AS (SELECT label, fold, sum(c) OVER (PARTITION BY label ORDER BY fold) AS e FROM places)"
+    ", numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS rk FROM doc)"
+    ", folded AS (SELECT row_id, m.label, features, min(fold) AS fold FROM numbered m JOIN ends USING (label) WHERE rk <= e GROUP BY row_id, m.label, features)"
+)
+
+
+@query("stratified_folds", f"WITH {DOC}, {FOLD_SQL} SELECT row_id, label, CAST(fold AS INT) AS fold FROM folded")
+def stratified_folds(spark, sf):
+    return evaluation.stratified_folds(doc_table(spark, sf), FOLDS)
+
+
+@query(
+    "hardness_error_rate_nc",
+    f"WITH {DOC}, {FOLD_SQL}, cells AS (SELECT row_id, label, fold, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM folded), fs AS (SELECT DISTINCT fold AS held FROM folded)"
+    ", tc AS (SELECT held, label AS class, pos, avg(v) AS g FROM cells JOIN fs ON fold <> held GROUP BY held, label, pos)"
+    ", sc AS (SELECT row_id, label, class, 1 / (1 + sqrt(sum((v - g) * (v - g)))) AS s FROM cells JOIN tc ON cells.pos = tc.pos AND held = fold GROUP BY row_id, label, class)"
+    ", pr AS (SELECT row_id, label, class, s / sum(s) OVER (PARTITION BY row_id) AS p FROM sc) SELECT row_id, label, round(1 - p, 6) AS complexity FROM pr WHERE class = label",
+)
+def hardness_error_rate_nc(spark, sf):
+    return rounded(hardness.error_rate(doc_table(spark, sf), NearestCentroid(), FOLDS), "complexity")
+
+
+@query("hardness_statistics", f"WITH {DOC}, {OVERLAP} SELECT label, round(avg(complexity), 6) AS mean, round(stddev_pop(complexity), 6) AS std, round(min(complexity), 6) AS min, round(max(complexity), 6) AS max, round(quantile_cont(complexity, 0.5), 6) AS median FROM hard GROUP BY ROLLUP (label)")
+def hardness_statistics(spark, sf):
+    return rounded(evaluation.hardness_statistics(hardness.overlap(doc_table(spark, sf))), "mean", "std", "min", "max", "median")
+
+
+# ---- weights and resampling ----
+@query("gaussian_weights", f"WITH {DOC}, {OVERLAP}, w AS (SELECT row_id, label, greatest(exp(-0.5e0 * pow((complexity - 0.5e0) / 0.2e0, 2)) / (0.2e0 * sqrt(2 * pi())), 1e-10) AS weight FROM hard) SELECT row_id, label, round(weight, 6) AS weight, round(weight / sum(weight) OVER (PARTITION BY label), 6) AS p FROM w")
+def gaussian_weights(spark, sf):
+    return rounded(sampling.with_weights(hardness.overlap(doc_table(spark, sf)), 0.5, 0.2).select("row_id", "label", "weight", "p"), "weight", "p")
+
+
+@query("undersample_weighted", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, row_id FROM real")
+def undersample_weighted(spark, sf):
+    docs = doc_table(spark, sf)
+    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    return sampling.undersample(weighted, sampling.class_info(docs), SEED).select("label", "row_id")
+
+
+@query("seed_lookup", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, slot, seed_row_id FROM drawn")
+def seed_lookup(spark, sf):
+    docs = doc_table(spark, sf)
+    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    short = sampling.class_info(docs).where("n < target")
+    slots = short.select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n"))).alias("slot"))
+    return sampling.seeds(weighted, slots, SEED)
+
+
+@query("oversample_synthetic", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, slot, seed_row_id, neighbor_row_id, round(alpha, 6) AS alpha, {columns_sql(3, 'made')} FROM made")
+def oversample_synthetic(spark, sf):
+    docs = doc_table(spark, sf)
+    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    return rounded(flat(sampling.oversample(weighted, sampling.class_info(docs), 3, SEED)), "alpha")
+
+
+for _name, _mu in (("easy", 0.0), ("mid", 0.5), ("hard", 1.0)):
+
+    @query(f"resample_{_name}", f"WITH {DOC}, {OVERLAP}, {resample_sql(f'{_mu}e0')} {balanced_sql()}")
+    def resample(spark, sf, mu=_mu):
+        return flat(sampling.resample(doc_table(spark, sf), mu, seed=SEED))
+
+
+@query("resample_multiclass", f"WITH {EMB}, {OVERLAP}, {resample_sql('0.5e0')} {balanced_sql('', 4)}")
+def resample_multiclass(spark, sf):
+    return flat(sampling.resample(embedding_table(spark, sf), 0.5, seed=SEED), 4)
+
+
+@query("shuffle_rank", f"WITH {DOC} SELECT row_id, round({u_sql('ord', 'row_id')}, 9) AS ord FROM doc")
+def shuffle_rank(spark, sf):
+    return sampling.shuffled(doc_table(spark, sf), SEED).select("row_id", F.round("ord", 9).alias("ord"))
+
+
+# ---- ensemble ----
+@query("mu_grid", f"SELECT i::INT AS member_id, round(i / {MEMBERS - 1}e0, 6) AS mu FROM range({MEMBERS}) r(i)")
+def mu_grid(spark, sf):
+    return rounded(ensemble.mu_grid(spark, MEMBERS), "mu")
+
+
+@query("mu_distribution", f"SELECT round(avg(mu), 6) AS mean, round(stddev_pop(mu), 6) AS std, min(mu) AS min, max(mu) AS max, count(*) AS n_members FROM (SELECT i / {MEMBERS - 1}e0 AS mu FROM range({MEMBERS}) r(i))")
+def mu_distribution(spark, sf):
+    return rounded(ensemble.mu_distribution(ensemble.mu_grid(spark, MEMBERS)), "mean", "std")
+
+
+def fitted(spark, sf, learner=None, **options):
+    docs = doc_table(spark, sf)
+    return docs, ensemble.Ensemble(members=MEMBERS, seed=SEED, learner=learner or NearestCentroid(), **options).fit(docs)
+
+
+@query("ensemble_bags", f"{bags_sql()} {balanced_sql('member_id, ')}")
+def ensemble_bags(spark, sf):
+    return flat(ensemble.bags(doc_table(spark, sf), MEMBERS, seed=SEED))
+
+
+@query("bag_class_counts", f"{bags_sql()} SELECT member_id, label, count(*) AS n FROM bag GROUP BY member_id, label")
+def bag_class_counts(spark, sf):
+    return ensemble.bags(doc_table(spark, sf), MEMBERS, seed=SEED).groupBy("member_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ensemble_diversity", f"{bags_sql()}, r AS (SELECT DISTINCT member_id, list_transform(features, lambda x: round(x, 6)) AS f FROM bag), z AS (SELECT member_id, count(*) AS n FROM r GROUP BY member_id), c AS (SELECT a.member_id AS i, b.member_id AS j, count(*) AS c FROM r a JOIN r b ON a.f = b.f AND a.member_id < b.member_id GROUP BY i, j) SELECT round(avg(1 - coalesce(c, 0) / (x.n + y.n - coalesce(c, 0) + 1e-10)), 6) AS diversity FROM z x JOIN z y ON x.member_id < y.member_id LEFT JOIN c ON i = x.member_id AND j = y.member_id")
+def ensemble_diversity(spark, sf):
+    made = ensemble.bags(doc_table(spark, sf), MEMBERS, seed=SEED).withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+    return rounded(ensemble.diversity(made), "diversity")
+
+
+PROBA = f"{bags_sql()}, {nc_sql('bag', 'doc', 'member_id, ')}"
+SOFT = f"{PROBA}, m AS (SELECT row_id, label, class, sum(p) / {MEMBERS} AS m FROM proba GROUP BY row_id, label, class), q AS (SELECT row_id, label, class, m / (sum(m) OVER (PARTITION BY row_id) + 1e-10) AS p FROM m)"
+SOFT_PRED = f"{SOFT}, pred AS (SELECT row_id, label, class AS pred, p FROM q QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) = 1)"
+
+
+@query("ensemble_proba_nc", f"{SOFT} SELECT row_id, label, class, round(p, 6) AS p FROM q")
+def ensemble_proba_nc(spark, sf):
+    docs, model = fitted(spark, sf)
+    return rounded(model.predict_proba(docs), "p").select("row_id", "label", "class", "p")
+
+
+@query("ensemble_soft_nc", f"{SOFT_PRED} SELECT row_id, label, pred FROM pred")
+def ensemble_soft_nc(spark, sf):
+    docs, model = fitted(spark, sf)
+    return model.predict(docs)
+
+
+@query("ensemble_hard_nc", f"{PROBA}, v AS (SELECT member_id, row_id, label, class FROM proba QUALIFY row_number() OVER (PARTITION BY member_id, row_id ORDER BY p DESC, class) = 1), t AS (SELECT row_id, label, class, count(*) AS n FROM v GROUP BY row_id, label, class) SELECT row_id, label, class AS pred FROM t QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, class) = 1")
+def ensemble_hard_nc(spark, sf):
+    docs, model = fitted(spark, sf, voting="hard")
+    return model.predict(docs)
+
+
+@query("ensemble_soft_tree")
+def ensemble_soft_tree(spark, sf):
+    docs, model = fitted(spark, sf, SparkLearner("tree", SEED))
+    return model.predict(docs)
+
+
+# ---- evaluation ----
+@query("stratified_split", f"WITH {DOC}, {COUNTS} SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {u_sql('split', 'row_id')}, row_id) <= floor(n * 0.3e0 + 0.5e0) AS is_test FROM doc JOIN counts USING (label)")
+def stratified_split(spark, sf):
+    return evaluation.stratified_split(doc_table(spark, sf), 0.3, SEED)
+
+
+NC = f"WITH {DOC}, {nc_sql('doc', 'doc')}, pred AS (SELECT row_id, label, class AS pred FROM proba QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) = 1)"
+
+
+def nc_predictions(spark, sf):
+    docs = doc_table(spark, sf)
+    return ensemble.best_class(NearestCentroid().fit(docs).probabilities(docs))
+
+
+CELL = "SELECT count(*) FILTER (label <> 1 AND pred <> 1) AS tn, count(*) FILTER (label <> 1 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred <> 1) AS fn, count(*) FILTER (label = 1 AND pred = 1) AS tp FROM pred"
+EACH = "each AS (SELECT c AS label, CASE WHEN sum(p) > 0 THEN sum(h) / sum(p)::DOUBLE ELSE 0e0 END AS precision, CASE WHEN sum(t) > 0 THEN sum(h) / sum(t)::DOUBLE ELSE 0e0 END AS recall, CASE WHEN sum(t) + sum(p) > 0 THEN 2 * sum(h) / (sum(t) + sum(p))::DOUBLE ELSE 0e0 END AS f1, CAST(sum(t) AS BIGINT) AS support FROM (SELECT label AS c, 1 AS t, 0 AS p, (label = pred)::INT AS h FROM pred UNION ALL SELECT pred, 0, 1, 0 FROM pred) GROUP BY c)"
+
+
+@query("confusion_matrix", f"{NC} SELECT label, pred, count(*) AS n FROM pred GROUP BY label, pred")
+def confusion_matrix(spark, sf):
+    return evaluation.confusion(nc_predictions(spark, sf))
+
+
+@query("binary_metrics", f"{NC}, c AS ({CELL}) SELECT tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp)::DOUBLE, 6) AS accuracy, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0e0 END, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0e0 END, 6) AS precision, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0e0 END, 6) AS f1 FROM c")
+def binary_metrics(spark, sf):
+    return rounded(evaluation.binary_metrics(nc_predictions(spark, sf)), "accuracy", "recall", "precision", "f1")
+
+
+@query("weighted_f1", f"{NC}, {EACH} SELECT round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM each")
+def weighted_f1(spark, sf):
+    return rounded(evaluation.weighted_f1(nc_predictions(spark, sf)), "weighted_f1")
+
+
+@query("classification_report", f"{NC}, {EACH}, a AS (SELECT avg((label = pred)::INT) AS h, count(*) AS n FROM pred), r AS (SELECT label::VARCHAR AS label, precision, recall, f1, support FROM each UNION ALL SELECT 'accuracy', h, h, h, n FROM a UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM each UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM each) SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM r")
+def classification_report(spark, sf):
+    return rounded(evaluation.report(nc_predictions(spark, sf)), "precision", "recall", "f1")
+
+
+@query("roc_auc", f"WITH {DOC}, {OVERLAP}, g AS (SELECT complexity AS s, sum(label) AS p, sum(1 - label) AS n FROM hard GROUP BY complexity), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM g) SELECT round(sum(p * (under + n / 2e0)) / (sum(p) * sum(n)), 6) AS auc FROM r")
+def roc_auc(spark, sf):
+    return rounded(evaluation.roc_auc(hardness.overlap(doc_table(spark, sf)).withColumnRenamed("complexity", "score")), "auc")
+
+
+def sweep(spark, sf):
+    """mu and binary F1 of the nearest-centroid learner fitted on each member's bag, scored on all rows."""
+    docs, model = fitted(spark, sf)
+    pred = ensemble.best_class(model.probabilities(docs), "p", "member_id")
+    yes, said = F.col("label") == 1, F.col("pred") == 1
+    f1 = 2 * F.sum((yes & said).cast("int")) / (F.sum(yes.cast("int")) + F.sum(said.cast("int")))
+    return pred.groupBy("member_id").agg(F.coalesce(f1, F.lit(0.0)).alias("f1")).join(F.broadcast(ensemble.mu_grid(spark, MEMBERS)), "member_id")
+
+
+SWEEP = f"{PROBA}, v AS (SELECT member_id, row_id, label, class AS pred FROM proba QUALIFY row_number() OVER (PARTITION BY member_id, row_id ORDER BY p DESC, class) = 1), s AS (SELECT member_id, member_id / {MEMBERS - 1}e0 AS mu, 2 * sum((label = 1 AND pred = 1)::INT) / nullif(sum((label = 1)::INT) + sum((pred = 1)::INT), 0)::DOUBLE AS f1 FROM v GROUP BY member_id)"
+
+
+@query("mu_sweep", f"{SWEEP} SELECT member_id, round(coalesce(f1, 0), 6) AS f1, mu FROM s")
+def mu_sweep(spark, sf):
+    return rounded(sweep(spark, sf), "f1")
+
+
+@query("best_mu", f"{SWEEP} SELECT round(coalesce(f1, 0), 6) AS f1, mu FROM s ORDER BY 1 DESC, mu LIMIT 1")
+def best_mu(spark, sf):
+    return rounded(sweep(spark, sf), "f1").orderBy(F.desc("f1"), "mu").limit(1).select("f1", "mu")
+
+
+@query("compare_configurations")
+def compare_configurations(spark, sf):
+    docs = doc_table(spark, sf).persist()
+    return ensemble.compare_configurations(docs, MEMBERS, folds=2, learner=NearestCentroid())
+
+
+@query("compare_learners")
+def compare_learners(spark, sf):
+    """Weighted F1 over folds of tree, forest, bagging and the ensemble."""
+    docs = doc_table(spark, sf).persist()
+
+    def alone(learner):
+        return lambda train, test: ensemble.best_class(learner.fit(train).probabilities(test))
+
+    methods = {"tree": alone(SparkLearner("tree")), "forest": alone(SparkLearner("forest")), "bagging": alone(SparkLearner("bagging"))}
+    methods["ensemble"] = lambda train, test: ensemble.Ensemble(members=3, learner=SparkLearner("tree")).fit(train).predict(test)
+    out = None
+    for name, method in methods.items():
+        part = ensemble.cross_validated(docs, method, 2).withColumn("name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return evaluation.summary(out, "name")
+
+
+@query("members_sweep")
+def members_sweep(spark, sf):
+    """Weighted F1 on held-out rows by the number of members, and the spread of mu."""
+    docs = doc_table(spark, sf)
+    split = docs.join(evaluation.stratified_split(docs), ["row_id", "label"]).persist()
+    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+    out = None
+    for n in (3, 5, 10):
+        pred = ensemble.Ensemble(members=n, learner=NearestCentroid()).fit(train).predict(test)
+        part = evaluation.weighted_f1(pred).crossJoin(ensemble.mu_distribution(ensemble.mu_grid(spark, n)).select(F.col("std").alias("mu_std"))).withColumn("members", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("generated_imbalance")
+def generated_imbalance(spark, sf):
+    return evaluation.class_counts(imbalanced(spark, 2000, weights=(0.95, 0.05)))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

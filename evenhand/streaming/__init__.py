@@ -1 +1,10 @@
-"""streaming of the engine."""
+"""Scoring of streams with a fitted member: a row transform without aggregation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def score_stream(model, rows: DataFrame) -> DataFrame:
+    """rows (a stream or not) with ``probability``; model is a learner's SparkModel."""
+    return model.scored(rows)
