@@ -31,7 +31,7 @@ def bags(df: DataFrame, members: int = 10, sigma: float = 0.2, k: int = 5, hardn
 
     Members share their random numbers, so that mu alone tells them apart.
     """
-    hard = df if "complexity" in df.columns else with_complexity(df, hardness)
+    hard = df if "complexity" in df.columns else with_complexity(df, hardness).persist()
     spread = hard.crossJoin(F.broadcast(mu_grid(df.sparkSession, members)))
     weighted = with_weights(spread, F.col("mu"), sigma, "member_id")
     return resample_weighted(weighted, class_info(df, strategy).select("label", "target"), k, seed, ("member_id",))
@@ -98,9 +98,9 @@ class Ensemble:
 
     def fit(self, df: DataFrame) -> EnsembleModel:
         made = bags(df, self.members, self.sigma, self.k, self.hardness, self.strategy, self.seed)
+        made = made.persist()
         if isinstance(self.learner, NearestCentroid):
             return EnsembleModel(self, made, self.learner.fit(made, "member_id"))
-        made = made.persist()
         with ThreadPool(self.parallelism) as pool:  # each thread submits Spark jobs
             models = pool.map(lambda i: self.learner.fit(made.where(F.col("member_id") == i)), range(self.members))
         return EnsembleModel(self, made, models)

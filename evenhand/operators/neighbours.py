@@ -25,13 +25,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     group = F.concat_ws(":", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
     left = queries.select(group.alias("g"), block(a).alias("x"), every(b).alias("y"), "row_id", "features")
-    right = rows.select(group.alias("g"), every(a).alias("x"), block(b).alias("y"), "row_id", "features")
+    right = rows.select(group.alias("h"), every(a).alias("u"), block(b).alias("v"), F.col("row_id").alias("rid"), F.col("features").alias("rf"))
 
     def top(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row_id": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
         if not len(q) or not len(r):
             return empty
-        r = r.sort_values("row_id")
+        r = r.rename(columns={"rid": "row_id", "rf": "features"}).sort_values("row_id")
         x, ids = np.array(r["features"].tolist(), float), r["row_id"].to_numpy()
         got = []
         for begin in range(0, len(q), 256):
@@ -53,7 +53,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None =
             got.append(f.groupby("query_id", sort=False).head(k)[["query_id", "row_id", "d2"]])
         return pd.concat(got)
 
-    found = left.groupBy("g", "x", "y").cogroup(right.groupBy("g", "x", "y")).applyInPandas(top, "query_id long, row_id long, d2 double")
+    found = left.groupBy("g", "x", "y").cogroup(right.groupBy("h", "u", "v")).applyInPandas(top, "query_id long, row_id long, d2 double")
     order = Window.partitionBy("query_id").orderBy("d2", F.col("query_id") != F.col("row_id"), "row_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(rows.select("row_id", F.col("label")), "row_id").select("query_id", "rank", "row_id", "d2", "label")

@@ -83,7 +83,7 @@ def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets.select("label", "target")), "label")
     short = counts.where(F.col("n") < F.col("target"))
     slots = short.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n"))).alias("slot"))
-    drawn = seeds(df.join(F.broadcast(short.select(*keys)), keys), slots, seed, by)
+    drawn = seeds(df.join(F.broadcast(short.select(*keys)), keys), slots, seed, by).persist()  # read three times
     points = df.select("row_id", "label", "features").dropDuplicates(["row_id"]).join(F.broadcast(short.select("label").distinct()), "label", "left_semi")
     chosen = drawn.select(F.col("seed_row_id").alias("row_id")).distinct().join(points, "row_id")
     near = nearest(chosen, points, k, by=["label"], exclude_self=False).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id"))).alias("near"))
@@ -107,7 +107,7 @@ def resample_weighted(df: DataFrame, targets: DataFrame, k: int = 3, seed: int =
 
 def resample(df: DataFrame, mu: float = 0.5, sigma: float = 0.2, k: int = 3, hardness="overlap", strategy: str = "auto", seed: int = 42) -> DataFrame:
     """Every class at the target size, easy rows preferred for mu near 0 and hard ones for mu near 1."""
-    hard = df if "complexity" in df.columns else with_complexity(df, hardness)
+    hard = df if "complexity" in df.columns else with_complexity(df, hardness).persist()
     return resample_weighted(with_weights(hard, mu, sigma), class_info(df, strategy).select("label", "target"), k, seed)
 
 
