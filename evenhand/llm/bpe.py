@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from evenhand.llm.common import field, text_map
 
-#: Matches whose ids are remembered in each worker, and the longest of them; bounds the memory that this takes.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
+#: Matches whose ids are remembered in each worker (twice as many at most), and the longest of them: bounds on memory.
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 32
+#: Bytes of a match up to which a bucket is one integer with a bit for each position.
+SHORT = 64
 
 
 class RankQueue:
@@ -74,7 +76,10 @@ class Encoder:
         self.decimal = [str(i) for i in range(self.size)]
         self.split = regex.compile(pattern)
         self.queue = RankQueue(self.size)
+        self.word_of = [r // self.queue.width for r in range(self.size)]
+        self.bit_of = [1 << r % self.queue.width for r in range(self.size)]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one match."""
@@ -83,6 +88,8 @@ class Encoder:
         if whole is not None:
             return (whole,)
         n = len(piece)
+        if n <= SHORT:
+            return self.merge_short(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n  # rank of the pair that begins here now
         get, push, pop = ranks.get, queue.push, queue.pop
@@ -123,16 +130,77 @@ class Encoder:
             i = after[i]
         return tuple(ids)
 
+    def merge_short(self, piece: bytes) -> tuple[int, ...]:
+        """The same for a short match: buckets are integers, whose first set bit is the leftmost position."""
+        get, words, width, word_of, bit_of = self.ranks.get, self.queue.words, self.queue.width, self.word_of, self.bit_of
+        n, top, buckets = len(piece), 0, {}
+        after, before, pair = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
+        for i in range(n - 1):
+            rank = get(piece[i : i + 2])
+            if rank is not None:
+                pair[i] = rank
+                if rank in buckets:
+                    buckets[rank] |= 1 << i
+                else:
+                    buckets[rank] = 1 << i
+                    words[word_of[rank]] |= bit_of[rank]
+                    top |= 1 << word_of[rank]
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word * width + low.bit_length() - 1
+            bucket = buckets[rank]
+            first = bucket & -bucket
+            if bucket == first:
+                del buckets[rank]
+                words[word] = bits ^ low
+                if bits == low:
+                    top &= top - 1
+            else:
+                buckets[rank] = bucket ^ first
+            i = first.bit_length() - 1
+            if pair[i] != rank:
+                continue
+            j = after[i]
+            k = after[j]
+            after[i] = k
+            before[k] = i
+            pair[j] = pair[i] = -1
+            h = before[i]
+            for a, b in ((i, after[k]), (h, k)) if k < n else ((h, k),):
+                if a < 0:
+                    continue
+                rank = get(piece[a:b])
+                if rank is None:
+                    pair[a] = -1
+                elif pair[a] != rank:
+                    pair[a] = rank
+                    if rank in buckets:
+                        buckets[rank] |= 1 << a
+                    else:
+                        buckets[rank] = 1 << a
+                        words[word_of[rank]] |= bit_of[rank]
+                        top |= 1 << word_of[rank]
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.ranks[piece[i : after[i]]])
+            i = after[i]
+        return tuple(ids)
+
     def encode(self, text: str | None) -> list[int]:
         known, ids = self.known, []
         add = ids.extend
         for match in self.split.findall(text or ""):
             got = known.get(match)
             if got is None:
-                got = self.merge(match.encode("utf-8", "replace"))
+                got = self.older.get(match)
+                if got is None:
+                    got = self.merge(match.encode("utf-8", "replace"))
                 if len(match) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # what was used since the last change of generations stays known
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[match] = got
             add(got)
         return ids
