@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 ROWS_AT_ONCE = 512
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
+#: The session setting with which Spark removes the shuffle files of a query at its end.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +46,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written to a new table in the shared folder, and read again from there.
 
     Parquet takes a fraction of the room of a checkpoint, and planning knows its size. The tables stay until the folder is
-    cleared, as checkpoints of a failed application would.
+    cleared, as checkpoints of a failed application would. Shuffle files go once the table is written, as nothing reads
+    them again.
     """
-    path = f"{shared_folder(df.sparkSession)}/evenhand-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/evenhand-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_map(df: DataFrame, text_col: str, keep: list[str], outputs: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
