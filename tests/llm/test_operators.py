@@ -167,6 +167,20 @@ def test_compact_windows(docs):
         assert {(int(c), int(x), int(y)) for e, c, x, y in zip(doc, centre, left, right) if e == d} == want
 
 
+@pytest.mark.parametrize("size", [54, 70, 84])
+@pytest.mark.parametrize("change", [lambda w, i: w[:i] + ["added"] + w[i:], lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + ["so", "many", "more"] + w[i:]])
+def test_passages_with_words_added_or_dropped(size, change):
+    words = [f"w{i}" for i in range(size)]
+    other = change(words, size // 2)
+    before, after = [f"x{i}" for i in range(30)], [f"y{i}" for i in range(60)]
+    a, b = (windows.tokens_of(" ".join(w)).astype(np.uint32).view(np.int32) for w in (before + words + after, after[::-1] + other + before[::-1]))
+    for offset in (30, 30 + len(other) - size):
+        for x, y, o in ((a, b, offset), (b, a, -offset)):
+            own, found = windows.passages(x, y, [o])
+            for spans, begin, n in ((own, 30 if x is a else 60, size if x is a else len(other)), (found, 60 if x is a else 30, len(other) if x is a else size)):
+                assert len(spans) == 1 and spans[0][0] in range(begin - 12, begin + 1) and spans[0][1] in range(begin + n, begin + n + 13)
+
+
 def test_nearest_recall_and_exclusions(spark):
     x = np.random.default_rng(5).normal(size=(400, 16))
     x[20] = x[21]
