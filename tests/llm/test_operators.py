@@ -181,6 +181,16 @@ def test_passages_with_words_added_or_dropped(size, change):
                 assert len(spans) == 1 and spans[0][0] in range(begin - 12, begin + 1) and spans[0][1] in range(begin + n, begin + n + 13)
 
 
+def test_exact_repeats_that_go_on_from_a_common_start(spark):
+    least = lambda text: [int(np.argmin(minhash.mixed(windows.tokens_of(text) * s) | np.uint64(1))) for s in windows._SEEDS]
+    start = next(t for t in (prose(42, i) for i in range(700, 2000)) if max(least(t)) < 14)  # no half passage from there reaches the tail
+    tails = [prose(8, 800 + i // 2) if i < 160 else "" for i in range(400)]
+    texts = [f"{prose(20, 1000 + i)} {start} {tail} {prose(20, 2000 + i)}" for i, tail in enumerate(tails)]
+    got = {r["doc_id"]: r for r in windows.duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = [i for i in range(160) if not any(s["x"] <= 20 and s["y"] >= 70 for s in got[i]["spans"])]
+    assert not missed and all(got[i]["class_id"] == got[i + 1]["class_id"] for i in range(0, 160, 2))
+
+
 def test_nearest_recall_and_exclusions(spark):
     x = np.random.default_rng(5).normal(size=(400, 16))
     x[20] = x[21]
