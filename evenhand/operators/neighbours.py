@@ -40,10 +40,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None =
             d = (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :]
             if exclude_self:
                 d[own[:, None] == ids[None, :]] = np.inf
-            take = min(d.shape[1], k + 16)  # the product may reorder near ties: exact distances decide among a few more
-            near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(p), 1))
-            i = np.repeat(np.arange(len(p)), near.shape[1])
-            j = near.ravel()
+            # the product may reorder near ties: exact distances decide among all that rounding can't tell from the k-th
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(p), np.inf)
+            rounding = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.linalg.norm(p, axis=1) + np.linalg.norm(x, axis=1).max()) ** 2
+            i, j = np.nonzero(~(d > (kth + rounding)[:, None]))
             exact = np.zeros(len(i))
             for c in range(x.shape[1]):
                 exact += (p[i, c] - x[j, c]) ** 2

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from evenhand.operators import ensemble, evaluation, hardness, sampling
+from evenhand.operators.neighbours import nearest
 from evenhand.plans import catalog
 from evenhand.sources.frame import validated
 
@@ -47,6 +48,15 @@ def test_resampled_classes_have_the_target_size(spark):
     assert counts == {0: 18, 1: 18}
 
 
+def test_nearest_of_many_equal_rows(spark):
+    df = points(spark, [(0, [i % 2 + 0.1, 0.7, 3.3]) for i in range(200)])
+    for exclude in (True, False):
+        got = nearest(df, df, 3, exclude_self=exclude).orderBy("query_id", "rank").toPandas()
+        for q, near in got.groupby("query_id")["row_id"]:
+            others = [i for i in range(q % 2, 200, 2) if i != q]
+            assert near.tolist() == (others[:3] if exclude else [q, *others[:2]])
+
+
 def test_diversity_by_hand(spark):
     bags = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [2.0]), (1, [3.0]), (2, [4.0])], "member_id int, features array<double>")
     assert abs(ensemble.diversity(bags).first()["diversity"] - 8 / 9) < 1e-9
