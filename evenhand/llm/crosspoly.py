@@ -169,12 +169,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             for i, b in enumerate(block["b"]):
                 probed[i, b] = True
             score = np.where(probed[:, at] & (ids[None, :] != own[:, None]), q @ x.T, -np.inf)
-            if score.shape[1] > k:  # a little more than k, so that rounding of the block product can't hide a tie
-                keep = np.argpartition(-score, min(k + 8, score.shape[1] - 1), axis=1)[:, : k + 8]
-            else:
-                keep = np.tile(np.arange(score.shape[1]), (len(block), 1))
-            r, c = np.nonzero(np.take_along_axis(score, keep, axis=1) > -np.inf)
-            j = keep[r, c]
+            # all that rounding of the block product can't tell from the k-th, so that it can't hide a tie
+            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(block), -np.inf)
+            rounding = 4 * (width + 4) * np.finfo(float).eps * np.linalg.norm(q, axis=1) * largest
+            r, j = np.nonzero((score >= (kth - rounding)[:, None]) & (score > -np.inf))
             got.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[j], "score": exact(q[r], x[j])}))
         out = pd.concat(got).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return out.groupby("query_id", sort=False).head(k)

@@ -207,6 +207,27 @@ def test_nearest_recall_and_exclusions(spark):
     assert hits >= 0.9 * 100 and set(got["query_id"]) == set(range(0, 400, 20))
 
 
+def test_ties_go_to_smaller_ids(spark):
+    r = np.random.default_rng(12)
+    x, ids = [], []
+    for g in range(12):
+        q = r.normal(size=16)
+        q /= np.linalg.norm(q)
+        x += [q, *(q * (1.5 + 0.01 * i) for i in range(10)), *[q * 1.2] * 40]
+        ids += [100 * g, *range(100 * g + 60, 100 * g + 70), *r.permutation(np.arange(100 * g + 1, 100 * g + 41)).tolist()]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    import pyspark.sql.functions as F
+
+    got = crosspoly.search(df, F.col("vec_id") % 100 == 0, k=20).toPandas().sort_values(["query_id", "rank"])
+    whole = 0
+    for g in range(12):
+        found = got[got["query_id"] == 100 * g]["vec_id"].tolist()
+        copies = [i - 100 * g for i in found if 100 * g < i <= 100 * g + 40]
+        assert copies in ([], list(range(1, 11)))  # equal vectors share their buckets
+        whole += found == [*range(100 * g + 69, 100 * g + 59, -1), *range(100 * g + 1, 100 * g + 11)]
+    assert whole >= 6
+
+
 def test_classifier_held_out(spark):
     r = random.Random(8)
     texts = [(i, prose(60, i) if i % 3 else " ".join(w + "!!" for w in prose(60, i).upper().split())) for i in range(300)]
