@@ -12,11 +12,13 @@ Comparing all suffixes of the corpus is more than is needed: two equal windows o
    merging task finds the keys of one shard in the runs of the others by binary search.
 5. The repeated windows of a document come together with its text, which is cut once.
 
-Equal copies, however many, are counted before the shuffle and travel once. What a task holds is bounded by the shard size
-and by the longest document.
+Whether a string starts once or more often is all that counts, so each task sends the segments of a text twice at most,
+however many copies of it there are. What a task holds is bounded by the shard size and by the longest document.
 
-A null text is empty and has nothing to remove; so has one shorter than L bytes. Repeated rows are documents of their own,
-each repeating the other. An empty table has an empty result. Texts are UTF-8; what remains of one need not be.
+A null text is empty and has nothing to remove; so has one shorter than L bytes. Very long texts are hashed part by part.
+Repeated rows are documents of their own, each repeating the other; of equal strings none is spared. Other columns,
+whatever their names, are not looked at. An empty table has an empty result. Texts are UTF-8; what remains of one need not
+be.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ from evenhand.llm.common import col, cut
 #: Bytes of a repeated string, of an anchor's k-gram, window starts in a segment at most.
 LENGTH, GRAM, LONGEST = 400, 32, 512
 #: Bytes of text hashed at a time, and bytes of segments in a shard, about.
-PART, SHARD = 1 << 20, 4 << 20
+PART, SHARD = 1 << 20, 1 << 20
 #: Distinct segments of one anchor beyond which they are spread over shards and merged.
-SPREAD = 2000
+SPREAD = 400
 #: Keys of windows in a merging task, about.
-MERGED = 1_000_000
+MERGED = 500_000
+#: Rows handled at a time in a task, and texts whose copies a task remembers at most.
+ROWS_AT_ONCE, REMEMBERED = 64, 100_000
 
 _TABLE = np.random.default_rng(51).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = np.random.default_rng(53).integers(0, 2**62, 8, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
@@ -132,20 +136,34 @@ def _parts(raws: list[bytes], length: int):
 
 
 def occurrences(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """anchor, digest, tkey (digest of the text), at, n and twice of every segment of every text."""
+    """anchor, digest, tkey (digest of the text), at, n and twice of every segment of every text, of equal texts in a task
+    from two."""
 
     def run(batches):
-        for batch in batches:
-            keys, raws = batch.column(0).to_pylist(), [_raw(t) for t in batch.column(1).to_pylist()]
-            for held in _parts(raws, length):
-                anchors, owners, starts, counts, twice, pieces = segments([p for _, _, p in held], length)
-                digests = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
-                offsets = np.array([o for _, o, _ in held], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(anchors.view(np.int64)), pa.array(digests.view(np.int64)),
-                    pa.array([keys[held[o][0]] for o in owners.tolist()], pa.binary()),
-                    pa.array((starts + offsets[owners]) if len(owners) else starts), pa.array(counts.astype(np.int32)), pa.array(twice),
-                ], names=["anchor", "digest", "tkey", "at", "n", "twice"])
+        seen: dict[bytes, int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch, keys, raws = whole.slice(at, ROWS_AT_ONCE), [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    times = seen.get(key, 0)
+                    if times < 2 and text:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()  # some copies are sent more than twice then
+                        seen[key] = times + 1
+                        keys.append(key)
+                        raws.append(_raw(text))
+                yield from emit(keys, raws)
+
+    def emit(keys, raws):
+        for held in _parts(raws, length):
+            anchors, owners, starts, counts, twice, pieces = segments([p for _, _, p in held], length)
+            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+            offsets = np.array([o for _, o, _ in held], np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(anchors.view(np.int64)), pa.array(digests.view(np.int64)),
+                pa.array([keys[held[o][0]] for o in owners.tolist()], pa.binary()),
+                pa.array((starts + offsets[owners]) if len(owners) else starts), pa.array(counts.astype(np.int32)), pa.array(twice),
+            ], names=["anchor", "digest", "tkey", "at", "n", "twice"])
 
     return docs.select(text_key(text_col).alias("tkey"), col(text_col).alias("text")).mapInArrow(run, "anchor long, digest long, tkey binary, at long, n int, twice boolean")
 
@@ -166,29 +184,30 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     padded[:n] = raw
     word = np.zeros(n, np.uint64)
     for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(word, kind="stable")
-    sorted_word = word[order]
-    head = np.r_[True, sorted_word[1:] != sorted_word[:-1]] if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        word <<= np.uint64(8)
+        word |= padded[j : j + n]
+    order = np.argsort(word, kind="stable").astype(np.int32)
+    word = word[order]
+    head = np.r_[True, word[1:] != word[:-1]] if n else np.zeros(0, bool)
+    del word
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 8
     while h < depth:
         step = min(h, depth - h)
-        alone = head & np.r_[head[1:], True]
-        open_ = np.flatnonzero(~alone)
+        open_ = np.flatnonzero(~(head & np.r_[head[1:], True])).astype(np.int32)
         if not len(open_):
             break
         starts = order[open_]
-        group = rank[starts]
-        behind = starts + step
-        next_ = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
-        by = np.argsort(group * (n + 1) + next_, kind="stable")
-        starts, group, next_ = starts[by], group[by], next_[by]
+        behind = starts + np.int32(step)
+        next_ = np.where(behind < n, rank[np.minimum(behind, n - 1)] + np.int32(1), np.int32(0))
+        key = rank[starts].astype(np.int64) * (n + 1) + next_
+        by = np.argsort(key, kind="stable")
+        starts, key = starts[by], key[by]
         order[open_] = starts
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (next_[1:] != next_[:-1])]
+        fresh = np.r_[True, key[1:] != key[:-1]]
         head[open_] = fresh
-        rank[starts] = np.maximum.accumulate(np.where(fresh, open_, 0))
+        rank[starts] = np.maximum.accumulate(np.where(fresh, open_, np.int32(0)))
         h += step
     return order, rank
 
@@ -203,15 +222,15 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, first: np.ndarray, count
     padded = np.zeros(n + depth + 16, np.uint8)
     padded[:n] = raw
     words = np.lib.stride_tricks.as_strided(padded, (n + depth + 8, 8), (1, 1))
-    place = np.full(n, -1, np.int64)
-    place[order] = np.arange(len(order))
-    shared = np.zeros(len(order), np.int64)
+    place = np.full(n, -1, np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    shared = np.zeros(len(order), np.int32)
     known, before = np.zeros(len(first), np.int64), np.full(len(first), -2, np.int64)
     for step in range(int(count.max()) if len(count) else 0):
         live = np.flatnonzero(count > step)
         p = first[live] + step
         at = place[p]
-        q = np.where(at > 0, order[np.maximum(at - 1, 0)], -1)
+        q = np.where(at > 0, order[np.maximum(at - 1, 0)], -1).astype(np.int64)
         have = np.where((q == before[live] + 1) & (q >= 0), np.maximum(known[live] - 1, 0), 0)
         going = np.flatnonzero((q >= 0) & (have < depth))
         while len(going):
@@ -231,6 +250,10 @@ def _intervals(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+#: Columns of the runs that spread anchors send.
+LISTS = ("keys", "owners", "starts", "known", "anchors", "digests")
+
+
 def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray, spread: np.ndarray, pieces: list[bytes], length: int, ranges: int = 1) -> pd.DataFrame:
     """Rows of a shard's segments: intervals [a, b) of starts that repeat here or in an equal segment (kind 0), and of
     spread anchors a sorted run for each range of keys (kind 1, a is the range): the key of each distinct window, its
@@ -248,22 +271,17 @@ def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray,
     twin = shared >= length
     again = np.zeros(len(raw), bool)
     again[order] = twin | np.r_[twin[1:], False]
-    out: dict[str, list] = {c: [] for c in ("kind", "anchor", "digest", "a", "b", "keys", "owners", "starts", "known", "anchors", "digests")}
-
-    def put(**row) -> None:
-        for c in out:
-            out[c].append(row.get(c, [] if c.endswith("s") or c == "known" else 0))
-
-    for s in range(len(pieces)):
-        marks = np.ones(count[s], bool) if copies[s] > 1 else again[first[s] : first[s] + count[s]]
-        for a, b in zip(*_intervals(marks), strict=True):
-            put(kind=0, anchor=anchor[s], digest=digest[s], a=a, b=b)
+    # segments are kept apart by the bytes at their ends that begin no window
+    a, b = _intervals(valid & (again | np.repeat(copies > 1, sizes)))
+    own = np.searchsorted(first, a, side="right") - 1
+    out = {"kind": np.zeros(len(a), np.int32), "anchor": anchor[own], "digest": digest[own], "a": a - first[own], "b": b - first[own]}
+    runs: list[dict] = []
     if spread.any():
         owner = np.searchsorted(first, order, side="right") - 1
         lead = ~twin  # first of each class of equal windows
         known = again[order] | (copies[owner] > 1)
         chosen = np.flatnonzero(lead & spread[owner])
-        view = raw.tobytes()
+        view = memoryview(raw)
         keys = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + length], seed=9) for p in order[chosen].tolist()), np.uint64, len(chosen))
         by = np.argsort(keys, kind="stable")
         chosen, keys = chosen[by], keys[by]
@@ -272,9 +290,12 @@ def repeats_in_shard(anchor: np.ndarray, digest: np.ndarray, copies: np.ndarray,
             here = at == r
             own = owner[chosen[here]]
             used, number = np.unique(own, return_inverse=True)
-            put(kind=1, a=int(r), keys=keys[here].view(np.int64), owners=number.astype(np.int64), starts=order[chosen[here]] - first[own], known=known[chosen[here]], anchors=anchor[used], digests=digest[used])
-    lists = {c: pd.Series(out[c], dtype=object) for c in ("keys", "owners", "starts", "known", "anchors", "digests")}
-    return pd.DataFrame({"kind": pd.Series(out["kind"], dtype="int32"), **{c: pd.Series(out[c], dtype="int64") for c in ("anchor", "digest", "a", "b")}, **lists})
+            runs.append(dict(a=int(r), keys=keys[here].view(np.int64), owners=number.astype(np.int64), starts=order[chosen[here]] - first[own], known=known[chosen[here]], anchors=anchor[used], digests=digest[used]))
+    one = pd.DataFrame({**out, **dict.fromkeys(LISTS)})
+    if not runs:
+        return one
+    two = pd.DataFrame({"kind": np.ones(len(runs), np.int32), "anchor": 0, "digest": 0, "a": [r["a"] for r in runs], "b": 0, **{c: pd.Series([r[c] for r in runs], dtype=object) for c in LISTS}})
+    return pd.concat([one.astype(dict.fromkeys(LISTS, object)), two])
 
 
 def merged_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -288,7 +309,7 @@ def merged_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """tkey, a, b: the window starts [a, b) of each distinct text whose windows also start elsewhere."""
-    segs = occurrences(docs, text_col, length)
+    segs = cut(occurrences(docs, text_col, length))
     anchors = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("twice").alias("twice"))
     # a segment whose anchor occurs twice in it may repeat itself
     anchors = anchors.where((F.col("all") > 1) | F.col("twice")).select("anchor", ((F.col("all") > 1) & (F.col("lo") == F.col("hi"))).alias("same"))
@@ -310,13 +331,13 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGT
     def fetch(batches):
         seen = set()  # copies of a text in this task give their segments once; the shard drops what is left
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 rows = []
                 for key, text, wants in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if key in seen:
                         continue
-                    if len(seen) < 100_000:
+                    if len(seen) < REMEMBERED:
                         seen.add(key)
                     raw = _raw(text)
                     rows += [(w["shard"], w["anchor"], w["digest"], w["copies"], w["spread"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wants]
@@ -369,8 +390,8 @@ def dedup(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
 
     def remove(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 out: list[list] = [[], [], [], [], [], []]
                 for text, starts in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                     raw = _raw(text)
