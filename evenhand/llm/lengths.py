@@ -4,7 +4,8 @@ Texts are encoded where they are; only (length, documents) pairs are shuffled, p
 run in two levels: inside blocks of lengths, and over the few block totals. With them each context limit L has its
 number of longer documents, and its tokens when every document is cut at L.
 
-A null or empty text has length 0. Repeated rows count each time. An empty table has an empty histogram.
+A null or empty text has length 0. Repeated rows count each time. Very long texts are encoded whole, one at a time. Other
+columns, whatever their names, are not looked at. An empty table has an empty histogram, no quantile and totals of 0.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.bpe import default_path, default_pattern, encoder
-from evenhand.llm.common import field, text_map
+from evenhand.llm.common import col, cut, field, text_map
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
@@ -28,7 +29,8 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     """One row for each length: n_docs of it, docs_ge and tokens_ge (this length or longer), docs_le,
     truncated_tokens (all documents cut at this length) and total_docs, total_tokens."""
-    counts = lengths.groupBy(F.col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # a row for each length is all that is left of the texts; written once, as it is read twice below
+    counts = cut(lengths.groupBy(col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,17 +57,17 @@ def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
     """limit, longer_docs and kept_tokens for any context limits, whether or not a document has that length.
 
-    Above the limit each document counts as the limit; the first histogram row above it has what is needed.
+    Above the limit each document counts as the limit; the first histogram row above it has what is needed. All limits are
+    answered in one aggregation, without a join.
     """
-    asked = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    above = asked.join(hist, F.col("n_tokens") > F.col("limit"), "left")
-    first = above.groupBy("limit").agg(F.min(F.struct("n_tokens", "docs_ge", "tokens_ge")).alias("a"))
-    total = hist.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"))
-    n = F.coalesce(F.col("a.docs_ge"), F.lit(0))
-    return first.crossJoin(F.broadcast(total)).select("limit", n.alias("longer_docs"), (F.col("total") - F.coalesce(F.col("a.tokens_ge"), F.lit(0)) + n * F.col("limit")).alias("kept_tokens"))
+    n = F.col("n_tokens")
+    first = [F.struct(F.lit(int(x)).cast("long").alias("limit"), F.min(F.when(n > x, F.struct("n_tokens", "docs_ge", "tokens_ge"))).alias("a")) for x in limits]
+    one = hist.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"), F.array(*first).alias("l")).select("total", F.explode("l").alias("l"))
+    longer, tokens = F.coalesce(F.col("l.a.docs_ge"), F.lit(0)), F.coalesce(F.col("l.a.tokens_ge"), F.lit(0))
+    return one.select(F.col("l.limit").alias("limit"), longer.alias("longer_docs"), (F.col("total") - tokens + longer * F.col("l.limit")).alias("kept_tokens"))
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """share and n_tokens: the least length that at least that share of documents doesn't exceed."""
-    asked = hist.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return asked.join(hist, F.col("docs_le") >= F.ceil(F.col("share") * F.col("total_docs")), "left").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    """share and n_tokens: the least length that at least that share of documents doesn't exceed; null for no documents."""
+    reached = lambda x: F.min(F.when(F.col("docs_le") >= F.ceil(F.lit(float(x)) * F.col("total_docs")), F.col("n_tokens")))
+    return hist.agg(F.array(*(F.struct(F.lit(float(x)).alias("share"), reached(x).alias("n_tokens")) for x in shares)).alias("q")).select(F.explode("q").alias("q")).select("q.share", "q.n_tokens")

@@ -19,9 +19,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(spark, sf_dir)
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def token_count_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer documents and tokens kept for context limits from 128 to 131,072."""
+    return lengths.truncated_totals(_histogram(spark, sf_dir), [2**i for i in range(7, 18)])
+
+
+def token_count_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.quantiles(_histogram(spark, sf_dir), [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -58,7 +71,7 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe, op10_compact_windows)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe, op10_compact_windows, token_count_limits, token_count_quantiles)}
 
 
 def oracle_sql() -> dict:
