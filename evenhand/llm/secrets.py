@@ -2,10 +2,13 @@
 
 Three plain kinds (assign, access, hex) come from patterns. Three more are reported only when the candidate decodes to
 the structure that it claims: ``jwt`` (a signed-token header and payload), ``der`` (a private key in PKCS#1, PKCS#8 or
-SEC1 form, from base64 or hex, all nested lengths fitting exactly) and ``openssh`` (the length-prefixed key format).
+SEC1 form, all nested lengths fitting exactly) and ``openssh`` (the length-prefixed key format). Keys are read from hex and
+from base64, its URL form and lines of it included; a key's own lengths say where it ends. Armour may have header lines and
+escaped line breaks.
 
 Null and empty texts have no spans. Rows are handled one by one, so repeated rows give repeated results and an empty
-table an empty one. Very long texts are scanned whole.
+table an empty one. Very long texts are scanned whole, in time that grows with their length. Spans with one start go by kind
+as listed. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,10 +32,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{48,}={0,2}(?![A-Za-z0-9+/=])")
+#: Base64, in lines or not, that begins as a DER sequence or the magic of an OpenSSH key does, and how far apart lines may be.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-I]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{14}")
+LETTERS64 = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"(?:\r|\n|\\r|\\n)[ \t]*(?:(?:\r|\n|\\r|\\n)[ \t]*)?")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,32}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,32}PRIVATE KEY)-----")
+HEADER = re.compile(r"[A-Za-z0-9-]+:")
+#: Characters of base64 that one key may have: a 16384-bit key has fewer than 13,000.
+MOST_KEY = 1 << 16
 OPENSSH = b"openssh-key-v1\x00"
+HEX_STARTS = ("30", OPENSSH.hex())
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
@@ -83,23 +93,37 @@ def _take(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (data[at + 4 : at + 4 + size], at + 4 + size) if at + 4 + size <= len(data) else None
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether the bytes are a key file: magic, cipher, kdf, options, count, public keys, private part, to the end."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the key file that ``data`` begins with: magic, cipher, kdf, options, count, public keys, private part."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     at = len(OPENSSH)
     for _ in range(3):
         if (got := _take(data, at)) is None:
-            return False
+            return None
         at = got[1]
     count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= count <= 64:
-        return False
+        return None
     for _ in range(count + 1):
         if (got := _take(data, at)) is None or not got[0]:
-            return False
+            return None
         at = got[1]
-    return at == len(data)
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return bool(data) and openssh_size(data) == len(data)
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the sequence that ``data`` begins with, by its own length."""
+    if len(data) < 2 or data[0] != SEQUENCE:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if data[1] & 0x80 and not 1 <= width <= 4:
+        return None
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
 
 
 def _unbase64(text: str, url: bool = False) -> bytes | None:
@@ -127,6 +151,60 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_private_key_der(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _base64_key(text: str, start: int) -> tuple[int, str] | None:
+    """End and kind of the key whose base64 begins at ``start``, if it is one."""
+    letters, ends, at = [], [], start  # stretches of base64 in consecutive lines, and where they end
+    total = 0
+    while (m := LETTERS64.match(text, at, at + MOST_KEY)) is not None and total < MOST_KEY:
+        letters.append(m[0])
+        total += len(m[0])
+        ends.append(m.end())
+        if (gap := BREAK.match(text, m.end())) is None:
+            break
+        at = gap.end()
+    body = "".join(letters)
+    if not ("-" in body or "_" in body) or not ("+" in body or "/" in body):
+        data = _unbase64(body[: len(body) // 4 * 4].translate(URL)) or b""
+    else:
+        return None
+    tail = body[len(body) // 4 * 4 :]
+    if len(tail) > 1:
+        data += _unbase64(tail.translate(URL)) or b""
+    size = der_size(data) if data[:1] == b"0" else openssh_size(data)
+    if size is None or size > len(data) or (kind := _key_kind(data[:size])) is None:
+        return None
+    need = -(-size * 4 // 3)  # characters, less padding
+    for piece, end in zip(letters, ends, strict=True):
+        if need <= len(piece):
+            end -= len(piece) - need
+            break
+        need -= len(piece)
+    while end < len(text) and text[end] == "=":
+        end += 1
+    # more of the alphabet right behind is not a key that ends here
+    return None if end < len(text) and LETTERS64.match(text, end) else (end, kind)
+
+
+URL = str.maketrans("-_", "+/")
+
+
+def _armoured(text: str) -> list[tuple[int, int, str]]:
+    """Private keys between their BEGIN and END lines."""
+    found, at, without = [], 0, set()
+    while (m := ARMOUR.search(text, at)) is not None:
+        at, mark = m.end(), f"-----END {m[1]}-----"
+        end = -1 if mark in without else text.find(mark, at)
+        if end < 0:
+            without.add(mark)
+            continue
+        lines = text[at:end].replace("\\r", "\n").replace("\\n", "\n").split("\n")
+        body = "".join(x.strip() for x in lines if not HEADER.match(x.strip()))
+        if (kind := _key_kind(_unbase64(body))) is not None:
+            found.append((m.start(), end + len(mark), kind))
+            at = end + len(mark)
+    return found
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start and then kind as listed; code points, end exclusive."""
     if not text:
@@ -134,21 +212,17 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     spans = {(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST}
     spans |= {(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST}
     spans |= {(m.start(), m.end(), "hex") for m in HEX.finditer(text)}
-    if "eyJ" in text or "ewo" in text or "eyA" in text:  # what an object's first characters encode to
-        for m in TOKEN.finditer(text):
-            header = _json_object(m[1])
-            if header and isinstance(header.get("alg"), str) and _json_object(m[2]) is not None and (not m[3] or _unbase64(m[3], url=True) is not None):
-                spans.add((m.start(), m.end(), "jwt"))
+    for m in TOKEN.finditer(text):
+        header = _json_object(m[1])
+        if header and isinstance(header.get("alg"), str) and _json_object(m[2]) is not None and (not m[3] or _unbase64(m[3], url=True) is not None):
+            spans.add((m.start(), m.end(), "jwt"))
     for m in BASE64.finditer(text):
-        if (kind := _key_kind(_unbase64(m[0]))) is not None:
-            spans.add((m.start(), m.end(), kind))
+        if (key := _base64_key(text, m.start())) is not None:
+            spans.add((m.start(), *key))
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] == "30" and is_private_key_der(bytes.fromhex(m[0])):
-            spans.add((m.start(), m.end(), "der"))
-    if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            if (kind := _key_kind(_unbase64("".join(m[2].split())))) is not None:
-                spans.add((m.start(), m.end(), kind))
+        if len(m[0]) % 2 == 0 and m[0].lower().startswith(HEX_STARTS) and (kind := _key_kind(bytes.fromhex(m[0]))) is not None:
+            spans.add((m.start(), m.end(), kind))
+    spans |= set(_armoured(text))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
