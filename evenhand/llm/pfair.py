@@ -6,27 +6,33 @@ first meets all of these, so at every slot each source is less than one block aw
 after A slots: it is computed once for A slots, and every block finds its slot by arithmetic.
 
 When a source has no block left, the others go on with their own weights in a new phase; there are as many phases as
-sources at most, and nothing is dropped. Sources are few by contract (``MOST_SOURCES``, checked); documents are not: ranks
-inside a source come from counts of hash ranges, so that no task holds a whole source.
+sources at most, and nothing is dropped. Sources are few by contract (``MOST_SOURCES`` and ``MOST_SLOTS``, checked);
+documents are not: ranks inside a source come from counts of hash ranges, so that no task holds a whole source.
 
-A null source is a source by itself (an empty name shares it). Sources without a weight get ``default_weight``. Repeated rows are separate
-documents. An empty table has an empty result.
+A null source is a source by itself (an empty name shares it). Sources without a weight get ``default_weight``. Repeated
+rows are separate documents, in any order among themselves; other ties go by hash, then by id. Texts travel as they are,
+however long. Other columns stay; those named as the ones made here are replaced. An empty table has an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import col
 
-#: Bounds on what the driver handles: sources, and slots of one repeating schedule.
-MOST_SOURCES, MOST_SLOTS = 2_000, 200_000
-#: Documents of one source that one task ranks, about.
-RANKED = 20_000
+#: Bounds on what the driver handles: sources, and slots of the repeating schedules of all phases together.
+MOST_SOURCES, MOST_SLOTS = 2_000, 2_500_000
+#: Rows of those schedules that are broadcast, of 64 bytes and a name each; more are joined by a shuffle.
+BROADCAST_SLOTS = 100_000
+#: Documents of one source that one group ranks, about: few, so that a large source is spread over many tasks.
+RANKED = 500
 
 
 def period(weights: dict[str, int]) -> list[str]:
@@ -47,34 +53,42 @@ def period(weights: dict[str, int]) -> list[str]:
     return slots
 
 
-def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, int, int, int, int, int, int, int]]:
-    """Rows (source, first block, blocks, first slot, slots in a period, blocks in a period, number in the period, its place),
-    one for each source, phase and number of a block in the period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    first, start, rows = dict.fromkeys(left, 0), 0, []
+def phases(weights: dict[str, int], blocks: dict[str, int]) -> pa.Table:
+    """One row for each source, phase and number of a block in the period: s, first (block of the source in the phase), ran
+    (blocks in it), slot0, period (slots), a (blocks in a period), k (number in the period) and place (its slot there)."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    left = {s: blocks[s] for s in names}
+    first, start, slots = dict.fromkeys(left, 0), 0, 0
+    parts: list[tuple[np.ndarray, ...]] = []
     while left:
         shrink = gcd(*(weights[s] for s in left))
         own = {s: weights[s] // shrink for s in left}
+        slots += sum(own.values())
+        if slots > MOST_SLOTS:
+            raise ValueError(f"the schedules have more than {MOST_SLOTS} slots; use smaller weights or fewer sources")
         order = period(own)
         places: dict[str, list[int]] = {s: [] for s in left}
         for at, s in enumerate(order):
             places[s].append(at)
         # the phase ends with the slot at which some source runs out
-        ends = [(n - 1) // own[s] * len(order) + places[s][(n - 1) % own[s]] + 1 for s, n in left.items()]
-        length = min(ends)
+        length = min((n - 1) // own[s] * len(order) + places[s][(n - 1) % own[s]] + 1 for s, n in left.items())
         full, rest = divmod(length, len(order))
+        ran = {s: full * own[s] + bisect_left(places[s], rest) for s in left}
+        going = [s for s in left if ran[s]]
+        times = [own[s] for s in going]
+        each = lambda values, times=times: np.repeat(np.array(values, np.int64), times)
+        parts.append((
+            each([bisect_left(names, s) for s in going]), each([first[s] for s in going]), each([ran[s] for s in going]), np.full(sum(times), start), np.full(sum(times), len(order)), each(times),
+            np.concatenate([np.arange(n) for n in times]), np.concatenate([np.array(places[s]) for s in going]),
+        ))
         for s in list(left):
-            ran = full * own[s] + sum(p < rest for p in places[s])
-            if ran:
-                rows += [(s, first[s], ran, start, len(order), own[s], k, p) for k, p in enumerate(places[s])]
-            first[s] += ran
-            left[s] -= ran
+            first[s] += ran[s]
+            left[s] -= ran[s]
             if not left[s]:
                 del left[s]
-        if len(rows) > MOST_SLOTS:
-            raise ValueError(f"the schedule has more than {MOST_SLOTS} entries; use smaller weights")
         start += length
-    return rows
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 8
+    return pa.table([pa.array(names, pa.string()).take(pa.array(columns[0])), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["s", "first", "ran", "slot0", "period", "a", "k", "place"])
 
 
 def ranked(docs: DataFrame, source_col: str, id_col: str, seed: int) -> DataFrame:
@@ -111,18 +125,18 @@ def mixed(docs: DataFrame, weights: dict[str, int], block: int = 16, default_wei
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     own = {s: int(weights.get(s, default_weight)) for s in sizes}
-    if sum(own.values()) > MOST_SLOTS:
-        raise ValueError(f"weights add to more than {MOST_SLOTS}")
-    plan = spark.createDataFrame(phases(own, {s: -(-n // block) for s, n in sizes.items()}), "s string, first long, ran long, slot0 long, period long, a long, k long, place long")
+    # metadata of sources alone, MOST_SLOTS rows at most; Spark broadcasts it if it is small
+    made = phases(own, {s: -(-n // block) for s, n in sizes.items()})
+    plan = spark.createDataFrame(made)
     plan = plan.select(*(F.col(c).alias(f"~p_{c}") for c in plan.columns))
-    spans = plan.groupBy("~p_s").agg(F.collect_set(F.struct("~p_first", "~p_ran", "~p_a")).alias("~spans"))
+    spans = plan.where("`~p_k` = 0").groupBy("~p_s").agg(F.array_sort(F.collect_list(F.struct("~p_first", "~p_ran", "~p_a"))).alias("~spans"))
     rows = ranked(docs, source_col, id_col, seed).withColumn("mix_block", F.floor(F.col("~rank") / block)).withColumn("mix_position", (F.col("~rank") % block).cast("int"))
-    # both tables below hold metadata of sources alone, MOST_SLOTS rows at most
-    rows = rows.join(F.broadcast(spans), F.col("~s") == F.col("~p_s")).drop("~p_s")
+    rows = rows.join(F.broadcast(spans), F.col("~s") == F.col("~p_s")).drop("~p_s")  # one row for each source
     phase = F.filter(F.col("~spans"), lambda p: (p["~p_first"] <= F.col("mix_block")) & (F.col("mix_block") < p["~p_first"] + p["~p_ran"]))[0]
-    rows = rows.withColumn("~phase", phase)
+    rows = rows.withColumn("~phase", phase).drop("~spans")
     nth = F.col("mix_block") - F.col("~phase.~p_first")
-    joined = rows.join(F.broadcast(plan), (F.col("~s") == F.col("~p_s")) & (F.col("~phase.~p_first") == F.col("~p_first")) & (nth % F.col("~phase.~p_a") == F.col("~p_k")))
+    small = F.broadcast(plan) if made.num_rows <= BROADCAST_SLOTS else plan
+    joined = rows.join(small, (F.col("~s") == F.col("~p_s")) & (F.col("~phase.~p_first") == F.col("~p_first")) & (nth % F.col("~phase.~p_a") == F.col("~p_k")))
     slot = F.col("~p_slot0") + F.floor(nth / F.col("~p_a")) * F.col("~p_period") + F.col("~p_place")
     return joined.select(*(col(c) for c in names), slot.cast("long").alias("mix_slot"), "mix_block", "mix_position")
 
