@@ -29,11 +29,14 @@ def col(name: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs
+    in one process, as in tests."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_folder
@@ -63,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_enough(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of a digest or an id or two in each row, to be broadcast if it has at most ``most`` rows: about 20 MB. Larger ones
+    are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_map(df: DataFrame, text_col: str, keep: list[str], outputs: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
     """The columns ``keep`` and, beside them, what ``fn`` makes of each text.
 
@@ -93,10 +102,13 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind), True)
 
 
-def labelled_sample(labels: DataFrame, value_col: str, limit: int, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``limit`` labelled ids, one row each, the same at every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, value_col: str, limit: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, y and text of at most ``limit`` labelled documents, one row for each id, the same at every run.
 
-    A label that is null is none; where an id has several labels the smallest holds.
+    A label that is null is none; where an id has several labels or texts the smallest holds.
     """
-    one = labels.where(col(id_col).isNotNull() & col(value_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min(col(value_col)).cast("int").alias("y"))
-    return one.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(limit)
+    one = labels.where(col(id_col).isNotNull() & col(value_col).isNotNull()).groupBy(col(id_col).alias("~id")).agg(F.min(col(value_col)).cast("int").alias("~y"))
+    picked = one.orderBy(F.xxhash64(F.col("~id"), F.lit(seed)), "~id").limit(limit)
+    # ``limit`` rows of two numbers are broadcast
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("~id"))
+    return rows.groupBy("id").agg(F.min("~y").alias("y"), F.min("text").alias("text"))

@@ -4,9 +4,10 @@ Features are indicators of hashed byte n-grams of the whole text. Each is scaled
 classes, the vector is brought to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A
 logistic curve, fitted on labelled rows left out of that, turns margins into scores between 0 and 1.
 
-Null and empty texts have no features; their score comes from the intercept alone. Repeated rows get equal scores. With
-no usable labels, or labels of one class only, every score is the share of label 1 (0.5 without labels). Of several
-labels of one id the smallest holds.
+Null and empty texts have no features; their score comes from the intercept alone. Very long texts are hashed whole, part by
+part. Repeated rows and ties get equal scores. With no usable labels, or labels of one class only, every score is the share
+of label 1 (0.5 without labels). Of several labels or texts of one id the smallest is learned from. Other columns of
+documents and labels, whatever their names, are not looked at. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,25 +75,31 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 20, seed: int = 3) -> np.ndarray:
-    """Weights of the L2-regularised hinge loss; the last weight is the intercept's. y holds -1 and 1."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights of the L2-regularised hinge loss over rows ratio[f] of length one, and the intercept; y holds -1 and 1.
+
+    The weights come multiplied with ``ratio``, as only these products are used: the margin of a row is their sum over its
+    features divided by its length, so that no row's values are stored.
+    """
     rng = np.random.default_rng(seed)
-    w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    square = np.array([1 + np.square(v).sum() for v in values])
+    square = np.square(ratio)
+    length = np.array([max(np.sqrt(square[f].sum()), 1e-12) for f in rows])
+    norm = np.array([1 + square[f].sum() / n**2 for f, n in zip(rows, length, strict=True)])
+    u, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], values[i]
-            gradient = y[i] * (w[f] @ v + w[-1]) - 1
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
+            f = rows[i]
+            gradient = y[i] * (u[f].sum() / length[i] + bias) - 1
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if (step := (new - alpha[i]) * y[i]) != 0.0:
-                w[f] += step * v
-                w[-1] += step
+                u[f] += step / length[i] * square[f]
+                bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return u, bias
 
 
 def logistic_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -123,15 +131,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, seed: int =
     part = [r for r, h in zip(rows, held, strict=True) if not h]
     sign = np.where(y > 0, 1.0, -1.0)
     ratio = log_count_ratio(part, y[~held])
-    values = []
-    for f in part:
-        v = ratio[f]
-        n = np.sqrt(np.square(v).sum())
-        values.append(v / n if n > 0 else v)
     own = sign[~held]
     balance = np.where(own > 0, len(own) / (2 * max(1, (own > 0).sum())), len(own) / (2 * max(1, (own < 0).sum())))
-    w = dual_coordinate_descent(part, values, own, cost * balance, size, seed=seed)
-    raw = Model(ratio * w[:-1], float(w[-1]), 1.0, 0.0, ratio)
+    weights, bias = dual_coordinate_descent(part, ratio, own, cost * balance, seed=seed)
+    raw = Model(weights, bias, 1.0, 0.0, ratio)
     seen = held if held.any() else ~held
     slope, shift = logistic_curve(np.array([raw.margin(r) for r, h in zip(rows, seen, strict=True) if h]), y[seen])
     return Model(raw.weights.astype(np.float32), raw.bias, slope, shift, ratio.astype(np.float32))
@@ -144,12 +147,17 @@ def is_held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 6000, seed: int = 5) -> Model:
     """Learns from at most ``sample`` labelled documents (a bound on what the driver gets), none of them held out."""
-    picked = labelled_sample(labels.where(~is_held_out()), label_col, sample, seed)
-    rows = docs.join(F.broadcast(picked), col("doc_id") == F.col("id"), "inner").select("id", "y", col("text").alias("text"))
-    got = text_map(rows, "text", ["id", "y"], [field("f", "array<int>")], lambda texts: [[features(t) for t in texts]]).limit(2 * sample).toArrow()
+    rows = labelled_sample(docs, labels.where(~is_held_out()), label_col, sample, seed)
+    got = text_map(rows, "text", ["id", "y"], [field("f", "array<int>")], lambda texts: [[features(t) for t in texts]]).toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    f = got["f"].combine_chunks()
-    return train([np.asarray(f[int(i)].values) for i in order], got["y"].to_numpy()[order], seed=seed)
+    found: list[np.ndarray] = []  # views of the table's own memory
+    for chunk in got["f"].chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        found += [values[ends[i] : ends[i + 1]] for i in range(len(chunk))]
+    model = train([found[i] for i in order], got["y"].to_numpy()[order], seed=seed)
+    del found, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

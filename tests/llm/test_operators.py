@@ -55,7 +55,7 @@ def test_rule_statistics():
     seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     covered = {i + j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(8)}
     assert got == {"n_words": 24, "word_chars": 24, "n_symbols": 4, "n_dup_lines": 1, "n_repeat_words": len(covered)}
-    assert rules.measure(None) == rules.measure("") == (0,) * 10
+    assert rules.measure(None) == rules.measure("") == (0,) * len(rules.COUNTS)
     x = np.vstack([np.random.default_rng(0).normal(size=(300, 3)), [[9, 9, 9]]])
     score = rules.grow(x, 50, 128, 1).score(x)
     assert score.argmax() == 300
