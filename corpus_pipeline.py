@@ -1,18 +1,21 @@
 """A corpus pipeline from the operators of evenhand.llm.
 
-Each stage reads what the one before it wrote. Stages keep the columns of documents; the last one returns token digests.
-Empty tables pass through; null texts are scored, kept as documents of their own, have no secrets and no tokens.
+Each stage reads what the one before it wrote. Stages keep the columns of documents; the last one returns token digests and
+each document's place in the mixture. Empty tables pass through; null and empty texts are scored, kept as documents of their
+own, have no secrets and no tokens. Very long texts are taken whole. Repeated rows are copies of each other, and one stays.
+Ties are settled by id, then by a digest of the text. Other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm import bpe, minhash, nbsvm, pfair, secrets
-from evenhand.llm.common import shared_folder, table
+from evenhand.llm.common import cut, shared_folder, small_enough, table
 from evenhand.llm.queries import TARGETS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,24 +30,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id; of rows that share it, one."""
-    found = minhash.near_duplicates(docs)
-    empty = found.where(F.col("component").isNull()).select("doc_id").distinct()
-    best = found.where(F.col("component").isNotNull() & F.col("kept")).select("doc_id", "component").distinct()
-    keep = best.select("doc_id").union(empty).distinct().select(F.col("doc_id").alias("~id"))
-    if keep.count() <= minhash.BROADCAST_ROWS:
-        keep = F.broadcast(keep)
-    left = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("~id")), "left_semi")
-    # rows that share an id are rare, so only they are shuffled to find repeated ones
-    shared = docs.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("~id")).limit(minhash.BROADCAST_ROWS + 1)
-    n_shared = shared.count()
-    if n_shared > minhash.BROADCAST_ROWS:
-        return left.dropDuplicates(["doc_id", "text"])
-    if n_shared:
-        is_shared = F.col("doc_id").eqNullSafe(F.col("~id"))
-        once = left.join(F.broadcast(shared), is_shared, "left_semi").dropDuplicates(["doc_id", "text"])
-        return left.join(F.broadcast(shared), is_shared, "left_anti").unionByName(once)
-    return left
+    """One row of each component stays: the one with the smallest id, of several rows of that id the one with the smallest
+    digest of its text, of equal rows one. Texts without words are no duplicates and stay."""
+    keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("~t"))
+    found = cut(minhash.near_duplicates(keyed, keep=("~t",)).select(F.col("doc_id").alias("~id"), F.col("~t").alias("~k"), "component"))
+    real = found.where(F.col("component").isNotNull())
+    order = F.struct(F.col("~id").isNull().alias("none"), F.col("~id").alias("id"), F.col("~k").alias("k"))
+    best = real.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.id").alias("~id"), F.col("m.k").alias("~k"))
+    empty = found.where(F.col("component").isNull()).select("~id", "~k")
+    keep = cut(best.union(empty).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("~id")) & (F.col("~t") == F.col("~k"))
+    left = keyed.join(small_enough(keep), same, "left_semi")
+    # rows that are repeated whole are rare, so only they are shuffled
+    shared = cut(real.groupBy("~id", "~k").count().where("count > 1").select("~id", "~k"))
+    if not shared.isEmpty():
+        once = left.join(small_enough(shared), same, "left_semi").dropDuplicates(["doc_id", "~t"])
+        left = left.join(small_enough(shared), same, "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +61,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
-    return bpe.round_trip(docs, keep=("doc_id", "source"))
+    """doc_id, source, position, n_tokens, ids_sha256 and decoded_sha256 of each document left.
+
+    The position is the place in the mixture, from 0: the rows of the files in the order of their names. Rows that come from
+    no file have none.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("~file"), F.col("_metadata.row_index").alias("~row"))
+    except AnalysisException:
+        placed = docs.select("*", F.lit("").alias("~file"), F.lit(None).cast("long").alias("~row"))
+    # one row for each file
+    sizes = cut(placed.groupBy("~file").agg(F.count(F.lit(1)).alias("~n")))
+    before = Window.orderBy("~file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("~file").alias("~f"), F.coalesce(F.sum("~n").over(before), F.lit(0)).alias("~start"))
+    made = bpe.round_trip(placed, keep=("doc_id", "source", "~file", "~row"))
+    out = made.join(F.broadcast(starts), F.col("~file") == F.col("~f"))
+    return out.select("doc_id", "source", (F.col("~start") + F.col("~row")).alias("position"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("redact", redact), ("mix", mix), ("encode", encode)]
