@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenhand.operators import evaluation
-from evenhand.operators.hardness import with_complexity
-from evenhand.operators.learners import NearestCentroid, SparkLearner
-from evenhand.operators.sampling import class_info, resample_weighted, with_weights
+from evenhand.operators.learners import NearestCentroid, NearestCentroidModel, SparkLearner
+from evenhand.operators.sampling import Resampler, resample_weighted, with_weights
+from evenhand.sources.staging import cut
 
 
 def mu_grid(spark: SparkSession, members: int) -> DataFrame:
@@ -31,10 +31,10 @@ def bags(df: DataFrame, members: int = 10, sigma: float = 0.2, k: int = 5, hardn
 
     Members share their random numbers, so that mu alone tells them apart.
     """
-    hard = df if "complexity" in df.columns else with_complexity(df, hardness).persist()
-    spread = hard.crossJoin(F.broadcast(mu_grid(df.sparkSession, members)))
+    fitted = Resampler(hardness, strategy, seed).fit(df)
+    spread = fitted.hard.crossJoin(F.broadcast(mu_grid(df.sparkSession, members)))
     weighted = with_weights(spread, F.col("mu"), sigma, "member_id")
-    return resample_weighted(weighted, class_info(df, strategy).select("label", "target"), k, seed, ("member_id",))
+    return resample_weighted(weighted, fitted.info.select("label", "target"), k, seed, ("member_id",), fitted.hard)
 
 
 def mean_probabilities(probabilities: DataFrame, members: int) -> DataFrame:
@@ -96,11 +96,17 @@ class Ensemble:
         if self.voting not in ("soft", "hard"):
             raise ValueError(f"unknown voting {self.voting!r}")
 
+    def get_params(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def with_params(self, **changed) -> Ensemble:
+        return replace(self, **changed)
+
     def fit(self, df: DataFrame) -> EnsembleModel:
-        made = bags(df, self.members, self.sigma, self.k, self.hardness, self.strategy, self.seed)
-        made = made.persist()
+        made = cut(bags(df, self.members, self.sigma, self.k, self.hardness, self.strategy, self.seed))
         if isinstance(self.learner, NearestCentroid):
-            return EnsembleModel(self, made, self.learner.fit(made, "member_id"))
+            fitted = self.learner.fit(made, "member_id")
+            return EnsembleModel(self, made, NearestCentroidModel(cut(fitted.means), fitted.keys))
         with ThreadPool(self.parallelism) as pool:  # each thread submits Spark jobs
             models = pool.map(lambda i: self.learner.fit(made.where(F.col("member_id") == i)), range(self.members))
         return EnsembleModel(self, made, models)
@@ -146,24 +152,30 @@ CONFIGURATIONS = (
 )
 
 
-def cross_validated(df: DataFrame, fit_predict, folds: int = 3, seed: int = 42) -> DataFrame:
-    """fold and score (weighted F1) of fit_predict(train, test) over shuffled stratified folds."""
-    assigned = df.join(evaluation.stratified_folds(df, folds, True, seed), ["row_id", "label"]).persist()
-    out = None
+def cross_validated(df: DataFrame, fit_predict, folds: int = 3, seed: int = 42, shuffle: bool = True, metric=evaluation.weighted_f1) -> list[float]:
+    """The metric of fit_predict(train, test) for each stratified fold. Each fold is scored before the next is planned."""
+    df = cut(df)
+    assigned = cut(df.join(evaluation.stratified_folds(df, folds, shuffle, seed), ["row_id", "label"]))
+    scores = []
     for f in range(folds):
-        pred = fit_predict(assigned.where(F.col("fold") != f).drop("fold"), assigned.where(F.col("fold") == f).drop("fold"))
-        part = evaluation.weighted_f1(pred).select(F.lit(f).alias("fold"), F.col("weighted_f1").alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        train, test = (assigned.where(c).drop("fold") for c in (F.col("fold") != f, F.col("fold") == f))
+        scores.append(metric(fit_predict(train, test)).first()[0])
+    return scores
+
+
+def compared(df: DataFrame, methods: dict, folds: int, seed: int = 42) -> DataFrame:
+    """name, mean, std, min and max of the weighted F1 of each method (name to fit_predict)."""
+    rows = [(name, float(x)) for name, method in methods.items() for x in cross_validated(df, method, folds, seed)]
+    return evaluation.summary(df.sparkSession.createDataFrame(rows, "name string, score double"), "name")
 
 
 def compare_configurations(df: DataFrame, members: int = 10, configurations=CONFIGURATIONS, folds: int = 3, seed: int = 42, learner=None) -> DataFrame:
     """name, mean, std, min and max of the weighted F1 of each configuration."""
-    out = None
-    for given in configurations:
-        options = {k: v for k, v in given.items() if k != "name"}
-        settings = Ensemble(members=members, seed=seed, **({"learner": learner} if learner else {}), **options)
-        scores = cross_validated(df, lambda train, test, s=settings: s.fit(train).predict(test), folds, seed)
-        part = scores.withColumn("name", F.lit(given["name"]))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.summary(out, "name")
+
+    def method(options):
+        def fit_predict(train, test):
+            return Ensemble(members=members, seed=seed, **({"learner": learner} if learner else {}), **options).fit(train).predict(test)
+
+        return fit_predict
+
+    return compared(df, {given["name"]: method({k: v for k, v in given.items() if k != "name"}) for given in configurations}, folds, seed)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import uniform
+from evenhand.operators.ranking import by_range, by_uniform, medians, ranked
 
 
 def class_counts(df: DataFrame) -> DataFrame:
@@ -14,9 +15,9 @@ def class_counts(df: DataFrame) -> DataFrame:
 
 def stratified_split(df: DataFrame, test_share: float = 0.3, seed: int = 42) -> DataFrame:
     """row_id, label, is_test: of each class the nearest whole number of rows, drawn by keyed uniforms."""
-    order = Window.partitionBy("label").orderBy(uniform(seed, "split", F.col("row_id")), "row_id")
-    ranked = df.select("row_id", "label", F.row_number().over(order).alias("rk")).join(F.broadcast(class_counts(df)), "label")
-    return ranked.select("row_id", "label", (F.col("rk") <= F.floor(F.col("n") * test_share + 0.5)).alias("is_test"))
+    keyed = df.select("row_id", "label", uniform(seed, "split", F.col("row_id")).alias("u"))
+    numbered = ranked(keyed, ["label"], by_uniform(F.col("u")), ["u", "row_id"], "rk").join(F.broadcast(class_counts(df)), "label")
+    return numbered.select("row_id", "label", (F.col("rk") <= F.floor(F.col("n") * test_share + 0.5)).alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, folds: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
@@ -33,10 +34,14 @@ def stratified_folds(df: DataFrame, folds: int = 5, shuffle: bool = False, seed:
     dealt = dealt.withColumn("size", upto(F.col("o") + F.col("n")) - upto(F.col("o")))
     sums = Window.partitionBy("label").orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = dealt.withColumn("end", F.sum("size").over(sums)).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("fold", "end"))).alias("ends"))
-    key = [uniform(seed, "fold", F.col("row_id"))] if shuffle else []
-    order = Window.partitionBy("label").orderBy(*key, "row_id")
-    ranked = df.select("row_id", "label", F.row_number().over(order).alias("rk")).join(F.broadcast(ends), "label")
-    return ranked.select("row_id", "label", F.filter("ends", lambda e: F.col("rk") <= e["end"])[0]["fold"].alias("fold"))
+    if shuffle:
+        keyed = df.select("row_id", "label", uniform(seed, "fold", F.col("row_id")).alias("u"))
+        numbered = ranked(keyed, ["label"], by_uniform(F.col("u")), ["u", "row_id"], "rk")
+    else:
+        spans = df.groupBy("label").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+        keyed = df.select("row_id", "label").join(F.broadcast(spans), "label")
+        numbered = ranked(keyed, ["label"], by_range(F.col("row_id"), F.col("low"), F.col("high")), ["row_id"], "rk")
+    return numbered.join(F.broadcast(ends), "label").select("row_id", "label", F.filter("ends", lambda e: F.col("rk") <= e["end"])[0]["fold"].alias("fold"))
 
 
 def confusion(pred: DataFrame) -> DataFrame:
@@ -78,16 +83,16 @@ def report(pred: DataFrame) -> DataFrame:
     return each.withColumn("label", F.col("label").cast("string")).unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
-def roc_auc(scored: DataFrame, positive=1) -> DataFrame:
-    """Area under the ROC curve of ``score``, ties counted half: from counts by distinct score, so that windows run over
-    distinct scores only."""
+def roc_auc(scored: DataFrame, positive=1, *by: str) -> DataFrame:
+    """by..., auc: area under the ROC curve of ``score``, ties counted half: from counts by distinct score, so that windows
+    run over distinct scores only."""
     yes = (F.col("label") == F.lit(positive)).cast("long")
-    by = scored.groupBy("score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("n"))
-    by = by.withColumn("part", F.floor(F.col("score") * 1024))
-    parts = by.groupBy("part").agg(F.sum("n").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.join(F.broadcast(parts.select("part", "below")), "part").withColumn("under", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return ranked.agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    counts = scored.groupBy(*by, "score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("n")).withColumn("part", F.floor(F.col("score") * 1024))
+    over = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("below"))
+    inside = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.join(F.broadcast(parts), [*by, "part"]).withColumn("under", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return numbered.groupBy(*by).agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def summary(scores: DataFrame, *by: str) -> DataFrame:
@@ -97,5 +102,31 @@ def summary(scores: DataFrame, *by: str) -> DataFrame:
 
 def hardness_statistics(df: DataFrame) -> DataFrame:
     """mean, std, min, max, median of complexity, overall (null label) and by class."""
-    c = F.col("complexity")
-    return df.rollup("label").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.lit(0.5)).alias("median"))
+    c, key = F.col("complexity"), F.coalesce(F.concat(F.lit("of "), F.col("label").cast("string")), F.lit("all")).alias("~k")
+    stats = df.rollup("label").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).select("*", key)
+    twice = df.select(F.explode(F.array(F.concat(F.lit("of "), F.col("label").cast("string")), F.lit("all"))).alias("~k"), "complexity")
+    return stats.join(F.broadcast(medians(twice, "~k", "complexity")), "~k").drop("~k")
+
+
+def scores(probabilities: DataFrame, positive=1, *by: str) -> DataFrame:
+    """by..., row_id, label, pred (the class with the largest p, the smallest among equals) and score (p of the positive
+    class; 0 if it has none)."""
+    best = F.min(F.struct((-F.col("p")).alias("n"), "class"))["class"]
+    return probabilities.groupBy(*by, "row_id", "label").agg(best.alias("pred"), F.coalesce(F.max(F.when(F.col("class") == F.lit(positive), F.col("p"))), F.lit(0.0)).alias("score"))
+
+
+def all_metrics(scored: DataFrame, positive=1, *by: str) -> DataFrame:
+    """by..., accuracy, precision, recall, f1 and auc of each group of scored rows (label, pred, score)."""
+    yes, said = F.col("label") == F.lit(positive), F.col("pred") == F.lit(positive)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    cells = scored.groupBy(*by).agg(count(~yes & ~said).alias("tn"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"), count(yes & said).alias("tp"))
+    out = cells.select(*by, _ratio("tn + tp", "tn + fp + fn + tp").alias("accuracy"), _ratio("tp", "tp + fp").alias("precision"), _ratio("tp", "tp + fn").alias("recall"), _ratio("2 * tp", "2 * tp + fp + fn").alias("f1"))
+    area = roc_auc(scored, positive, *by)
+    return out.join(F.broadcast(area), list(by)) if by else out.crossJoin(F.broadcast(area))
+
+
+def winners(table: DataFrame, metrics: tuple[str, ...] = ("f1", "auc", "recall")) -> DataFrame:
+    """metric, name and value of the best row for each metric; table has ``position`` and name, the first of equals wins."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("x")
+    best = table.select("position", "name", each).groupBy("x.metric").agg(F.min(F.struct((-F.col("x.value")).alias("n"), "position", "name")).alias("b"))
+    return best.select("metric", F.col("b.name").alias("name"), (-F.col("b.n")).alias("value"))

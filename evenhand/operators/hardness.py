@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import distance, min_max
-from evenhand.operators.evaluation import stratified_folds
-from evenhand.operators.learners import NearestCentroid
-from evenhand.operators.neighbours import nearest
+from evenhand.operators.evaluation import class_counts, stratified_folds
+from evenhand.operators.learners import SparkLearner
+from evenhand.operators.neighbours import nearest, within
+from evenhand.sources.staging import cut
 
 
 def feature_ranges(df: DataFrame) -> DataFrame:
@@ -51,18 +52,20 @@ def neighbourhood(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def error_rate(df: DataFrame, learner=None, folds: int = 5) -> DataFrame:
-    """1 - out-of-fold probability of the true class; a class that the training folds lack counts 1."""
+    """1 - out-of-fold probability of the true class, by a decision tree unless another learner is given; a class that the
+    training folds lack counts 1. If every class has fewer rows than there are folds, all rows train and are scored."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    learner = learner or NearestCentroid()
-    assigned = stratified_folds(df, folds).join(df, ["row_id", "label"])
-    parts = []
-    for f in range(folds):
-        model = learner.fit(assigned.where(F.col("fold") != f).drop("fold"))
-        parts.append(model.probabilities(assigned.where(F.col("fold") == f).drop("fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    learner = learner or SparkLearner("tree")
+    own = df.select("row_id", "label", "features")
+    if (class_counts(own).agg(F.max("n")).first()[0] or 0) < folds:
+        out = learner.fit(own).probabilities(own)
+    else:
+        assigned = cut(stratified_folds(own, folds).join(own, ["row_id", "label"]))
+        out = None
+        for f in range(folds):
+            part = learner.fit(assigned.where(F.col("fold") != f).drop("fold")).probabilities(assigned.where(F.col("fold") == f).drop("fold"))
+            out = part if out is None else out.unionByName(part)
     true = out.where(F.col("class") == F.col("label")).select("row_id", "p")
     return df.select("row_id", "label").join(true, "row_id", "left").select("row_id", "label", (1 - F.coalesce("p", F.lit(0.0))).alias("complexity"))
 
@@ -82,27 +85,66 @@ def minority_value(df: DataFrame) -> DataFrame:
     return df.select("row_id", "label").join(F.broadcast(table), "label").select("row_id", "label", "complexity")
 
 
-def _nearest_friend_and_enemy(df: DataFrame) -> DataFrame:
-    """row_id, label and the distances of the nearest row of the same and of another class."""
-    classes = [r["label"] for r in df.select("label").distinct().orderBy("label").limit(1000).collect()]
-    parts = None
-    for c in classes:
-        near = nearest(df, df.where(F.col("label") == F.lit(c)), 1).select(F.col("query_id").alias("row_id"), F.sqrt("d2").alias("d"), F.lit(c).alias("c"))
-        parts = near if parts is None else parts.unionByName(near)
-    joined = df.select("row_id", "label").join(parts, "row_id")
-    same = F.col("c") == F.col("label")
-    return joined.groupBy("row_id", "label").agg(F.min(F.when(same, F.col("d"))).alias("friend"), F.min(F.when(~same, F.col("d"))).alias("enemy"))
+def _friends_and_enemies(df: DataFrame) -> DataFrame:
+    """row_id, label, friend (distance of the nearest other row of the class), enemy and enemy_id (nearest row of another)."""
+    n = df.count()
+    own = df.select(F.col("row_id").alias("query_id"), F.col("label"))
+    friend = nearest(df, df, 1, by=["label"], n_rows=n, n_queries=n).select("query_id", F.sqrt("d2").alias("friend"))
+    enemy = nearest(df, df, 1, n_rows=n, n_queries=n, unlike=True).select("query_id", F.sqrt("d2").alias("enemy"), F.col("row_id").alias("enemy_id"))
+    return own.join(friend, "query_id", "left").join(enemy, "query_id", "left").withColumnRenamed("query_id", "row_id")
 
 
 def n2(df: DataFrame) -> DataFrame:
-    """r / (1 + r) of the ratio r of the distances to the nearest friend and the nearest enemy."""
+    """r / (1 + r) of the ratio r of the distances to the nearest friend and the nearest enemy; 1 without either."""
     r = F.col("friend") / F.when(F.col("enemy") > 0, F.col("enemy"))
-    return _nearest_friend_and_enemy(df).select("row_id", "label", F.coalesce(r / (1 + r), F.lit(1.0)).alias("complexity"))
+    return _friends_and_enemies(df).select("row_id", "label", F.coalesce(r / (1 + r), F.lit(1.0)).alias("complexity"))
+
+
+def _local_sets(df: DataFrame) -> DataFrame:
+    """row_id, label, enemy, n_within, n_holding, farthest and n (rows of the class): the local set of a row are the rows of its
+    class that are nearer than its nearest enemy."""
+    near = _friends_and_enemies(df).withColumn("radius", F.coalesce("enemy", F.lit(float("inf"))))
+    found = within(df, near).join(near.select("row_id", "label", "enemy"), "row_id")
+    return found.join(F.broadcast(class_counts(df)), "label")
+
+
+def local_set_cardinality(df: DataFrame) -> DataFrame:
+    """1 - share of the class that the row's local set, the row included, makes up."""
+    return _local_sets(df).select("row_id", "label", (1 - (F.col("n_within") + 1) / F.col("n")).alias("complexity"))
+
+
+def local_set_radius(df: DataFrame) -> DataFrame:
+    """1 - distance of the nearest enemy over that of the farthest row of the class, at least 0."""
+    share = F.when(F.col("farthest") > 0, F.least(F.lit(1.0), F.coalesce("enemy", "farthest") / F.col("farthest"))).otherwise(F.lit(1.0))
+    return _local_sets(df).select("row_id", "label", (1 - share).alias("complexity"))
+
+
+def usefulness(df: DataFrame) -> DataFrame:
+    """1 - share of the class whose local sets hold the row, the row's own included."""
+    return _local_sets(df).select("row_id", "label", (1 - (F.col("n_holding") + 1) / F.col("n")).alias("complexity"))
+
+
+def harmfulness(df: DataFrame) -> DataFrame:
+    """Share of the rows of other classes whose nearest enemy the row is."""
+    hit = _friends_and_enemies(df).where(F.col("enemy_id").isNotNull()).groupBy(F.col("enemy_id").alias("row_id")).agg(F.count(F.lit(1)).alias("hits"))
+    counts = class_counts(df)
+    others = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("label", (F.col("all") - F.col("n")).alias("others"))
+    share = F.when(F.col("others") > 0, F.coalesce("hits", F.lit(0)) / F.col("others")).otherwise(F.lit(0.0))
+    return df.select("row_id", "label").join(hit, "row_id", "left").join(F.broadcast(others), "label").select("row_id", "label", share.alias("complexity"))
+
+
+def feature_overlap(df: DataFrame) -> DataFrame:
+    """Share of the features whose value lies where the ranges of all classes overlap."""
+    ranges = df.select("label", F.posexplode("features").alias("pos", "v")).groupBy("label", "pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    both = ranges.groupBy("pos").agg(F.max("low").alias("low"), F.min("high").alias("high")).agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("~r"))
+    inside = F.aggregate(F.zip_with("features", "~r", lambda x, r: ((x >= r["low"]) & (x <= r["high"])).cast("double")), F.lit(0.0), lambda t, x: t + x)
+    return df.crossJoin(F.broadcast(both)).select("row_id", "label", (inside / F.size("features")).alias("complexity"))
 
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "overlap": overlap, "neighborhood": neighbourhood, "kdn": neighbourhood, "error_rate": error_rate,
-    "class_balance": class_balance, "minority_value": minority_value, "n2": n2,
+    "class_balance": class_balance, "minority_value": minority_value, "n2": n2, "lsc": local_set_cardinality,
+    "lsr": local_set_radius, "usefulness": usefulness, "harmfulness": harmfulness, "f1": feature_overlap,
 }
 
 

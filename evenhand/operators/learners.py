@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.functions.vectors import distance
+from evenhand.functions.vectors import distance, uniform
+
+#: Classes that a tree learner takes.
+MOST_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ class NearestCentroidModel:
 
 @dataclass(frozen=True)
 class SparkLearner:
-    """A pyspark.ml classifier made afresh for each fit; classes are indexed in their natural order."""
+    """A pyspark.ml classifier made afresh for each fit; classes are indexed in their natural order. A column ``weight`` counts."""
 
     kind: str = "tree"
     seed: int = 42
@@ -46,17 +50,52 @@ class SparkLearner:
         from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
         from pyspark.ml.functions import array_to_vector
 
-        classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(10_000).collect()]
+        classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(MOST_CLASSES + 1).collect()]
+        if len(classes) > MOST_CLASSES:
+            raise ValueError(f"trees take at most {MOST_CLASSES} classes")
         made = {
             "tree": lambda: DecisionTreeClassifier(maxDepth=30, seed=self.seed),
             "forest": lambda: RandomForestClassifier(numTrees=self.trees, maxDepth=15, seed=self.seed),
-            "bagging": lambda: RandomForestClassifier(numTrees=self.trees, maxDepth=15, featureSubsetStrategy="all", seed=self.seed),
         }[self.kind]()
         index = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))))
-        model = made.setFeaturesCol("~v").setLabelCol("~y").fit(rows.select(array_to_vector("features").alias("~v"), index[F.col("label")].alias("~y")))
+        made = made.setFeaturesCol("~v").setLabelCol("~y")
+        made = made.setWeightCol("weight") if "weight" in rows.columns else made
+        model = made.fit(rows.select(array_to_vector("features").alias("~v"), index[F.col("label")].alias("~y"), *(c for c in rows.columns if c == "weight")))
         return SparkModel(model, tuple(classes))
 
 
+@dataclass(frozen=True)
+class Bagging:
+    """Trees on keyed bootstrap bags: each row counts as often in a bag as a Poisson draw of mean 1 by its key says."""
+
+    trees: int = 10
+    seed: int = 42
+
+    def fit(self, rows: DataFrame) -> BaggingModel:
+        models = []
+        for i in range(self.trees):
+            u, below, share, times = uniform(self.seed, f"bag{i}", F.col("row_id")), 0.0, exp(-1.0), F.lit(0)
+            for n in range(1, 12):
+                below += share
+                share /= n
+                times = times + (u >= below).cast("int")
+            models.append(SparkLearner("tree", self.seed + i).fit(rows.withColumn("weight", times.cast("double")).where("weight > 0")))
+        return BaggingModel(tuple(models))
+
+
+@dataclass(frozen=True)
+class BaggingModel:
+    models: tuple
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """Means over the trees; a class that a bag lacks counts 0 there."""
+        out = None
+        for m in self.models:
+            part = m.probabilities(rows)
+            out = part if out is None else out.unionByName(part)
+        return out.groupBy("row_id", "label", "class").agg((F.sum("p") / len(self.models)).alias("p"))
+
+
 @dataclass(frozen=True)
 class SparkModel:
     model: object

@@ -11,49 +11,102 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """by..., query_id, rank, row_id, d2 (squared distance) and the ``label`` of each neighbour: the k nearest of each query.
+def _blocks(queries: DataFrame, rows: DataFrame, by: list[str], a: int, b: int) -> tuple:
+    """The two sides, dealt into a times b blocks, to be grouped by (g, x, y) and (h, u, v)."""
+    block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = F.concat_ws(":", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
+    code = F.xxhash64(F.col("label").cast("string")).alias("code")
+    left = queries.select(group.alias("g"), block(a).alias("x"), every(b).alias("y"), "row_id", "features", code, *(c for c in queries.columns if c == "radius"))
+    right = rows.select(group.alias("h"), every(a).alias("u"), block(b).alias("v"), F.col("row_id").alias("rid"), F.col("features").alias("rf"), code)
+    return left.groupBy("g", "x", "y").cogroup(right.groupBy("h", "u", "v"))
+
+
+def _parts(n: int) -> int:
+    return max(1, -(-n // BLOCK))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.tolist(), float)
+
+
+def _exact(p: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(i))
+    for c in range(x.shape[1]):
+        out += (p[i, c] - x[j, c]) ** 2
+    return out
+
+
+def _rounding(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.linalg.norm(p, axis=1) + np.linalg.norm(x, axis=1).max()) ** 2
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, n_queries: int | None = None, unlike: bool = False) -> DataFrame:
+    """query_id, rank, row_id, d2 (squared distance) and the ``label`` of each neighbour: the k nearest of each query, with
+    ``unlike`` among the rows of other labels.
 
     Ties go to the query itself and then to the smaller id. Both sides are dealt into blocks by a hash of the id; a task
     compares one block with another and keeps k of each query, so what is shuffled grows with blocks, not with pairs. The
-    work is still the product of both sides: for very large tables index them first.
+    work is still the product of both sides: for very large tables index them first. The numbers of rows, if they are known
+    (an upper bound will do), save counting.
     """
-    by = by or []
-    parts = lambda n: max(1, -(-n // BLOCK))
-    a, b = parts(n_queries or queries.count()), parts(n_rows or rows.count())
-    block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    group = F.concat_ws(":", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
-    left = queries.select(group.alias("g"), block(a).alias("x"), every(b).alias("y"), "row_id", "features")
-    right = rows.select(group.alias("h"), every(a).alias("u"), block(b).alias("v"), F.col("row_id").alias("rid"), F.col("features").alias("rf"))
+    a, b = _parts(n_queries or queries.count()), _parts(n_rows or rows.count())
 
     def top(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row_id": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
         if not len(q) or not len(r):
             return empty
-        r = r.rename(columns={"rid": "row_id", "rf": "features"}).sort_values("row_id")
-        x, ids = np.array(r["features"].tolist(), float), r["row_id"].to_numpy()
+        r = r.sort_values("rid")
+        x, ids, codes = _matrix(r["rf"]), r["rid"].to_numpy(), r["code"].to_numpy()
         got = []
         for begin in range(0, len(q), 256):
-            p = np.array(q["features"].iloc[begin : begin + 256].tolist(), float)
-            own = q["row_id"].to_numpy()[begin : begin + 256]
+            p = _matrix(q["features"].iloc[begin : begin + 256])
+            own, own_code = (q[c].to_numpy()[begin : begin + 256] for c in ("row_id", "code"))
             d = (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :]
             if exclude_self:
                 d[own[:, None] == ids[None, :]] = np.inf
+            if unlike:
+                d[own_code[:, None] == codes[None, :]] = np.inf
             # the product may reorder near ties: exact distances decide among all that rounding can't tell from the k-th
             kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(p), np.inf)
-            rounding = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.linalg.norm(p, axis=1) + np.linalg.norm(x, axis=1).max()) ** 2
-            i, j = np.nonzero(~(d > (kth + rounding)[:, None]))
-            exact = np.zeros(len(i))
-            for c in range(x.shape[1]):
-                exact += (p[i, c] - x[j, c]) ** 2
-            f = pd.DataFrame({"query_id": own[i], "row_id": ids[j], "d2": exact})
-            f = f[f["query_id"] != f["row_id"]] if exclude_self else f
+            i, j = np.nonzero(~(d > (kth + _rounding(p, x))[:, None]) & (d < np.inf))
+            f = pd.DataFrame({"query_id": own[i], "row_id": ids[j], "d2": _exact(p, x, i, j)})
             f = f.assign(o=f["query_id"] != f["row_id"]).sort_values(["query_id", "d2", "o", "row_id"])
             got.append(f.groupby("query_id", sort=False).head(k)[["query_id", "row_id", "d2"]])
         return pd.concat(got)
 
-    found = left.groupBy("g", "x", "y").cogroup(right.groupBy("h", "u", "v")).applyInPandas(top, "query_id long, row_id long, d2 double")
+    found = _blocks(queries, rows, by or [], a, b).applyInPandas(top, "query_id long, row_id long, d2 double")
     order = Window.partitionBy("query_id").orderBy("d2", F.col("query_id") != F.col("row_id"), "row_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(rows.select("row_id", F.col("label")), "row_id").select("query_id", "rank", "row_id", "d2", "label")
+
+
+def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """row_id, n_within (rows of its label nearer than its radius, itself not counted), n_holding (rows of its label that hold
+    it within theirs) and farthest (distance of the farthest row of its label).
+
+    radii has row_id and radius. Blocks meet as in ``nearest``, and each sends counts only.
+    """
+    n = _parts(n_rows or rows.count())
+    asking = rows.join(radii.select("row_id", "radius"), "row_id")
+
+    def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"row_id": pd.Series(dtype="int64"), "n_within": pd.Series(dtype="int64"), "n_holding": pd.Series(dtype="int64"), "farthest": pd.Series(dtype="float64")})]
+        if len(q) and len(r):
+            x, ids = _matrix(r["rf"]), r["rid"].to_numpy()
+            holding = np.zeros(len(r), np.int64)
+            for begin in range(0, len(q), 256):
+                part = q.iloc[begin : begin + 256]
+                p, own, radius = _matrix(part["features"]), part["row_id"].to_numpy(), part["radius"].to_numpy(float)
+                d = np.zeros((len(p), len(x)))
+                for c in range(x.shape[1]):  # exact, as radii are distances of rows
+                    d += (p[:, c, None] - x[None, :, c]) ** 2
+                d = np.sqrt(d)
+                inside = (d < radius[:, None]) & (own[:, None] != ids[None, :])
+                holding += inside.sum(0)
+                parts.append(pd.DataFrame({"row_id": own, "n_within": inside.sum(1), "n_holding": 0, "farthest": d.max(1)}))
+            parts.append(pd.DataFrame({"row_id": ids, "n_within": 0, "n_holding": holding, "farthest": 0.0}))
+        return pd.concat(parts)
+
+    found = _blocks(asking, rows, ["label"], n, n).applyInPandas(count, "row_id long, n_within long, n_holding long, farthest double")
+    return found.groupBy("row_id").agg(F.sum("n_within").alias("n_within"), F.sum("n_holding").alias("n_holding"), F.max("farthest").alias("farthest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,14 @@ from evenhand.functions.vectors import gaussian, interpolated, uniform
 from evenhand.operators.evaluation import class_counts
 from evenhand.operators.hardness import with_complexity
 from evenhand.operators.neighbours import nearest
+from evenhand.operators.ranking import RANKED, by_octave, ranked
+from evenhand.sources.frame import validated
+from evenhand.sources.staging import cut
 
-#: Hash ranges of a class in which running weights are summed, so that no task holds a whole class.
+#: Hash ranges of a class in which running weights are summed, at least: larger classes have more, of about RANKED rows.
 RANGES = 64
+#: Slots that one row stands for until they are dealt out.
+SLOTS = 10_000
 
 STRATEGIES = {"auto": "mean", "all": "mean", "mean": "mean", "median": "median", "max": "max", "min": "min"}
 
@@ -44,10 +51,15 @@ def undersample(df: DataFrame, targets: DataFrame, seed: int = 42, by: tuple[str
     ``targets`` has label and target. Classes that aren't larger are kept whole.
     """
     key = -F.log(uniform(seed, "under", F.col("row_id"))) / F.col("weight")
-    order = Window.partitionBy(*by, "label").orderBy("~key", "row_id")
-    most = targets.agg(F.max("target")).first()[0] or 0  # a literal limit lets each task keep that many rows only
-    ranked = df.withColumn("~key", key).withColumn("~rk", F.row_number().over(order)).where(F.col("~rk") <= most)
-    return ranked.join(F.broadcast(targets.select("label", "target")), "label").where(F.col("~rk") <= F.col("target")).drop("~key", "~rk", "target")
+    rows = df.withColumn("~key", key).join(F.broadcast(targets.select("label", F.col("target").alias("~t"))), "label")
+    return ranked(rows, [*by, "label"], by_octave(F.col("~key")), ["~key", "row_id"], "~rk", F.col("~t")).drop("~key", "~rk", "~t")
+
+
+def slots_of(short: DataFrame, *keys: str) -> DataFrame:
+    """keys... and slot from 1 to ``missing``, in stretches that are dealt out before they are written down."""
+    parts = short.select(*keys, "missing", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("missing") - 1) / SLOTS))).alias("part"))
+    first = F.col("part") * SLOTS + 1
+    return parts.repartition(*keys, "part").select(*keys, F.explode(F.sequence(first, F.least(F.col("missing"), first + SLOTS - 1))).alias("slot"))
 
 
 def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
@@ -57,8 +69,9 @@ def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] =
     inside hash ranges and over the ranges; slots find the range first, then their row by an as-of union inside it.
     """
     keys = [*by, "label"]
-    block = F.floor(uniform(seed, "range", F.col("row_id")) * RANGES).cast("int")
-    rows = df.select(*keys, "row_id", "weight", block.alias("block"))
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(RANGES), F.ceil(F.count(F.lit(1)) / RANKED)).alias("~m"))
+    block = F.floor(uniform(seed, "range", F.col("row_id")) * F.col("~m")).cast("int")
+    rows = df.join(F.broadcast(sizes), keys).select(*keys, "row_id", "weight", block.alias("block"))
     sums = rows.groupBy(*keys, "block").agg(F.sum("weight").alias("w"))
     over = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = sums.withColumn("end", F.sum("w").over(over))
@@ -74,19 +87,21 @@ def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] =
     return both.withColumn("seed_row_id", F.last("row_id", ignorenulls=True).over(before)).where(F.col("kind") == 1).select(*keys, "slot", "seed_row_id")
 
 
-def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = (), base: DataFrame | None = None) -> DataFrame:
     """Synthetic rows that bring smaller classes to ``target``: label, slot, seed_row_id, neighbor_row_id, alpha, features.
 
-    Each lies between a seed drawn by weight and one of the k nearest rows of its class, the seed included.
+    Each lies between a seed drawn by weight and one of the k nearest rows of its class, the seed included. ``base`` has the
+    rows once, if df has them several times.
     """
     keys = [*by, "label"]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets.select("label", "target")), "label")
-    short = counts.where(F.col("n") < F.col("target"))
-    slots = short.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n"))).alias("slot"))
-    drawn = seeds(df.join(F.broadcast(short.select(*keys)), keys), slots, seed, by).persist()  # read three times
-    points = df.select("row_id", "label", "features").dropDuplicates(["row_id"]).join(F.broadcast(short.select("label").distinct()), "label", "left_semi")
-    chosen = drawn.select(F.col("seed_row_id").alias("row_id")).distinct().join(points, "row_id")
-    near = nearest(chosen, points, k, by=["label"], exclude_self=False).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id"))).alias("near"))
+    base = df if base is None else base
+    counts = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets.select("label", "target")), "label").where(F.col("n") < F.col("target"))
+    # a row for each class
+    n_short = counts.agg(F.sum("n")).first()[0] or 1
+    short = df.select(*keys).distinct().join(F.broadcast(counts), "label").withColumn("missing", F.col("target") - F.col("n"))
+    drawn = seeds(df.join(F.broadcast(counts.select("label")), "label"), slots_of(short, *keys), seed, by)
+    points = base.select("row_id", "label", "features").join(F.broadcast(counts.select("label")), "label")
+    near = nearest(points, points, k, by=["label"], exclude_self=False, n_rows=n_short, n_queries=n_short).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id"))).alias("near"))
     u = lambda purpose: uniform(seed, purpose, F.col("label"), F.col("slot"))
     picked = drawn.join(near, F.col("seed_row_id") == F.col("query_id")).withColumn("pick", F.floor(u("nbr") * F.size("near")).cast("int"))
     picked = picked.select(*keys, "slot", "seed_row_id", F.get("near", F.col("pick"))["row_id"].alias("neighbor_row_id"), u("alpha").alias("alpha"))
@@ -95,20 +110,55 @@ def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by
     return picked.join(a, "seed_row_id").join(b, "neighbor_row_id").select(*keys, "slot", "seed_row_id", "neighbor_row_id", "alpha", interpolated("~a", "~b", F.col("alpha")).alias("features"))
 
 
-def resample_weighted(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+def resample_weighted(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = (), base: DataFrame | None = None) -> DataFrame:
     """by..., label, row_id (null in synthetic rows), slot, is_synthetic, seed_row_id, neighbor_row_id, features."""
     kept = undersample(df, targets, seed, by)
     none = F.lit(None).cast("long")
     real = kept.select(*by, "label", F.col("row_id").cast("long").alias("row_id"), none.alias("slot"), F.lit(False).alias("is_synthetic"), none.alias("seed_row_id"), none.alias("neighbor_row_id"), "features")
-    made = oversample(df, targets, k, seed, by)
+    made = oversample(df, targets, k, seed, by, base)
     synthetic = made.select(*by, "label", none.alias("row_id"), "slot", F.lit(True).alias("is_synthetic"), "seed_row_id", "neighbor_row_id", "features")
     return real.unionByName(synthetic)
 
 
 def resample(df: DataFrame, mu: float = 0.5, sigma: float = 0.2, k: int = 3, hardness="overlap", strategy: str = "auto", seed: int = 42) -> DataFrame:
     """Every class at the target size, easy rows preferred for mu near 0 and hard ones for mu near 1."""
-    hard = df if "complexity" in df.columns else with_complexity(df, hardness).persist()
-    return resample_weighted(with_weights(hard, mu, sigma), class_info(df, strategy).select("label", "target"), k, seed)
+    return Resampler(hardness, strategy, seed).fit(df).resample(mu, sigma, k)
+
+
+@dataclass(frozen=True)
+class Resampler:
+    """Settings; fit gives a FittedResampler."""
+
+    hardness: object = "overlap"
+    strategy: str = "auto"
+    seed: int = 42
+
+    def get_params(self) -> dict:
+        return asdict(self)
+
+    def with_params(self, **changed) -> Resampler:
+        return replace(self, **changed)
+
+    def fit(self, df: DataFrame) -> FittedResampler:
+        """Validates the rows and finds their hardness (a ``complexity`` column of their own is taken as it is)."""
+        rows = validated(cut(df))  # hardness reads the rows several times
+        hard = rows if "complexity" in rows.columns else cut(with_complexity(rows, self.hardness))
+        return FittedResampler(self, hard, cut(class_info(hard, self.strategy)))
+
+
+@dataclass(frozen=True)
+class FittedResampler:
+    """Rows with their hardness, resampled as often as asked for."""
+
+    settings: Resampler
+    hard: DataFrame
+    info: DataFrame
+
+    def complexities(self) -> DataFrame:
+        return self.hard.select("row_id", "complexity")
+
+    def resample(self, mu: float = 0.5, sigma: float = 0.2, k: int = 3) -> DataFrame:
+        return resample_weighted(with_weights(self.hard, mu, sigma), self.info.select("label", "target"), k, self.settings.seed)
 
 
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:

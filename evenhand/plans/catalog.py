@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.operators import ensemble, evaluation, hardness, neighbours, sampling
-from evenhand.operators.learners import NearestCentroid, SparkLearner
+from evenhand.operators import comparison, ensemble, evaluation, hardness, neighbours, sampling
+from evenhand.operators.learners import Bagging, NearestCentroid, SparkLearner
 from evenhand.sources.frame import canonical, doc_table, embedding_table, imbalanced
+from evenhand.sources.staging import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -162,6 +163,26 @@ query("hardness_neighborhood", f"WITH {EMB}, {knn_sql(5)} SELECT query_id AS row
 query("hardness_class_balance", f"WITH {EMB}, {COUNTS} SELECT row_id, label, round(1e0 / (SELECT count(*) FROM counts) - n / (SELECT sum(n) FROM counts)::DOUBLE, 6) AS complexity FROM doc JOIN counts USING (label)")(hard("class_balance", embedding_table))
 query("hardness_minority_value", f"WITH {EMB}, {COUNTS} SELECT row_id, label, round(1 - n / (SELECT max(n) FROM counts)::DOUBLE, 6) AS complexity FROM doc JOIN counts USING (label)")(hard("minority_value", embedding_table))
 query("hardness_n2", f"WITH {EMB2}, d AS (SELECT a.row_id, a.label, min(list_distance(a.features, b.features)) FILTER (a.label = b.label) AS f, min(list_distance(a.features, b.features)) FILTER (a.label <> b.label) AS e FROM doc a JOIN doc b ON a.row_id <> b.row_id GROUP BY a.row_id, a.label) SELECT row_id, label, round(coalesce(f / nullif(e, 0) / (1 + f / nullif(e, 0)), 1), 6) AS complexity FROM d")(hard("n2", lambda s, d: embedding_table(s, d, True)))
+SETS = (
+    "pairs AS (SELECT a.row_id AS i, b.row_id AS j, a.label = b.label AS same, list_distance(a.features, b.features) AS d FROM doc a JOIN doc b ON a.row_id <> b.row_id)"
+    f", {COUNTS}, enemies AS (SELECT i, min(d) FILTER (NOT same) AS e, arg_min(j, (d, j)) FILTER (NOT same) AS enemy, max(d) FILTER (same) AS far FROM pairs GROUP BY i)"
+    ", sets AS (SELECT i, j FROM pairs JOIN enemies USING (i) WHERE same AND d < e)"
+)
+_emb2 = lambda s, d: embedding_table(s, d, True)
+for _kind, _sql in (
+    ("lsc", "1 - ((SELECT count(*) FROM sets WHERE sets.i = doc.row_id) + 1) / n::DOUBLE"),
+    ("usefulness", "1 - ((SELECT count(*) FROM sets WHERE sets.j = doc.row_id) + 1) / n::DOUBLE"),
+    ("harmfulness", "(SELECT count(*) FROM enemies WHERE enemy = doc.row_id) / ((SELECT sum(n) FROM counts) - n)::DOUBLE"),
+    ("lsr", "1 - least(1, (SELECT e / far FROM enemies WHERE enemies.i = doc.row_id))"),
+):
+    query(f"hardness_{_kind}", f"WITH {EMB2}, {SETS} SELECT row_id, label, round({_sql}, 6) AS complexity FROM doc JOIN counts USING (label)")(hard(_kind, _emb2))
+query(
+    "hardness_f1",
+    f"WITH {DOC}, cells AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM doc), r AS (SELECT label, pos, min(v) AS low, max(v) AS high FROM cells GROUP BY label, pos), o AS (SELECT pos, max(low) AS low, min(high) AS high FROM r GROUP BY pos) SELECT row_id, label, round(avg((v >= low AND v <= high)::INT), 6) AS complexity FROM cells JOIN o USING (pos) GROUP BY row_id, label",
+)(hard("f1"))
+query("hardness_overlap_degenerate", f"WITH {DOC} SELECT row_id, label, round(1e0 / count(*) OVER (), 6) AS complexity FROM doc")(
+    lambda spark, sf: rounded(hardness.overlap(doc_table(spark, sf).withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))), "complexity")
+)
 query("hardness_error_rate_tree")(lambda spark, sf: hardness.error_rate(doc_table(spark, sf), SparkLearner("tree"), 3))
 
 
@@ -171,6 +192,12 @@ def knn_topk(spark, sf):
     return rounded(neighbours.nearest(rows, rows, 5), "d2")
 
 
+@query("knn_within_class", f"WITH {EMB}, n AS (SELECT a.row_id AS query_id, b.row_id, list_distance(a.features, b.features) AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features), a.row_id <> b.row_id, b.row_id) AS rk FROM doc a JOIN doc b ON a.label = b.label QUALIFY rk <= 3) SELECT query_id, CAST(rk AS INT) AS rank, row_id, round(d * d, 6) AS d2 FROM n")
+def knn_within_class(spark, sf):
+    rows = embedding_table(spark, sf)
+    return rounded(neighbours.nearest(rows, rows, 3, by=["label"], exclude_self=False), "d2").select("query_id", "rank", "row_id", "d2")
+
+
 FOLDS = 3
 FOLD_SQL = (
     f"{COUNTS}, firsts AS (SELECT label, min(row_id) AS f FROM doc GROUP BY label), offs AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM counts JOIN firsts USING (label))"
@@ -208,26 +235,31 @@ def gaussian_weights(spark, sf):
     return rounded(sampling.with_weights(hardness.overlap(doc_table(spark, sf)), 0.5, 0.2).select("row_id", "label", "weight", "p"), "weight", "p")
 
 
+@query("gaussian_weights_floor", f"WITH {DOC}, {OVERLAP} SELECT row_id, label, round(ln(greatest(exp(-0.5e0 * pow((complexity - 1) / 0.1e0, 2)) / (0.1e0 * sqrt(2 * pi())), 1e-10)), 6) AS log_weight FROM hard")
+def gaussian_weights_floor(spark, sf):
+    return sampling.with_weights(hardness.overlap(doc_table(spark, sf)), 1.0, 0.1).select("row_id", "label", F.round(F.log("weight"), 6).alias("log_weight"))
+
+
 @query("undersample_weighted", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, row_id FROM real")
 def undersample_weighted(spark, sf):
-    docs = doc_table(spark, sf)
-    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    docs = cut(doc_table(spark, sf))
+    weighted = sampling.with_weights(cut(hardness.with_complexity(docs)), 0.5, 0.2)
     return sampling.undersample(weighted, sampling.class_info(docs), SEED).select("label", "row_id")
 
 
 @query("seed_lookup", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, slot, seed_row_id FROM drawn")
 def seed_lookup(spark, sf):
-    docs = doc_table(spark, sf)
-    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    docs = cut(doc_table(spark, sf))
+    weighted = sampling.with_weights(cut(hardness.with_complexity(docs)), 0.5, 0.2)
     short = sampling.class_info(docs).where("n < target")
-    slots = short.select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n"))).alias("slot"))
+    slots = sampling.slots_of(short.withColumn("missing", F.col("target") - F.col("n")), "label")
     return sampling.seeds(weighted, slots, SEED)
 
 
 @query("oversample_synthetic", f"WITH {DOC}, {OVERLAP}, {resample_sql('0.5e0')} SELECT label, slot, seed_row_id, neighbor_row_id, round(alpha, 6) AS alpha, {columns_sql(3, 'made')} FROM made")
 def oversample_synthetic(spark, sf):
-    docs = doc_table(spark, sf)
-    weighted = sampling.with_weights(hardness.with_complexity(docs), 0.5, 0.2)
+    docs = cut(doc_table(spark, sf))
+    weighted = sampling.with_weights(cut(hardness.with_complexity(docs)), 0.5, 0.2)
     return rounded(flat(sampling.oversample(weighted, sampling.class_info(docs), 3, SEED)), "alpha")
 
 
@@ -260,7 +292,7 @@ def mu_distribution(spark, sf):
 
 
 def fitted(spark, sf, learner=None, **options):
-    docs = doc_table(spark, sf)
+    docs = cut(doc_table(spark, sf))
     return docs, ensemble.Ensemble(members=MEMBERS, seed=SEED, learner=learner or NearestCentroid(), **options).fit(docs)
 
 
@@ -276,7 +308,7 @@ def bag_class_counts(spark, sf):
 
 @query("ensemble_diversity", f"{bags_sql()}, r AS (SELECT DISTINCT member_id, list_transform(features, lambda x: round(x, 6)) AS f FROM bag), z AS (SELECT member_id, count(*) AS n FROM r GROUP BY member_id), c AS (SELECT a.member_id AS i, b.member_id AS j, count(*) AS c FROM r a JOIN r b ON a.f = b.f AND a.member_id < b.member_id GROUP BY i, j) SELECT round(avg(1 - coalesce(c, 0) / (x.n + y.n - coalesce(c, 0) + 1e-10)), 6) AS diversity FROM z x JOIN z y ON x.member_id < y.member_id LEFT JOIN c ON i = x.member_id AND j = y.member_id")
 def ensemble_diversity(spark, sf):
-    made = ensemble.bags(doc_table(spark, sf), MEMBERS, seed=SEED).withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+    made = cut(ensemble.bags(doc_table(spark, sf), MEMBERS, seed=SEED)).withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
     return rounded(ensemble.diversity(made), "diversity")
 
 
@@ -376,39 +408,101 @@ def best_mu(spark, sf):
 
 @query("compare_configurations")
 def compare_configurations(spark, sf):
-    docs = doc_table(spark, sf).persist()
-    return ensemble.compare_configurations(docs, MEMBERS, folds=2, learner=NearestCentroid())
+    return ensemble.compare_configurations(doc_table(spark, sf), MEMBERS, folds=2, learner=NearestCentroid())
 
 
 @query("compare_learners")
 def compare_learners(spark, sf):
     """Weighted F1 over folds of tree, forest, bagging and the ensemble."""
-    docs = doc_table(spark, sf).persist()
 
     def alone(learner):
         return lambda train, test: ensemble.best_class(learner.fit(train).probabilities(test))
 
-    methods = {"tree": alone(SparkLearner("tree")), "forest": alone(SparkLearner("forest")), "bagging": alone(SparkLearner("bagging"))}
+    methods = {"tree": alone(SparkLearner("tree")), "forest": alone(SparkLearner("forest")), "bagging": alone(Bagging(5))}
     methods["ensemble"] = lambda train, test: ensemble.Ensemble(members=3, learner=SparkLearner("tree")).fit(train).predict(test)
-    out = None
-    for name, method in methods.items():
-        part = ensemble.cross_validated(docs, method, 2).withColumn("name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.summary(out, "name")
+    return ensemble.compared(doc_table(spark, sf), methods, 2)
+
+
+def parts(spark, sf):
+    """Training rows and the rows left out."""
+    docs = cut(doc_table(spark, sf))
+    split = cut(docs.join(evaluation.stratified_split(docs, 0.3, SEED), ["row_id", "label"]))
+    return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
+
+
+#: ``doc`` are the rows to train on, ``test`` those left out.
+PARTS = (
+    DOC.replace("doc AS", "alldoc AS", 1) + f", split AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {u_sql('split', 'row_id')}, row_id) <= floor(count(*) OVER (PARTITION BY label) * 0.3e0 + 0.5e0) AS is_test FROM alldoc)"
+    ", doc AS (SELECT row_id, label, features FROM split WHERE NOT is_test), test AS (SELECT row_id, label, features FROM split WHERE is_test)"
+)
+
+
+def scores_sql(by: str = "") -> str:
+    """``m``: the metrics of ``proba``, by ``by`` ("" or "member_id, ")."""
+    return (
+        f"pred AS (SELECT {by}row_id, label, class AS pred FROM proba QUALIFY row_number() OVER (PARTITION BY {by}row_id ORDER BY p DESC, class) = 1)"
+        f", ps AS (SELECT {by}row_id, label, p AS score FROM proba WHERE class = 1)"
+        f", au AS (SELECT {'a.' + by if by else ''}sum(CASE WHEN a.score > b.score THEN 1e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0e0 END) / count(*) AS auc FROM ps a JOIN ps b ON {'a.member_id = b.member_id AND ' if by else ''}a.label = 1 AND b.label <> 1 {'GROUP BY a.member_id' if by else ''})"
+        f", ce AS (SELECT {by}avg((label = pred)::INT) AS accuracy, coalesce(count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (pred = 1), 0)::DOUBLE, 0) AS precision, coalesce(count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE, 0) AS recall, coalesce(2 * count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1) + count(*) FILTER (pred = 1), 0)::DOUBLE, 0) AS f1 FROM pred {'GROUP BY member_id' if by else ''})"
+        f", m AS (SELECT ce.*, auc FROM ce {'JOIN au USING (member_id)' if by else ', au'})"
+    )
+
+
+ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in comparison.METRICS)
+EVALUATED = f"WITH {PARTS}, {nc_sql('doc', 'test')}, {scores_sql()}"
+
+
+@query("evaluate_split_nc", f"{EVALUATED} SELECT {ROUNDED} FROM m")
+def evaluate_split_nc(spark, sf):
+    return rounded(comparison.evaluate(*parts(spark, sf), NearestCentroid()), *comparison.METRICS)
+
+
+@query("evaluate_split_forest")
+def evaluate_split_forest(spark, sf):
+    return comparison.evaluate(*parts(spark, sf), SparkLearner("forest", SEED, 100))
+
+
+STRATEGIES = (
+    f"WITH {PARTS}, {OVERLAP}, {resample_sql('mu', k=5, members=3)}, bag AS (SELECT member_id, label, features FROM real UNION ALL SELECT member_id, label, list_transform(range(1, len(fa) + 1), lambda i: fa[i] + alpha * (fb[i] - fa[i])) FROM made UNION ALL SELECT -1, label, features FROM doc)"
+    f", {nc_sql('bag', 'test', 'member_id, ')}, {scores_sql('member_id, ')}, named AS (SELECT member_id + 1 AS position, CASE member_id WHEN -1 THEN 'baseline' WHEN 0 THEN 'easy_instances' WHEN 1 THEN 'uniform' ELSE 'hard_instances' END AS name, m.* FROM m)"
+)
+
+
+def strategies(spark, sf):
+    return rounded(comparison.compare_strategies(*parts(spark, sf), NearestCentroid(), seed=SEED), *comparison.METRICS)
+
+
+@query("compare_strategies", f"{STRATEGIES} SELECT CAST(position AS INT) AS position, name, {ROUNDED} FROM named")
+def compare_strategies(spark, sf):
+    return strategies(spark, sf)
+
+
+@query("best_by_metric", f"{STRATEGIES}, r AS (SELECT position, name, {ROUNDED} FROM named), l AS (UNPIVOT (SELECT position, name, f1, auc, recall FROM r) ON f1, auc, recall INTO NAME metric VALUE value) SELECT metric, name, value FROM l QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, position) = 1")
+def best_by_metric(spark, sf):
+    return evaluation.winners(strategies(spark, sf))
+
+
+@query("compare_hardness")
+def compare_hardness(spark, sf):
+    """Metrics of a forest on rows left out, resampled by each hardness measure."""
+    return comparison.compare_measures(*parts(spark, sf), SparkLearner("forest", SEED, 20), seed=SEED)
+
+
+@query("mu_sweep_cross_validated")
+def mu_sweep_cross_validated(spark, sf):
+    return comparison.sweep_mu(parts(spark, sf)[0], SparkLearner("forest", SEED, 10), steps=3, folds=3, seed=SEED)
 
 
 @query("members_sweep")
 def members_sweep(spark, sf):
     """Weighted F1 on held-out rows by the number of members, and the spread of mu."""
-    docs = doc_table(spark, sf)
-    split = docs.join(evaluation.stratified_split(docs), ["row_id", "label"]).persist()
-    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
-    out = None
+    train, test = parts(spark, sf)
+    rows = []
     for n in (3, 5, 10):
-        pred = ensemble.Ensemble(members=n, learner=NearestCentroid()).fit(train).predict(test)
-        part = evaluation.weighted_f1(pred).crossJoin(ensemble.mu_distribution(ensemble.mu_grid(spark, n)).select(F.col("std").alias("mu_std"))).withColumn("members", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
+        model = ensemble.Ensemble(members=n, learner=NearestCentroid()).fit(train)
+        spread = ensemble.mu_distribution(ensemble.mu_grid(spark, n)).first()["std"]
+        rows.append((n, float(evaluation.weighted_f1(model.predict(test)).first()[0]), float(spread)))
+    return spark.createDataFrame(rows, "members int, weighted_f1 double, mu_std double")
 
 
 @query("generated_imbalance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,9 @@ def embedding_table(spark: SparkSession, sf_dir: str, binary: bool = False) -> D
     return canonical(rows.withColumn("label", (F.col("label") < 2).cast("int")) if binary else rows, "vec_id", "embedding", "label")
 
 
-def imbalanced(spark: SparkSession, n: int, n_features: int = 20, weights: tuple[float, ...] = (0.9, 0.1), informative: int = 10, flip: float = 0.05, seed: int = 42) -> DataFrame:
-    """A generated table: Gaussian clouds whose centres differ by class in the informative features, some labels flipped."""
+def imbalanced(spark: SparkSession, n: int, n_features: int = 20, weights: tuple[float, ...] = (0.9, 0.1), informative: int = 10, flip: float = 0.05, seed: int = 42, redundant: int = 0) -> DataFrame:
+    """A generated table: Gaussian clouds whose centres differ by class in the informative features, some labels flipped. After
+    the informative features come redundant ones, linear in them, then noise."""
 
     def u(purpose: str) -> Column:
         return uniform(seed, purpose, F.col("row_id"))
@@ -74,4 +76,7 @@ def imbalanced(spark: SparkSession, n: int, n_features: int = 20, weights: tuple
         label = F.when(drawn < limit, c).otherwise(label)
     rows = rows.withColumn("true", label).withColumn("label", F.when(u("flip") < flip, F.floor(u("to") * len(weights)).cast("int")).otherwise(F.col("true")))
     values = [normal(i) + (F.col("true") * (1.5 if i % 2 else -1.5) if i < informative else F.lit(0.0)) for i in range(n_features)]
+    draw = random.Random(seed)
+    for i in range(informative, min(informative + redundant, n_features)):
+        values[i] = sum((draw.uniform(-1, 1) * v for v in values[:informative]), F.lit(0.0))
     return rows.select("row_id", "label", F.array(*values).alias("features"))

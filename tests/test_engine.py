@@ -1,15 +1,21 @@
+import statistics
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evenhand.operators import ensemble, evaluation, hardness, sampling
+from evenhand.operators import ensemble, evaluation, hardness, ranking, sampling
+from evenhand.operators.learners import Bagging, NearestCentroid, SparkLearner
 from evenhand.operators.neighbours import nearest
 from evenhand.plans import catalog
-from evenhand.sources.frame import validated
+from evenhand.sources.frame import imbalanced, validated
+from evenhand.streaming import score_stream
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["class_counts", "class_info", "target_mean", "minmax_features", "hardness_overlap", "hardness_neighborhood", "gaussian_weights", "undersample_weighted", "seed_lookup", "stratified_folds", "stratified_split", "mu_grid", "binary_metrics", "classification_report", "roc_auc", "resample_mid"]
+QUICK = ["knn_within_class", "hardness_lsc", "hardness_harmfulness", "hardness_f1", "hardness_statistics", "evaluate_split_nc", "class_counts", "class_info", "target_mean", "minmax_features", "hardness_overlap", "hardness_neighborhood", "gaussian_weights", "undersample_weighted", "seed_lookup", "stratified_folds", "stratified_split", "mu_grid", "binary_metrics", "classification_report", "roc_auc", "resample_mid"]
 
 
 def rows(frame, names):
@@ -73,5 +79,75 @@ def test_validation(spark):
         ensemble.Ensemble(sigma=0)
 
 
+def test_ranks_in_bins(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANKED", 7)
+    rows = [(i, i % 2, float(2.0 ** (i * 37 % 11 - 5)), float(i * 37 % 101)) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, label int, w double, v double")
+    low, high = F.lit(0.0), F.lit(100.0)
+    for place, order in ((ranking.by_range(F.col("v"), low, high), ["v", "row_id"]), (ranking.by_octave(F.col("w")), ["w", "row_id"]), (ranking.by_uniform(F.col("v") / 101), ["v", "row_id"])):
+        for most in (None, 13):
+            got = {(r["label"], r["row_id"]): r["rk"] for r in ranking.ranked(df, ["label"], place, order, "rk", None if most is None else F.lit(most)).collect()}
+            column = 2 if order[0] == "w" else 3
+            want = {(y, r[0]): n for y in (0, 1) for n, r in enumerate(sorted((r for r in rows if r[1] == y), key=lambda r: (r[column], r[0])), 1) if most is None or n <= most}
+            assert got == want
+    got = {r["label"]: r["median"] for r in ranking.medians(df, "label", "v").collect()}
+    assert got == {y: statistics.median(r[3] for r in rows if r[1] == y) for y in (0, 1)}
+
+
+def test_slots_come_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SLOTS", 4)
+    short = spark.createDataFrame([(0, 9), (1, 4)], "label int, missing long")
+    assert sorted(tuple(r) for r in sampling.slots_of(short, "label").collect()) == [(0, i) for i in range(1, 10)] + [(1, i) for i in range(1, 5)]
+
+
+def test_many_classes_and_local_sets(spark):
+    df = points(spark, [(i // 2, [float(i)]) for i in range(3000)])
+    got = {r["row_id"]: r["complexity"] for r in hardness.n2(df).collect()}
+    assert len(got) == 3000 and {i for i, c in got.items() if c != 0.5} == {0, 2999}  # at the ends the enemy is twice as far
+    one = points(spark, [(0, [0]), (0, [1]), (0, [5]), (1, [3])])
+    assert [round(r["complexity"], 6) for r in hardness.usefulness(one).orderBy("row_id").collect()] == [round(1 - n / 3, 6) for n in (2, 2, 1)] + [0.0]
+
+
+def test_error_rate_falls_back_to_all_rows(spark):
+    df = points(spark, [(i % 3, [float(i)]) for i in range(9)])
+    got = hardness.error_rate(df, NearestCentroid(), 5).collect()
+    assert len(got) == 9 and all(0 <= r["complexity"] < 1 for r in got)
+
+
+def test_resampler_settings(spark):
+    one = sampling.Resampler(seed=1)
+    assert one.with_params(seed=2).get_params() == {"hardness": "overlap", "strategy": "auto", "seed": 2} and one.seed == 1
+    fitted = one.fit(points(spark, [(0, [i, 1]) for i in range(12)] + [(1, [i, 2]) for i in range(4)]))
+    assert fitted.complexities().count() == 16
+    assert {r["label"]: r["n"] for r in evaluation.class_counts(fitted.resample(1.0)).collect()} == {0: 8, 1: 8}
+    with pytest.raises(ValueError):
+        one.fit(points(spark, [(0, [1])] * 12))
+    assert ensemble.Ensemble().with_params(members=3).get_params()["members"] == 3
+
+
+def test_bagging_and_generated_tables(spark):
+    df = imbalanced(spark, 300, 6, informative=2, redundant=2, flip=0.0)
+    model = Bagging(3).fit(df)
+    pred = ensemble.best_class(model.probabilities(df))
+    assert pred.where("label = pred").count() > 280
+    x = np.array([r["features"] for r in df.collect()])
+    assert np.linalg.matrix_rank(x[:, :4], tol=1e-6) == 2 and np.linalg.matrix_rank(x) == 4
+
+
+def test_winners_are_the_first_of_equals(spark):
+    table = spark.createDataFrame([(0, "a", 0.5, 0.1, 0.2), (1, "b", 0.5, 0.3, 0.1)], "position int, name string, f1 double, auc double, recall double")
+    assert {(r["metric"], r["name"]) for r in evaluation.winners(table).collect()} == {("f1", "a"), ("auc", "b"), ("recall", "a")}
+
+
+def test_stream_scoring(spark, tmp_path):
+    df = points(spark, [(i % 2, [float(i % 2), float(i)]) for i in range(20)])
+    df.write.parquet(str(tmp_path / "in"))
+    model = SparkLearner("tree").fit(df)
+    scored = score_stream(model, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    scored.writeStream.format("memory").queryName("scored_rows").trigger(availableNow=True).start().awaitTermination(60)
+    got = spark.table("scored_rows").collect()
+    assert len(got) == 20 and all(r["probability"][r["label"]] == 1.0 for r in got)
+
+
 def test_entry_lists_every_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
