@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenhand.sources.staging import cut, shared_folder  # noqa: F401  for the modules beside this one
+
 #: Rows handed to a text function at a time; bounds what a worker holds beside the Arrow batch.
 ROWS_AT_ONCE = 512
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
-#: The session setting with which Spark removes the shuffle files of a query at its end.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,44 +26,6 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs
-    in one process, as in tests."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _own_folder
-
-
-_own_folder: str | None = None
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to a new table in the shared folder, and read again from there.
-
-    Parquet takes a fraction of the room of a checkpoint, and planning knows its size. The tables stay until the folder is
-    cleared, as checkpoints of a failed application would. Shuffle files go once the table is written, as nothing reads
-    them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/evenhand-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_SHUFFLES)
-        else:
-            spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A table of a digest or an id or two in each row, to be broadcast if it has at most ``most`` rows: about 20 MB. Larger ones
     are joined by a shuffle."""
