@@ -26,8 +26,8 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def small_enough(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A table of a digest or an id or two in each row, to be broadcast if it has at most ``most`` rows: about 20 MB. Larger ones
+def small_enough(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of a digest or an id or two in each row, to be broadcast if it has at most ``most`` rows: about 10 MB. Larger ones
     are joined by a shuffle."""
     return F.broadcast(df) if df.count() <= most else df
 
