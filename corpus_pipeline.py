@@ -17,14 +17,22 @@ from pyspark.sql import functions as F
 from evenhand.llm import bpe, minhash, nbsvm, pfair, secrets
 from evenhand.llm.common import cut, shared_folder, small_enough, table
 from evenhand.llm.queries import TARGETS
+from evenhand.llm.suffix import text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower score go.
 QUALITY = 0.3
+#: Rows that go to a Python worker at a time: texts are long, and executors have little room beside their heap.
+ARROW_ROWS = 1000
+
+
+def _narrow_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _narrow_batches(spark)
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
     return nbsvm.scored(docs, model, keep=tuple(COLUMNS)).where(F.col("score") >= QUALITY).select(*COLUMNS)
 
@@ -32,7 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: the one with the smallest id, of several rows of that id the one with the smallest
     digest of its text, of equal rows one. Texts without words are no duplicates and stay."""
-    keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("~t"))
+    _narrow_batches(spark)
+    keyed = docs.select(*COLUMNS, text_key("text").alias("~t"))
     found = cut(minhash.near_duplicates(keyed, keep=("~t",)).select(F.col("doc_id").alias("~id"), F.col("~t").alias("~k"), "component"))
     real = found.where(F.col("component").isNotNull())
     order = F.struct(F.col("~id").isNull().alias("none"), F.col("~id").alias("id"), F.col("~k").alias("k"))
@@ -51,6 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text are replaced by marks; n_chars follows."""
+    _narrow_batches(spark)
     clean = secrets.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
@@ -66,6 +76,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The position is the place in the mixture, from 0: the rows of the files in the order of their names. Rows that come from
     no file have none.
     """
+    _narrow_batches(spark)
     try:
         placed = docs.select("*", F.col("_metadata.file_name").alias("~file"), F.col("_metadata.row_index").alias("~row"))
     except AnalysisException:
