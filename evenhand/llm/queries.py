@@ -74,5 +74,18 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_token_counts, op4_suffix_array_dedup, op5_minhash_near_dedup, op6_cross_polytope, op7_quality_classifier, op8_pfair_mixing, op9_byte_bpe, op10_compact_windows, token_count_limits, token_count_quantiles)}
 
 
+#: Links by all shared shingles, and what can be reached by them.
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.o),
+m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_minhash_near_dedup": NEAR_DEDUP_SQL}
