@@ -181,7 +181,9 @@ def test_passages_with_words_added_or_dropped(size, change):
                 assert len(spans) == 1 and spans[0][0] in range(begin - 12, begin + 1) and spans[0][1] in range(begin + n, begin + n + 13)
 
 
-def test_exact_repeats_that_go_on_from_a_common_start(spark):
+@pytest.mark.parametrize("part", [windows.PART_OF_HASH, 7])
+def test_exact_repeats_that_go_on_from_a_common_start(spark, monkeypatch, part):
+    monkeypatch.setattr(windows, "PART_OF_HASH", part)
     least = lambda text: [int(np.argmin(minhash.mixed(windows.tokens_of(text) * s) | np.uint64(1))) for s in windows._SEEDS]
     start = next(t for t in (prose(42, i) for i in range(700, 2000)) if max(least(t)) < 14)  # no half passage from there reaches the tail
     tails = [prose(8, 800 + i // 2) if i < 160 else "" for i in range(400)]
