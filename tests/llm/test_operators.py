@@ -167,6 +167,23 @@ def test_compact_windows(docs):
         assert {(int(c), int(x), int(y)) for e, c, x, y in zip(doc, centre, left, right) if e == d} == want
 
 
+def test_frequent_windows_are_dealt_out(spark, monkeypatch):
+    """A passage that 40 texts share is found in all of them, and they are one class, though its windows go to many parts."""
+    passage = [f"shared{i}" for i in range(60)]
+    own = lambda d, n: [f"own{d}x{i}" for i in range(n)]
+    texts = [own(d, 20 + d) + passage + own(-d - 1, 30) for d in range(40)] + [own(d, 120) for d in range(40, 50)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(windows, "PART_OF_HASH", 4)
+    met = windows.meeting(windows.windows(docs, "text").where("least is not null"))
+    assert met.where("part is not null").select("part").distinct().count() > 1
+    for r in windows.duplicate_passages(docs).collect():
+        if r["doc_id"] < 40:
+            assert r["class_id"] == 0 and r["n_partners"] > 0
+            assert any(s["x"] <= 20 + r["doc_id"] and s["y"] >= 80 + r["doc_id"] for s in r["spans"])
+        else:
+            assert r["class_id"] == r["doc_id"] and r["n_dup_words"] == 0
+
+
 @pytest.mark.parametrize("size", [54, 70, 84])
 @pytest.mark.parametrize("change", [lambda w, i: w[:i] + ["added"] + w[i:], lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + ["so", "many", "more"] + w[i:]])
 def test_passages_with_words_added_or_dropped(size, change):
