@@ -16,9 +16,11 @@ MEASURES = ("overlap", "neighborhood", "error_rate")
 
 
 def keyed(resampled: DataFrame) -> DataFrame:
-    """Resampled rows with a row_id for the synthetic ones, below zero."""
-    made = -1 - F.pmod(F.xxhash64("label", "slot"), F.lit(2**62))
-    return resampled.select(F.coalesce("row_id", made).alias("row_id"), "label", "features")
+    """Resampled rows with a row_id for the synthetic ones too, by a digest of class and slot: a number below zero, or a text."""
+    digest = F.substring(F.md5(F.concat_ws(":", F.col("label").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 15)
+    text = resampled.schema["row_id"].dataType.typeName() == "string"
+    made = F.concat(F.lit("~"), digest) if text else -1 - F.conv(digest, 16, 10).cast("long")
+    return resampled.withColumn("row_id", F.coalesce("row_id", made))
 
 
 def evaluate(train: DataFrame, test: DataFrame, learner, positive=1) -> DataFrame:
@@ -26,42 +28,41 @@ def evaluate(train: DataFrame, test: DataFrame, learner, positive=1) -> DataFram
     return evaluation.all_metrics(evaluation.scores(learner.fit(train).probabilities(test), positive), positive)
 
 
-def _table(train: DataFrame, settings: list[tuple[str, object]], test: DataFrame, learner, positive) -> DataFrame:
-    """position, name and METRICS; each setting is scored before the next is planned."""
-    rows = []
-    for i, (name, made) in enumerate(settings):
-        got = evaluate(cut(made()), test, learner, positive).select(*METRICS).first()
-        rows.append((i, name, *(float(x) for x in got)))
-    return train.sparkSession.createDataFrame(rows, "position int, name string, " + ", ".join(f"{m} double" for m in METRICS))
+def _table(settings: list[tuple[str, DataFrame]], test: DataFrame, learner, positive) -> DataFrame:
+    """position, name and METRICS; the learners of all settings are fitted in one plan."""
+    train, names = None, test.sparkSession.createDataFrame([(i, name) for i, (name, _) in enumerate(settings)], "position int, name string")
+    for i, (_, rows) in enumerate(settings):
+        part = rows.select(F.lit(i).alias("position"), "row_id", "label", "features")
+        train = part if train is None else train.unionByName(part)
+    p = learner.fit(cut(train), "position").probabilities(test)
+    scored = evaluation.all_metrics(evaluation.scores(p, positive, "position"), positive, "position")
+    return scored.join(F.broadcast(names), "position").select("position", "name", *METRICS)
 
 
 def compare_strategies(train: DataFrame, test: DataFrame, learner, sigma: float = 0.2, k: int = 5, seed: int = 42, positive=1) -> DataFrame:
     """Without resampling, and with mu at 0, 0.5 and 1."""
     fitted = Resampler("overlap", seed=seed).fit(train)
-    settings = [("baseline", lambda: train), *((name, lambda mu=mu: keyed(fitted.resample(mu, sigma, k))) for name, mu in STRATEGIES)]
-    return _table(train, settings, test, learner, positive)
+    settings = [("baseline", train), *((name, keyed(fitted.resample(mu, sigma, k))) for name, mu in STRATEGIES)]
+    return _table(settings, test, learner, positive)
 
 
 def compare_measures(train: DataFrame, test: DataFrame, learner, measures=MEASURES, mu: float = 0.5, sigma: float = 0.2, k: int = 5, seed: int = 42, positive=1) -> DataFrame:
     """Resampled by each hardness measure (a name, or a name and a measure)."""
     named = [(m, m) if isinstance(m, str) else m for m in measures]
-    settings = [(name, lambda m=m: keyed(Resampler(m, seed=seed).fit(train).resample(mu, sigma, k))) for name, m in named]
-    return _table(train, settings, test, learner, positive)
+    settings = [(name, keyed(Resampler(m, seed=seed).fit(train).resample(mu, sigma, k))) for name, m in named]
+    return _table(settings, test, learner, positive)
 
 
 def sweep_mu(train: DataFrame, learner, steps: int = 5, folds: int = 3, sigma: float = 0.2, k: int = 5, seed: int = 42, positive=1) -> DataFrame:
-    """position, mu, mean and std of the F1 over unshuffled folds of the resampled rows (synthetic ones are in them too)."""
-    fitted, rows = Resampler("overlap", seed=seed).fit(train), []
-
-    def fit_predict(part: DataFrame, rest: DataFrame) -> DataFrame:
-        return ensemble.best_class(learner.fit(part).probabilities(rest))
-
-    f1 = lambda pred: evaluation.binary_metrics(pred, positive).select("f1")
-    for i in range(steps):
-        mu = i / (steps - 1) if steps > 1 else 0.5
-        scores = ensemble.cross_validated(keyed(fitted.resample(mu, sigma, k)), fit_predict, folds, seed, False, f1)
-        rows += [(i, mu, float(x)) for x in scores]
-    return evaluation.summary(train.sparkSession.createDataFrame(rows, "position int, mu double, score double"), "position", "mu").select("position", "mu", "mean", "std")
+    """position, mu, mean and std of the F1 over unshuffled folds of the resampled rows (synthetic ones are in them too); the
+    learners of all steps and folds are fitted in one plan."""
+    grid = ensemble.mu_grid(train.sparkSession, steps).withColumnRenamed("member_id", "position")
+    made = keyed(ensemble.bags_of(Resampler("overlap", seed=seed).fit(train), grid, sigma, k, ("position",))).select("position", "row_id", "label", "features")
+    part, rest = evaluation.in_folds(made, folds, by=("position",))
+    keys = ("position", "held")
+    pred = ensemble.best_class(learner.fit(part, *keys).probabilities(rest, keys), "p", *keys)
+    scores = evaluation.binary_metrics(pred, positive, *keys).select("position", F.col("f1").alias("score"))
+    return evaluation.summary(scores, "position").join(F.broadcast(grid), "position").select("position", "mu", "mean", "std")
 
 
 def best_mu(swept: DataFrame) -> DataFrame:

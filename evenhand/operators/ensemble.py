@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
-from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenhand.operators import evaluation
-from evenhand.operators.learners import NearestCentroid, NearestCentroidModel, SparkLearner
-from evenhand.operators.sampling import Resampler, resample_weighted, with_weights
+from evenhand.operators.learners import Tree
+from evenhand.operators.sampling import FittedResampler, Resampler, resample_weighted, with_weights
 from evenhand.sources.staging import cut
 
 
@@ -31,33 +30,59 @@ def bags(df: DataFrame, members: int = 10, sigma: float = 0.2, k: int = 5, hardn
 
     Members share their random numbers, so that mu alone tells them apart.
     """
-    fitted = Resampler(hardness, strategy, seed).fit(df)
-    spread = fitted.hard.crossJoin(F.broadcast(mu_grid(df.sparkSession, members)))
-    weighted = with_weights(spread, F.col("mu"), sigma, "member_id")
-    return resample_weighted(weighted, fitted.info.select("label", "target"), k, seed, ("member_id",), fitted.hard)
+    return bags_of(Resampler(hardness, strategy, seed).fit(df), mu_grid(df.sparkSession, members), sigma, k)
 
 
-def mean_probabilities(probabilities: DataFrame, members: int) -> DataFrame:
-    """row_id, label, class, p: means over members, a class that a member lacks counting 0, over the row's sum + 1e-10."""
-    means = probabilities.groupBy("row_id", "label", "class").agg((F.sum("p") / members).alias("m"))
-    total = Window.partitionBy("row_id")
+def bags_of(fitted: FittedResampler, grid: DataFrame, sigma: float = 0.2, k: int = 5, keys: tuple[str, ...] = ("member_id",)) -> DataFrame:
+    """keys... and the rows of a bag for each row of ``grid`` (keys... and mu; one row for each bag)."""
+    weighted = with_weights(fitted.hard.crossJoin(F.broadcast(grid)), F.col("mu"), sigma, *keys)
+    return resample_weighted(weighted, fitted.info.select("label", "target"), k, fitted.settings.seed, keys, fitted.hard)
+
+
+def mean_probabilities(probabilities: DataFrame, members: int | Column, *by: str) -> DataFrame:
+    """by..., row_id, label, class, p: means over members, a class that a member lacks counting 0, over the row's sum + 1e-10.
+    Means have 12 places, so that the order of summing doesn't matter."""
+    means = probabilities.groupBy(*by, "row_id", "label", "class").agg(F.round(F.sum("p") / members, 12).alias("m"))
+    total = Window.partitionBy(*by, "row_id")
     return means.withColumn("p", F.col("m") / (F.sum("m").over(total) + 1e-10)).drop("m")
 
 
 def best_class(scores: DataFrame, score: str = "p", *by: str) -> DataFrame:
     """by..., row_id, label, pred: the class with the largest score, the smallest class among equals."""
-    order = Window.partitionBy(*by, "row_id").orderBy(F.desc(score), "class")
-    return scores.withColumn("~rk", F.row_number().over(order)).where(F.col("~rk") == 1).select(*by, "row_id", "label", F.col("class").alias("pred"))
+    best = F.min(F.struct((-F.col(score)).alias("n"), "class"))["class"]
+    return scores.groupBy(*by, "row_id", "label").agg(best.alias("pred"))
 
 
-def soft_vote(probabilities: DataFrame, members: int) -> DataFrame:
-    return best_class(mean_probabilities(probabilities, members))
+def soft_vote(probabilities: DataFrame, members: int | Column, *by: str) -> DataFrame:
+    return best_class(mean_probabilities(probabilities, members, *by), "p", *by)
 
 
-def hard_vote(probabilities: DataFrame) -> DataFrame:
+def hard_vote(probabilities: DataFrame, *by: str) -> DataFrame:
     """The class that most members predict; ties go to the smallest class."""
-    votes = best_class(probabilities, "p", "member_id").groupBy("row_id", "label", F.col("pred").alias("class")).agg(F.count(F.lit(1)).alias("votes"))
-    return best_class(votes, "votes")
+    votes = best_class(probabilities, "p", *by, "member_id").groupBy(*by, "row_id", "label", F.col("pred").alias("class")).agg(F.count(F.lit(1)).alias("votes"))
+    return best_class(votes, "votes", *by)
+
+
+def chances(votes: Column, members: int) -> Column:
+    """What ``mean_probabilities`` gives of the votes of a row: class and p."""
+    every = F.array_sort(F.array_distinct(F.transform(F.flatten(votes), lambda x: x["class"])))
+    of = lambda c: F.aggregate(F.filter(F.flatten(votes), lambda x: x["class"] == c), F.lit(0.0), lambda t, x: t + x["p"])
+    means = F.transform(every, lambda c: F.struct(c.alias("class"), F.round(of(c) / members, 12).alias("m")))
+    total = lambda m: F.aggregate(m, F.lit(0.0), lambda t, x: t + x["m"]) + 1e-10
+    # one entry, to name the means
+    return F.transform(F.array(means), lambda m: F.transform(m, lambda x: F.struct(x["class"].alias("class"), (x["m"] / total(m)).alias("p"))))[0]
+
+
+def first_of(scores: Column, score: str = "p") -> Column:
+    """The class of the largest score in an array, the smallest class among equals."""
+    return F.array_min(F.transform(scores, lambda x: F.struct((-x[score]).alias("n"), x["class"].alias("class"))))["class"]
+
+
+def majority(votes: Column) -> Column:
+    """What ``hard_vote`` gives of the votes of a row."""
+    said = F.transform(votes, lambda v: first_of(v))
+    counts = F.transform(F.array_distinct(said), lambda c: F.struct(c.alias("class"), F.size(F.filter(said, lambda x: x == c)).alias("n")))
+    return first_of(counts, "n")
 
 
 def diversity(bags: DataFrame) -> DataFrame:
@@ -85,8 +110,7 @@ class Ensemble:
     voting: str = "soft"
     strategy: str = "auto"
     seed: int = 42
-    learner: object = field(default_factory=SparkLearner)
-    parallelism: int = 4
+    learner: object = field(default_factory=Tree)
 
     def __post_init__(self) -> None:
         if self.members < 1:
@@ -104,12 +128,7 @@ class Ensemble:
 
     def fit(self, df: DataFrame) -> EnsembleModel:
         made = cut(bags(df, self.members, self.sigma, self.k, self.hardness, self.strategy, self.seed))
-        if isinstance(self.learner, NearestCentroid):
-            fitted = self.learner.fit(made, "member_id")
-            return EnsembleModel(self, made, NearestCentroidModel(cut(fitted.means), fitted.keys))
-        with ThreadPool(self.parallelism) as pool:  # each thread submits Spark jobs
-            models = pool.map(lambda i: self.learner.fit(made.where(F.col("member_id") == i)), range(self.members))
-        return EnsembleModel(self, made, models)
+        return EnsembleModel(self, made, self.learner.fit(made, "member_id"))
 
 
 @dataclass(frozen=True)
@@ -120,20 +139,32 @@ class EnsembleModel:
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """member_id, row_id, label, class, p."""
-        if not isinstance(self.fitted, list):
-            return self.fitted.probabilities(rows)
-        out = None
-        for i, m in enumerate(self.fitted):
-            part = m.probabilities(rows).withColumn("member_id", F.lit(i))
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self.fitted.probabilities(rows)
+
+    def scored(self, rows: DataFrame) -> DataFrame | None:
+        """rows with ``probability`` (class and p, as voted softly) and ``pred`` by the vote that is set: all members score a row at
+        once and nothing is aggregated, so rows may be a stream. None if the members are too large to be sent to all tasks."""
+        with_votes = self.fitted.votes(rows)
+        if with_votes is None:
+            return None
+        out = with_votes.withColumn("probability", chances(F.col("votes"), self.settings.members))
+        pred = first_of(F.col("probability")) if self.settings.voting == "soft" else majority(F.col("votes"))
+        return out.withColumn("pred", pred).drop("votes")
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
-        return mean_probabilities(self.probabilities(rows), self.settings.members)
+        """row_id, label, class, p."""
+        voted = self.scored(rows)
+        if voted is None:
+            return mean_probabilities(self.probabilities(rows), self.settings.members)
+        return voted.select("row_id", "label", F.explode("probability").alias("x")).select("row_id", "label", "x.class", "x.p")
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        p = self.probabilities(rows)
-        return soft_vote(p, self.settings.members) if self.settings.voting == "soft" else hard_vote(p)
+        """row_id, label, pred."""
+        voted = self.scored(rows)
+        if voted is None:
+            p = self.probabilities(rows)
+            return soft_vote(p, self.settings.members) if self.settings.voting == "soft" else hard_vote(p)
+        return voted.select("row_id", "label", "pred")
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Accuracy."""
@@ -152,30 +183,54 @@ CONFIGURATIONS = (
 )
 
 
-def cross_validated(df: DataFrame, fit_predict, folds: int = 3, seed: int = 42, shuffle: bool = True, metric=evaluation.weighted_f1) -> list[float]:
-    """The metric of fit_predict(train, test) for each stratified fold. Each fold is scored before the next is planned."""
-    df = cut(df)
-    assigned = cut(df.join(evaluation.stratified_folds(df, folds, shuffle, seed), ["row_id", "label"]))
-    scores = []
-    for f in range(folds):
-        train, test = (assigned.where(c).drop("fold") for c in (F.col("fold") != f, F.col("fold") == f))
-        scores.append(metric(fit_predict(train, test)).first()[0])
-    return scores
+def of_all_folds(df: DataFrame, settings: list[tuple[str, object, float]], members: int, folds: int, k: int = 5, strategy: str = "auto", seed: int = 42, shuffle: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Bags of all settings (name, hardness, sigma) and folds, by name, held and member_id, and the test rows, by held.
 
-
-def compared(df: DataFrame, methods: dict, folds: int, seed: int = 42) -> DataFrame:
-    """name, mean, std, min and max of the weighted F1 of each method (name to fit_predict)."""
-    rows = [(name, float(x)) for name, method in methods.items() for x in cross_validated(df, method, folds, seed)]
-    return evaluation.summary(df.sparkSession.createDataFrame(rows, "name string, score double"), "name")
-
-
-def compare_configurations(df: DataFrame, members: int = 10, configurations=CONFIGURATIONS, folds: int = 3, seed: int = 42, learner=None) -> DataFrame:
-    """name, mean, std, min and max of the weighted F1 of each configuration."""
-
-    def method(options):
-        def fit_predict(train, test):
-            return Ensemble(members=members, seed=seed, **({"learner": learner} if learner else {}), **options).fit(train).predict(test)
-
-        return fit_predict
-
-    return compared(df, {given["name"]: method({k: v for k, v in given.items() if k != "name"}) for given in configurations}, folds, seed)
+    Hardness is found once for each fold and measure; the bags of all are rows of one table.
+    """
+    train, test = evaluation.in_folds(df, folds, shuffle, seed)
+    grid, out = mu_grid(df.sparkSession, members), None
+    for held in range(folds):
+        own, fitted = train.where(F.col("held") == held).drop("held"), {}
+        for name, hardness, sigma in settings:
+            if hardness not in fitted:
+                fitted[hardness] = Resampler(hardness, strategy, seed).fit(own)
+            part = cut(bags_of(fitted[hardness], grid, sigma, k).select(F.lit(name).alias("name"), F.lit(held).alias("held"), "member_id", "label", "features"))
+            out = part if out is None else out.unionByName(part)
+    return out, test
+
+
+def compare_configurations(df: DataFrame, members: int = 10, configurations=CONFIGURATIONS, folds: int = 3, seed: int = 42, learner=None, measures: dict | None = None) -> DataFrame:
+    """name, mean, std, min and max of the weighted F1 of each configuration over shuffled folds; members of all configurations and
+    folds are fitted in one plan. ``measures`` replaces named hardness measures by others."""
+    settings = [(c["name"], (measures or {}).get(c["hardness"], c["hardness"]), c["sigma"]) for c in configurations]
+    made, test = of_all_folds(df, settings, members, folds, seed=seed)
+    p = (learner or Tree()).fit(made, "name", "held", "member_id").probabilities(test, ("held",))
+    pred = soft_vote(p, members, "name", "held")
+    return evaluation.summary(evaluation.weighted_f1(pred, "name", "held").withColumnRenamed("weighted_f1", "score"), "name")
+
+
+def compare_learners(df: DataFrame, learners: dict, members: int = 10, folds: int = 5, seed: int = 42, learner=None) -> DataFrame:
+    """name, mean, std, min and max of the weighted F1 over folds of each learner (by name), and of the ensemble of ``learner``."""
+    train, test = evaluation.in_folds(df, folds, False, seed)
+    preds = [best_class(one.fit(train, "held").probabilities(test, ("held",)), "p", "held").withColumn("name", F.lit(name)) for name, one in learners.items()]
+    made, again = of_all_folds(df, [("ensemble", "overlap", 0.2)], members, folds, seed=seed, shuffle=False)
+    p = (learner or Tree()).fit(made, "held", "member_id").probabilities(again, ("held",))
+    pred = soft_vote(p, members, "held").withColumn("name", F.lit("ensemble"))
+    for one in preds:
+        pred = pred.unionByName(one)
+    return evaluation.summary(evaluation.weighted_f1(pred, "name", "held").withColumnRenamed("weighted_f1", "score"), "name")
+
+
+def members_sweep(train: DataFrame, test: DataFrame, sizes: tuple[int, ...] = (3, 5, 10, 15, 20), learner=None, positive=1, seed: int = 42) -> DataFrame:
+    """members, f1 on test and mu_std of ensembles of each size; hardness is found once, and all members of all sizes are fitted in
+    one plan."""
+    grid = None
+    for n in sizes:
+        part = mu_grid(train.sparkSession, n).select(F.lit(n).alias("members"), "member_id", "mu")
+        grid = part if grid is None else grid.unionByName(part)
+    keys = ("members", "member_id")
+    made = cut(bags_of(Resampler(seed=seed).fit(train), grid, keys=keys))
+    p = (learner or Tree()).fit(made, *keys).probabilities(test)
+    f1 = evaluation.binary_metrics(soft_vote(p, F.first("members"), "members"), positive, "members").select("members", "f1")
+    return f1.join(F.broadcast(grid.groupBy("members").agg(F.stddev_pop("mu").alias("mu_std"))), "members")

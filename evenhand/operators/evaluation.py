@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import uniform
-from evenhand.operators.ranking import by_range, by_uniform, medians, ranked
+from evenhand.operators.ranking import by_uniform, in_order, medians, ranked
+from evenhand.sources.staging import cut
 
 
 def class_counts(df: DataFrame) -> DataFrame:
@@ -20,28 +21,35 @@ def stratified_split(df: DataFrame, test_share: float = 0.3, seed: int = 42) ->
     return numbered.select("row_id", "label", (F.col("rk") <= F.floor(F.col("n") * test_share + 0.5)).alias("is_test"))
 
 
-def stratified_folds(df: DataFrame, folds: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
-    """row_id, label, fold: classes in the order of first appearance are dealt to folds in turn, and the rows of a class go to
-    its folds in runs (shuffled: in the order of keyed uniforms)."""
+def stratified_folds(df: DataFrame, folds: int = 5, shuffle: bool = False, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., row_id, label, fold: classes in the order of first appearance are dealt to folds in turn, and the rows of a class
+    go to its folds in runs (shuffled: in the order of keyed uniforms)."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    classes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row for each class
+    keys = [*by, "label"]
+    classes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    before = Window.partitionBy(*by).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row for each class
     starts = classes.withColumn("o", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    dealt = starts.select("label", "n", "o", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    dealt = starts.select(*keys, "n", "o", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     # places o .. o + n - 1 hold this many p with p % folds == fold
     upto = lambda p: F.floor((p - 1 - F.col("fold")) / folds) + 1
     dealt = dealt.withColumn("size", upto(F.col("o") + F.col("n")) - upto(F.col("o")))
-    sums = Window.partitionBy("label").orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = dealt.withColumn("end", F.sum("size").over(sums)).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("fold", "end"))).alias("ends"))
+    sums = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = dealt.withColumn("end", F.sum("size").over(sums)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fold", "end"))).alias("ends"))
     if shuffle:
-        keyed = df.select("row_id", "label", uniform(seed, "fold", F.col("row_id")).alias("u"))
-        numbered = ranked(keyed, ["label"], by_uniform(F.col("u")), ["u", "row_id"], "rk")
+        keyed = df.select(*keys, "row_id", uniform(seed, "fold", F.col("row_id")).alias("u"))
+        numbered = ranked(keyed, keys, by_uniform(F.col("u")), ["u", "row_id"], "rk")
     else:
-        spans = df.groupBy("label").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"))
-        keyed = df.select("row_id", "label").join(F.broadcast(spans), "label")
-        numbered = ranked(keyed, ["label"], by_range(F.col("row_id"), F.col("low"), F.col("high")), ["row_id"], "rk")
-    return numbered.join(F.broadcast(ends), "label").select("row_id", "label", F.filter("ends", lambda e: F.col("rk") <= e["end"])[0]["fold"].alias("fold"))
+        numbered = in_order(df.select(*keys, "row_id"), keys, "row_id", "rk")
+    return numbered.join(F.broadcast(ends), keys).select(*by, "row_id", "label", F.filter("ends", lambda e: F.col("rk") <= e["end"])[0]["fold"].alias("fold"))
+
+
+def in_folds(df: DataFrame, folds: int, shuffle: bool = False, seed: int = 42, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of all folds at once: a row trains for every fold ``held`` but its own, in which it is tested."""
+    df = cut(df)
+    assigned = cut(df.join(stratified_folds(df, folds, shuffle, seed, by), [*by, "row_id", "label"]))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
+    return assigned.withColumn("held", others).drop("fold"), assigned.withColumnRenamed("fold", "held")
 
 
 def confusion(pred: DataFrame) -> DataFrame:
@@ -49,11 +57,11 @@ def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def binary_metrics(pred: DataFrame, positive=1) -> DataFrame:
-    """tn, fp, fn, tp, accuracy, recall, precision and f1 of the positive class; 0 where a denominator is."""
+def binary_metrics(pred: DataFrame, positive=1, *by: str) -> DataFrame:
+    """by..., tn, fp, fn, tp, accuracy, recall, precision and f1 of the positive class; 0 where a denominator is."""
     yes, said = F.col("label") == F.lit(positive), F.col("pred") == F.lit(positive)
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    cells = pred.agg(count(~yes & ~said).alias("tn"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"), count(yes & said).alias("tp"))
+    cells = pred.groupBy(*by).agg(count(~yes & ~said).alias("tn"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"), count(yes & said).alias("tp"))
     return cells.select("*", _ratio("tn + tp", "tn + fp + fn + tp").alias("accuracy"), _ratio("tp", "tp + fn").alias("recall"), _ratio("tp", "tp + fp").alias("precision"), _ratio("2 * tp", "2 * tp + fp + fn").alias("f1"))
 
 
@@ -61,15 +69,15 @@ def _ratio(a: str, b: str):
     return F.expr(f"CASE WHEN {b} > 0 THEN ({a}) / cast({b} AS double) ELSE 0e0 END")
 
 
-def per_class(pred: DataFrame) -> DataFrame:
-    """label, precision, recall, f1, support of each true or predicted class."""
-    flat = pred.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col("label") == F.col("pred")).cast("int").alias("h")), F.struct(F.col("pred").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("h")))).alias("x"))
-    cells = flat.groupBy(F.col("x.c").alias("label")).agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), F.sum("x.h").alias("h"))
-    return cells.select("label", _ratio("h", "p").alias("precision"), _ratio("h", "t").alias("recall"), _ratio("2 * h", "t + p").alias("f1"), F.col("t").alias("support"))
+def per_class(pred: DataFrame, *by: str) -> DataFrame:
+    """by..., label, precision, recall, f1, support of each true or predicted class."""
+    flat = pred.select(*by, F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col("label") == F.col("pred")).cast("int").alias("h")), F.struct(F.col("pred").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("h")))).alias("x"))
+    cells = flat.groupBy(*by, F.col("x.c").alias("label")).agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), F.sum("x.h").alias("h"))
+    return cells.select(*by, "label", _ratio("h", "p").alias("precision"), _ratio("h", "t").alias("recall"), _ratio("2 * h", "t + p").alias("f1"), F.col("t").alias("support"))
 
 
-def weighted_f1(pred: DataFrame) -> DataFrame:
-    return per_class(pred).agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
+def weighted_f1(pred: DataFrame, *by: str) -> DataFrame:
+    return per_class(pred, *by).groupBy(*by).agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
 
 
 def report(pred: DataFrame) -> DataFrame:
@@ -84,14 +92,15 @@ def report(pred: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, positive=1, *by: str) -> DataFrame:
-    """by..., auc: area under the ROC curve of ``score``, ties counted half: from counts by distinct score, so that windows
-    run over distinct scores only."""
+    """by..., auc: area under the ROC curve of ``score``, ties counted half: from counts by distinct score, range-partitioned at
+    sampled quantiles, so that windows run over the distinct scores of one partition only, however they are spread."""
     yes = (F.col("label") == F.lit(positive)).cast("long")
-    counts = scored.groupBy(*by, "score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("n")).withColumn("part", F.floor(F.col("score") * 1024))
-    over = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("below"))
+    counts = cut(scored.groupBy(*by, "score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("n")))
+    ranged = cut(counts.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id()))
+    over = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    parts = ranged.groupBy(*by, "part").agg(F.sum("n").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("below"))
     inside = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.join(F.broadcast(parts), [*by, "part"]).withColumn("under", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    numbered = ranged.join(parts, [*by, "part"]).withColumn("under", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return numbered.groupBy(*by).agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -102,6 +111,7 @@ def summary(scores: DataFrame, *by: str) -> DataFrame:
 
 def hardness_statistics(df: DataFrame) -> DataFrame:
     """mean, std, min, max, median of complexity, overall (null label) and by class."""
+    df = cut(df.select("label", "complexity"))
     c, key = F.col("complexity"), F.coalesce(F.concat(F.lit("of "), F.col("label").cast("string")), F.lit("all")).alias("~k")
     stats = df.rollup("label").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).select("*", key)
     twice = df.select(F.explode(F.array(F.concat(F.lit("of "), F.col("label").cast("string")), F.lit("all"))).alias("~k"), "complexity")

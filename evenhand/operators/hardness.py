@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import distance, min_max
-from evenhand.operators.evaluation import class_counts, stratified_folds
-from evenhand.operators.learners import SparkLearner
+from evenhand.operators.evaluation import class_counts, in_folds
+from evenhand.operators.learners import Tree, centroids
 from evenhand.operators.neighbours import nearest, within
 from evenhand.sources.staging import cut
 
@@ -26,13 +26,6 @@ def scaled(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(ranges)).withColumn("features", put).drop("~r")
 
 
-def centroids(df: DataFrame, *keys: str) -> DataFrame:
-    """keys..., label and the mean vector of each class: partial sums by feature, then one row for each class."""
-    keys = (*keys, "label")
-    cells = df.select(*keys, F.posexplode("features").alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg("v").alias("m"))
-    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).select(*keys, F.transform("c", lambda x: x["m"]).alias("centroid"))
-
-
 def overlap(df: DataFrame) -> DataFrame:
     """Closeness to the nearest centroid of another class, 1 / (1 + distance) on scaled features, brought to [0, 1]."""
     points = scaled(df)
@@ -56,16 +49,13 @@ def error_rate(df: DataFrame, learner=None, folds: int = 5) -> DataFrame:
     training folds lack counts 1. If every class has fewer rows than there are folds, all rows train and are scored."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    learner = learner or SparkLearner("tree")
+    learner = learner or Tree()
     own = df.select("row_id", "label", "features")
     if (class_counts(own).agg(F.max("n")).first()[0] or 0) < folds:
         out = learner.fit(own).probabilities(own)
     else:
-        assigned = cut(stratified_folds(own, folds).join(own, ["row_id", "label"]))
-        out = None
-        for f in range(folds):
-            part = learner.fit(assigned.where(F.col("fold") != f).drop("fold")).probabilities(assigned.where(F.col("fold") == f).drop("fold"))
-            out = part if out is None else out.unionByName(part)
+        train, test = in_folds(own, folds)
+        out = learner.fit(train, "held").probabilities(test, ("held",))
     true = out.where(F.col("class") == F.col("label")).select("row_id", "p")
     return df.select("row_id", "label").join(true, "row_id", "left").select("row_id", "label", (1 - F.coalesce("p", F.lit(0.0))).alias("complexity"))
 

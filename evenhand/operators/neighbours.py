@@ -1,33 +1,30 @@
-"""Exact nearest neighbours as a blocked join."""
+"""Exact nearest neighbours: a join that looks only where a nearer row can be, and a blocked one for what fits one block."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a block on either side.
-BLOCK = 4096
+from evenhand.operators import cells as voronoi
+from evenhand.operators.cells import matrix, products, segments, share, slack
+from evenhand.sources.staging import cut
 
 
 def _blocks(queries: DataFrame, rows: DataFrame, by: list[str], a: int, b: int) -> tuple:
     """The two sides, dealt into a times b blocks, to be grouped by (g, x, y) and (h, u, v)."""
-    block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    group = F.concat_ws(":", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
-    code = F.xxhash64(F.col("label").cast("string")).alias("code")
-    left = queries.select(group.alias("g"), block(a).alias("x"), every(b).alias("y"), "row_id", "features", code, *(c for c in queries.columns if c == "radius"))
-    right = rows.select(group.alias("h"), every(a).alias("u"), block(b).alias("v"), F.col("row_id").alias("rid"), F.col("features").alias("rf"), code)
+    group, code = segments(by), F.xxhash64(F.col("label").cast("string")).alias("code")
+    left = queries.select(group.alias("g"), share("row_id", a).alias("x"), every(b).alias("y"), "row_id", "features", code, *(c for c in queries.columns if c == "radius"))
+    right = rows.select(group.alias("h"), every(a).alias("u"), share("row_id", b).alias("v"), F.col("row_id").alias("rid"), "label", F.col("features").alias("rf"), code)
     return left.groupBy("g", "x", "y").cogroup(right.groupBy("h", "u", "v"))
 
 
 def _parts(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
-def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), float)
+    return max(1, -(-n // voronoi.BLOCK))
 
 
 def _exact(p: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -37,48 +34,210 @@ def _exact(p: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
-def _rounding(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.linalg.norm(p, axis=1) + np.linalg.norm(x, axis=1).max()) ** 2
+def _best(own: np.ndarray, p: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, exclude_self: bool, barred=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and rows and their squared distances: the k nearest rows of each query. ids rise.
+
+    ``barred`` takes a slice of the queries and says which rows they may not meet.
+    """
+    place = pd.Index(ids).get_indexer(own)  # of the query itself among the rows
+    got = []
+    for begin in range(0, len(own), 256):
+        part, itself = p[begin : begin + 256], place[begin : begin + 256]
+        d = products(part, x)
+        if exclude_self:
+            d[np.flatnonzero(itself >= 0), itself[itself >= 0]] = np.inf
+        if barred is not None:
+            d[barred(slice(begin, begin + 256))] = np.inf
+        # the product may reorder near ties: exact distances decide among all that rounding can't tell from the k-th
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(part), np.inf)
+        i, j = np.nonzero(~(d > (kth + slack(part, x))[:, None]) & (d < np.inf))
+        d2 = _exact(part, x, i, j)
+        order = np.lexsort((j, j != itself[i], d2, i))
+        i, j, d2 = i[order], j[order], d2[order]
+        first = np.searchsorted(i, i)  # of the query's own
+        top = np.arange(len(i)) - first < k
+        got.append((i[top] + begin, j[top], d2[top]))
+    return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+
+
+def _result(rows: DataFrame) -> T.StructType:
+    kind = rows.schema["row_id"].dataType
+    return T.StructType([T.StructField("query_id", kind), T.StructField("row_id", kind), T.StructField("d2", T.DoubleType()), T.StructField("label", rows.schema["label"].dataType)])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("d2", F.col("query_id") != F.col("row_id"), "row_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "d2", "label")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, n_queries: int | None = None, unlike: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, n_queries: int | None = None, unlike: bool = False, compared: Accumulator | None = None) -> DataFrame:
     """query_id, rank, row_id, d2 (squared distance) and the ``label`` of each neighbour: the k nearest of each query, with
-    ``unlike`` among the rows of other labels.
+    ``by`` among the rows that agree in these columns, with ``unlike`` among the rows of other labels.
 
-    Ties go to the query itself and then to the smaller id. Both sides are dealt into blocks by a hash of the id; a task
-    compares one block with another and keeps k of each query, so what is shuffled grows with blocks, not with pairs. The
-    work is still the product of both sides: for very large tables index them first. The numbers of rows, if they are known
-    (an upper bound will do), save counting.
+    Ties go to the query itself and then to the smaller id. Up to BLOCK rows are one block, which all queries meet. More are
+    dealt into Voronoi cells, and a query meets a cell only if a row there can be as near as the k-th known: see ``pruned``.
+    The numbers of rows, if they are known (an upper bound will do), save counting. ``compared`` counts the pairs compared.
     """
-    a, b = _parts(n_queries or queries.count()), _parts(n_rows or rows.count())
+    n = n_rows or rows.count()
+    if n > voronoi.BLOCK:
+        return pruned(queries, rows, k, by, exclude_self, n, unlike, compared)
+    schema = _result(rows)
 
     def top(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row_id": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
         if not len(q) or not len(r):
-            return empty
+            return pd.DataFrame({f.name: [] for f in schema.fields})
         r = r.sort_values("rid")
-        x, ids, codes = _matrix(r["rf"]), r["rid"].to_numpy(), r["code"].to_numpy()
-        got = []
-        for begin in range(0, len(q), 256):
-            p = _matrix(q["features"].iloc[begin : begin + 256])
-            own, own_code = (q[c].to_numpy()[begin : begin + 256] for c in ("row_id", "code"))
-            d = (p * p).sum(1)[:, None] - 2 * p @ x.T + (x * x).sum(1)[None, :]
-            if exclude_self:
-                d[own[:, None] == ids[None, :]] = np.inf
-            if unlike:
-                d[own_code[:, None] == codes[None, :]] = np.inf
-            # the product may reorder near ties: exact distances decide among all that rounding can't tell from the k-th
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(p), np.inf)
-            i, j = np.nonzero(~(d > (kth + _rounding(p, x))[:, None]) & (d < np.inf))
-            f = pd.DataFrame({"query_id": own[i], "row_id": ids[j], "d2": _exact(p, x, i, j)})
-            f = f.assign(o=f["query_id"] != f["row_id"]).sort_values(["query_id", "d2", "o", "row_id"])
-            got.append(f.groupby("query_id", sort=False).head(k)[["query_id", "row_id", "d2"]])
-        return pd.concat(got)
-
-    found = _blocks(queries, rows, by or [], a, b).applyInPandas(top, "query_id long, row_id long, d2 double")
-    order = Window.partitionBy("query_id").orderBy("d2", F.col("query_id") != F.col("row_id"), "row_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(rows.select("row_id", F.col("label")), "row_id").select("query_id", "rank", "row_id", "d2", "label")
+        ids, own, codes, own_codes = r["rid"].to_numpy(), q["row_id"].to_numpy(), r["code"].to_numpy(), q["code"].to_numpy()
+        barred = (lambda s: own_codes[s, None] == codes[None, :]) if unlike else None
+        i, j, d2 = _best(own, matrix(q["features"]), ids, matrix(r["rf"]), k, exclude_self, barred)
+        if compared is not None:
+            compared.add(len(q) * len(r))
+        return pd.DataFrame({"query_id": own[i], "row_id": ids[j], "d2": d2, "label": r["label"].to_numpy()[j]})
+
+    found = _blocks(queries, rows, by or [], _parts(n_queries or queries.count()), 1).applyInPandas(top, schema)
+    return _ranked(found, k)
+
+
+def _meet(queries: DataFrame, counts: DataFrame, rows: DataFrame):
+    """Queries and rows of the same block, in chunks of about BLOCK queries: only the rows of a block that more queries ask
+    for are repeated. ``counts`` has block and the number of its queries, n."""
+    # one row for each block
+    chunks = cut(counts.select("block", F.ceil(F.col("n") / voronoi.BLOCK).cast("int").alias("chunks")))
+    left = queries.join(chunks, "block").withColumn("chunk", share("query_id", F.col("chunks"))).drop("chunks")
+    right = rows.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+
+
+def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, unlike: bool = False, compared: Accumulator | None = None) -> DataFrame:
+    """What ``nearest`` gives, by Voronoi cells.
+
+    1. Of rows with equal vectors in a segment (their class, if it matters) only the k + 1 with the smallest ids can be
+       neighbours; the others go, by a limit that Spark applies before its shuffle. So copies fill no cell.
+    2. Each query meets its nearest cell with enough rows. The k-th distance found there, or a bound from the sizes of the
+       cells around, is its radius.
+    3. It is sent to the blocks that hold other cells which its radius reaches: cells are ruled out by the distance of their
+       rings and by the planes between pivots.
+
+    Blocks that many queries ask for are repeated for chunks of them, so a task has about BLOCK rows on either side. Vectors
+    without structure (many independent dimensions) rule out little, and the work is then that of all blocks.
+    """
+    seg = segments(["label"] if unlike else by or [])
+    added = not exclude_self and queries is rows  # each query's own row is then known without a search
+    plain = lambda df: df.select("row_id", "label", "features", seg.alias("seg"))
+    points = plain(rows)
+    if exclude_self or added:
+        copies = Window.partitionBy("seg", "features").orderBy("row_id")
+        points = points.withColumn("~copy", F.row_number().over(copies)).where(F.col("~copy") <= k + 1).drop("~copy")
+    points = cut(points)
+    n_segments = points.select("seg").distinct().count() if by or unlike else 1
+    pivots = voronoi.pivots_of(points, n_rows or rows.count(), max(1, n_segments))
+    put = cut(voronoi.dealt(points, pivots))
+    cells = voronoi.cells_of(put, pivots)
+    placed = cut(voronoi.in_blocks(put, cells))
+    shipped = rows.sparkSession.sparkContext.broadcast(cells)
+    kind, label = rows.schema["row_id"].dataType, rows.schema["label"].dataType
+    asking = T.StructType([T.StructField("query_id", kind), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("seg", T.StringType())])
+
+    # the query's home: the nearest cell with more than k rows, or the largest
+    def home(batches):
+        known = shipped.value
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                p = matrix(part["features"])
+                admitted = known.admitted(part["seg"].to_numpy(object), unlike)
+                reach = np.where(admitted, known.bounds(p)[1][:, known.pivot], np.inf)
+                enough = np.where(known.n[None, :] > k, reach, np.inf)
+                cell = np.where(np.isfinite(enough.min(1)), np.argmin(enough, 1), np.argmin(reach, 1))
+                some = admitted.any(1)
+                yield pd.DataFrame({"query_id": part["row_id"], "features": part["features"], "seg": part["seg"], "cell": cell, "first": known.block[cell], "parts": known.parts[cell]})[some]
+
+    homes = plain(queries).select("row_id", "features", "seg").mapInPandas(home, T.StructType([*asking.fields, *(T.StructField(c, T.IntegerType()) for c in ("cell", "first", "parts"))]))
+    homes = cut(homes.withColumn("block", F.col("first") + share("query_id", F.col("parts"))).drop("first", "parts"))
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame, wanted) -> list[tuple]:
+        """(queries, rows, squared distances) of the best of each cell; wanted gives the places of the queries that a cell meets."""
+        p, own, got = matrix(q["features"]), q["query_id"].to_numpy(), []
+        for cell, part in r.groupby("cell", sort=True):
+            asks = wanted(cell)
+            if len(asks):
+                x = matrix(part["features"])
+                i, j, d2 = _best(own[asks], p[asks], part["row_id"].to_numpy(), x, k, exclude_self or added)
+                got.append((asks[i], part.index.to_numpy()[j], d2))
+                if compared is not None:
+                    compared.add(len(asks) * len(part))
+        return got
+
+    met = T.StructType([*asking.fields, *(T.StructField(c, T.IntegerType()) for c in ("cell", "block")), T.StructField("ids", T.ArrayType(kind)), T.StructField("d2s", T.ArrayType(T.DoubleType())), T.StructField("labels", T.ArrayType(label))])
+
+    def at_home(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q):
+            return pd.DataFrame({f.name: [] for f in met.fields})
+        q, r = q.reset_index(drop=True), r.sort_values("row_id").reset_index(drop=True)
+        cell = q["cell"].to_numpy()
+        got = compare(q, r, lambda c: np.flatnonzero(cell == c))
+        i, j, d2 = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.argsort(i, kind="stable")
+        bounds = np.searchsorted(i[order], np.arange(1, len(q)))
+        ids, labels = r["row_id"].to_numpy()[j[order]], r["label"].to_numpy()[j[order]]
+        cuts = lambda x: [list(c) for c in np.split(x, bounds)]
+        return q.assign(ids=cuts(ids), d2s=cuts(d2[order]), labels=cuts(labels))[[f.name for f in met.fields]]
+
+    first = cut(_meet(homes, homes.groupBy("block").agg(F.count(F.lit(1)).alias("n")), placed).applyInPandas(at_home, met))
+
+    def spread(narrow: bool):
+        """The blocks beyond home that each query has to see, with the cells there; ``narrow`` leaves the blocks only."""
+
+        def run(batches):
+            known = shipped.value
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.iloc[at : at + 256].reset_index(drop=True)
+                    p = matrix(part["features"])
+                    bounds, admitted = known.bounds(p), known.admitted(part["seg"].to_numpy(object), unlike)
+                    kth = np.array([d[k - 1] if len(d) >= k else np.inf for d in part["d2s"]])
+                    # one row more, as the query may be among them
+                    radius = np.minimum(np.sqrt(kth), known.most(bounds, admitted, k + 1))
+                    needed = admitted & (known.least(p, bounds) <= (radius * (1 + 1e-9))[:, None])
+                    i, c = np.nonzero(needed)
+                    times = known.parts[c]
+                    i, c = np.repeat(i, times), np.repeat(c, times)
+                    block = known.block[c] + np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)
+                    out = ~((c == part["cell"].to_numpy()[i]) & (block == part["block"].to_numpy()[i]))
+                    i, c, block = i[out], c[out], block[out]
+                    edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(block) != 0)) + 1
+                    heads = np.concatenate([[0], edges]) if len(i) else np.zeros(0, int)
+                    made = pd.DataFrame({"block": block[heads].astype(np.int32)})
+                    if not narrow:
+                        made = made.assign(query_id=part["query_id"].to_numpy()[i[heads]], features=part["features"].to_numpy()[i[heads]], cells=[x.tolist() for x in np.split(c, edges)] if len(i) else [])
+                        made = made[["query_id", "features", "block", "cells"]]
+                    yield made
+
+        return run
+
+    needs = first.select("query_id", "features", "seg", "cell", "block", "d2s")
+    counts = needs.mapInPandas(spread(True), "block int").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    sent = needs.mapInPandas(spread(False), T.StructType([*asking.fields[:2], T.StructField("block", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    schema = _result(rows)
+
+    def beyond(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        q, r = q.reset_index(drop=True), r.sort_values("row_id").reset_index(drop=True)
+        size = q["cells"].map(len).to_numpy()
+        asked, who = np.concatenate(q["cells"].to_numpy()), np.repeat(np.arange(len(q)), size)
+        got = compare(q, r, lambda c: who[asked == c])
+        i, j, d2 = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((j, d2, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i[order]], "row_id": r["row_id"].to_numpy()[j[order]], "d2": d2[order], "label": r["label"].to_numpy()[j[order]]})
+
+    far = _meet(sent, counts, placed).applyInPandas(beyond, schema)
+    near = first.select("query_id", F.explode(F.arrays_zip("ids", "d2s", "labels")).alias("x")).select("query_id", F.col("x.ids").alias("row_id"), F.col("x.d2s").alias("d2"), F.col("x.labels").alias("label"))
+    found = near.unionByName(far)
+    if added:
+        found = found.unionByName(rows.select(F.col("row_id").alias("query_id"), "row_id", F.lit(0.0).alias("d2"), "label"))
+    return _ranked(found, k)
 
 
 def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None) -> DataFrame:
@@ -91,13 +250,13 @@ def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None) -> Data
     asking = rows.join(radii.select("row_id", "radius"), "row_id")
 
     def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"row_id": pd.Series(dtype="int64"), "n_within": pd.Series(dtype="int64"), "n_holding": pd.Series(dtype="int64"), "farthest": pd.Series(dtype="float64")})]
+        parts = [pd.DataFrame({"row_id": pd.Series(dtype=object), "n_within": pd.Series(dtype="int64"), "n_holding": pd.Series(dtype="int64"), "farthest": pd.Series(dtype="float64")})]
         if len(q) and len(r):
-            x, ids = _matrix(r["rf"]), r["rid"].to_numpy()
+            x, ids = matrix(r["rf"]), r["rid"].to_numpy()
             holding = np.zeros(len(r), np.int64)
             for begin in range(0, len(q), 256):
                 part = q.iloc[begin : begin + 256]
-                p, own, radius = _matrix(part["features"]), part["row_id"].to_numpy(), part["radius"].to_numpy(float)
+                p, own, radius = matrix(part["features"]), part["row_id"].to_numpy(), part["radius"].to_numpy(float)
                 d = np.zeros((len(p), len(x)))
                 for c in range(x.shape[1]):  # exact, as radii are distances of rows
                     d += (p[:, c, None] - x[None, :, c]) ** 2
@@ -108,5 +267,6 @@ def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None) -> Data
             parts.append(pd.DataFrame({"row_id": ids, "n_within": 0, "n_holding": holding, "farthest": 0.0}))
         return pd.concat(parts)
 
-    found = _blocks(asking, rows, ["label"], n, n).applyInPandas(count, "row_id long, n_within long, n_holding long, farthest double")
+    schema = T.StructType([T.StructField("row_id", rows.schema["row_id"].dataType), T.StructField("n_within", T.LongType()), T.StructField("n_holding", T.LongType()), T.StructField("farthest", T.DoubleType())])
+    found = _blocks(asking, rows, ["label"], n, n).applyInPandas(count, schema)
     return found.groupBy("row_id").agg(F.sum("n_within").alias("n_within"), F.sum("n_holding").alias("n_holding"), F.max("farthest").alias("farthest"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenhand.sources.staging import cut
+
 #: Rows of a bin, about.
 RANKED = 20_000
 
@@ -33,19 +35,26 @@ def by_uniform(u: Column):
     return lambda bins: F.floor(u * bins).cast("long")
 
 
-def by_range(value: Column, low: Column, high: Column):
-    """Bins of equal width between low and high."""
-    return lambda bins: F.when(high > low, F.least(F.floor((value - low) / (high - low) * bins), bins - 1)).otherwise(F.lit(0)).cast("long")
-
-
 def by_octave(value: Column):
     """Bins of a positive number: 8 or more for each power of two."""
     return lambda bins: F.floor(F.log2(value) * F.greatest(bins, F.lit(8))).cast("long")
 
 
+def in_order(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with ``name``, the number of a row (from 1) in its group of ``keys`` by ``value``, a number or a text, however its values
+    are spread: ranges are cut at sampled quantiles. Rows of equal values are numbered in any order."""
+    ranged = cut(df.repartitionByRange(*keys, value, F.xxhash64(*df.columns)).withColumn("~range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "~range").agg(F.count(F.lit(1)).alias("~c"))
+    before = Window.partitionBy(*keys).orderBy("~range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select(*keys, "~range", F.coalesce(F.sum("~c").over(before), F.lit(0)).alias("~start"))
+    inside = Window.partitionBy(*keys, "~range").orderBy(value)
+    return ranged.join(starts, [*keys, "~range"]).withColumn(name, F.col("~start") + F.row_number().over(inside)).drop("~range", "~start")
+
+
 def medians(df: DataFrame, key: str, value: str) -> DataFrame:
     """key and the exact median of ``value`` for each key."""
-    spans = df.groupBy(key).agg(F.min(value).alias("~low"), F.max(value).alias("~high"), F.count(F.lit(1)).alias("~n"))
-    rows = df.select(key, F.col(value).cast("double").alias("~v")).join(F.broadcast(spans), key)
-    numbered = ranked(rows, [key], by_range(F.col("~v"), F.col("~low"), F.col("~high")), ["~v"], "~rk", F.floor(F.col("~n") / 2) + 1)
-    return numbered.where(F.col("~rk") >= F.floor((F.col("~n") + 1) / 2)).groupBy(key).agg(F.avg("~v").alias("median"))
+    rows = cut(df.select(key, F.col(value).cast("double").alias("~v")))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("~n"))
+    numbered = in_order(rows, [key], "~v", "~rk").join(F.broadcast(sizes), key)
+    middle = numbered.where((F.col("~rk") >= F.floor((F.col("~n") + 1) / 2)) & (F.col("~rk") <= F.floor(F.col("~n") / 2) + 1))
+    return middle.groupBy(key).agg(F.avg("~v").alias("median"))

@@ -15,11 +15,12 @@ from evenhand.operators.ranking import RANKED, by_octave, ranked
 from evenhand.sources.frame import validated
 from evenhand.sources.staging import cut
 
-#: Hash ranges of a class in which running weights are summed, at least: larger classes have more, of about RANKED rows.
+#: Hash ranges of a class in which running weights are summed, and ranges inside each where classes are large.
 RANGES = 64
 #: Slots that one row stands for until they are dealt out.
 SLOTS = 10_000
 
+# The names of the target sizes.
 STRATEGIES = {"auto": "mean", "all": "mean", "mean": "mean", "median": "median", "max": "max", "min": "min"}
 
 
@@ -65,28 +66,48 @@ def slots_of(short: DataFrame, *keys: str) -> DataFrame:
 def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """slots (by..., label, slot) with seed_row_id, drawn with replacement with chances by weight.
 
-    A slot's number u times the class total falls into one row's stretch of the running weight. Running weights are summed
-    inside hash ranges and over the ranges; slots find the range first, then their row by an as-of union inside it.
+    A slot's number u times the class total falls into one row's stretch of the running weight. Rows lie in hash ranges, which
+    nest: RANGES of the whole class, RANGES of each of these, and so on until a range has some RANKED rows. A slot looks through
+    the RANGES entries of one range on each level, then finds its row by an as-of union inside the last. Only the first level,
+    RANGES entries for each class, is broadcast.
     """
     keys = [*by, "label"]
-    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(RANGES), F.ceil(F.count(F.lit(1)) / RANKED)).alias("~m"))
-    block = F.floor(uniform(seed, "range", F.col("row_id")) * F.col("~m")).cast("int")
-    rows = df.join(F.broadcast(sizes), keys).select(*keys, "row_id", "weight", block.alias("block"))
-    sums = rows.groupBy(*keys, "block").agg(F.sum("weight").alias("w"))
-    over = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = sums.withColumn("end", F.sum("w").over(over))
-    ranges = ranges.withColumn("begin", F.lag("end", 1, 0.0).over(Window.partitionBy(*keys).orderBy("block")))
-    packed = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "begin", "end"))).alias("r"), F.max("end").alias("t"))
-    asked = slots.join(F.broadcast(packed), keys).withColumn("x", uniform(seed, "seed", F.col("label"), F.col("slot")) * F.col("t"))
-    at = F.element_at(F.filter("r", lambda r: r["begin"] <= F.col("x")), -1)
-    asked = asked.withColumn("a", at).select(*keys, "slot", F.col("a.block").alias("block"), (F.col("x") - F.col("a.begin")).alias("pos"))
-    inside = Window.partitionBy(*keys, "block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = rows.withColumn("cum", F.sum("weight").over(inside)).withColumn("pos", F.lag("cum", 1, 0.0).over(Window.partitionBy(*keys, "block").orderBy("row_id")))
-    both = starts.select(*keys, "block", "pos", F.lit(0).alias("kind"), "row_id", F.lit(None).cast("long").alias("slot")).unionByName(asked.select(*keys, "block", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("row_id"), "slot"))
-    before = Window.partitionBy(*keys, "block").orderBy("pos", "kind", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 1
+    levels = 1
+    while RANGES**levels * RANKED < most:
+        levels += 1
+    u = uniform(seed, "range", F.col("row_id"))
+    block = lambda level: F.floor(u * RANGES**level).cast("long").alias(f"b{level}")
+    rows = df.select(*keys, "row_id", "weight", *(block(i) for i in range(1, levels + 1)))
+    sums = rows.groupBy(*keys, *(f"b{i}" for i in range(1, levels + 1))).agg(F.sum("weight").alias("w"))
+    sums = cut(sums) if levels > 1 else sums
+    asked = slots.select(*keys, "slot")
+    for level in range(1, levels + 1):
+        parent = keys if level == 1 else [*keys, f"b{level - 1}"]
+        packed = _stretches(sums.groupBy(*parent, f"b{level}").agg(F.sum("w").alias("w")), parent, f"b{level}")
+        if level == 1:
+            met = asked.join(F.broadcast(packed), parent).withColumn("x", uniform(seed, "seed", F.col("label"), F.col("slot")) * F.col("t"))
+        else:
+            met = asked.join(packed, parent).withColumn("x", F.least(F.col("pos"), F.col("t")))
+        at = F.element_at(F.filter("r", lambda r: r["begin"] <= F.col("x")), -1)
+        asked = met.withColumn("a", at).select(*keys, "slot", F.col("a.block").alias(f"b{level}"), (F.col("x") - F.col("a.begin")).alias("pos"))
+    last = f"b{levels}"
+    inside = Window.partitionBy(*keys, last).orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.select(*keys, last, F.coalesce(F.sum("weight").over(inside), F.lit(0.0)).alias("pos"), F.lit(0).alias("kind"), "row_id", F.lit(None).cast("long").alias("slot"))
+    both = starts.unionByName(asked.select(*keys, last, "pos", F.lit(1).alias("kind"), F.lit(None).cast(df.schema["row_id"].dataType).alias("row_id"), "slot"))
+    before = Window.partitionBy(*keys, last).orderBy("pos", "kind", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("seed_row_id", F.last("row_id", ignorenulls=True).over(before)).where(F.col("kind") == 1).select(*keys, "slot", "seed_row_id")
 
 
+def _stretches(sums: DataFrame, parent: list[str], block: str) -> DataFrame:
+    """parent..., r (block, begin and end of its stretch, RANGES at most) and t (the end of the last)."""
+    upto = Window.partitionBy(*parent).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = sums.withColumn("end", F.sum("w").over(upto))
+    ranges = ranges.withColumn("begin", F.lag("end", 1, 0.0).over(Window.partitionBy(*parent).orderBy(block)))
+    return ranges.groupBy(*parent).agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("block"), "begin", "end"))).alias("r"), F.max("end").alias("t"))
+
+
 def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = (), base: DataFrame | None = None) -> DataFrame:
     """Synthetic rows that bring smaller classes to ``target``: label, slot, seed_row_id, neighbor_row_id, alpha, features.
 
@@ -113,10 +134,10 @@ def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by
 def resample_weighted(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by: tuple[str, ...] = (), base: DataFrame | None = None) -> DataFrame:
     """by..., label, row_id (null in synthetic rows), slot, is_synthetic, seed_row_id, neighbor_row_id, features."""
     kept = undersample(df, targets, seed, by)
-    none = F.lit(None).cast("long")
-    real = kept.select(*by, "label", F.col("row_id").cast("long").alias("row_id"), none.alias("slot"), F.lit(False).alias("is_synthetic"), none.alias("seed_row_id"), none.alias("neighbor_row_id"), "features")
+    none, nobody = F.lit(None).cast("long"), F.lit(None).cast(df.schema["row_id"].dataType)
+    real = kept.select(*by, "label", "row_id", none.alias("slot"), F.lit(False).alias("is_synthetic"), nobody.alias("seed_row_id"), nobody.alias("neighbor_row_id"), "features")
     made = oversample(df, targets, k, seed, by, base)
-    synthetic = made.select(*by, "label", none.alias("row_id"), "slot", F.lit(True).alias("is_synthetic"), "seed_row_id", "neighbor_row_id", "features")
+    synthetic = made.select(*by, "label", nobody.alias("row_id"), "slot", F.lit(True).alias("is_synthetic"), "seed_row_id", "neighbor_row_id", "features")
     return real.unionByName(synthetic)
 
 

@@ -5,11 +5,14 @@ The twins say the same in SQL from scratch; both sides round to six places in th
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.operators import comparison, ensemble, evaluation, hardness, neighbours, sampling
-from evenhand.operators.learners import Bagging, NearestCentroid, SparkLearner
+from evenhand.operators.learners import Forest, NearestCentroid, Tree
+from evenhand.operators.trees import BINS, MAX_DEPTH
 from evenhand.sources.frame import canonical, doc_table, embedding_table, imbalanced
 from evenhand.sources.staging import cut
 
@@ -67,10 +70,11 @@ def knn_sql(k: int) -> str:
     return f"near AS (SELECT a.row_id AS query_id, b.row_id, a.label AS own, b.label, list_distance(a.features, b.features) AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.features, b.features), b.row_id) AS rk FROM doc a JOIN doc b ON a.row_id <> b.row_id QUALIFY rk <= {k})"
 
 
-def resample_sql(mu: str, sigma: float = 0.2, k: int = 3, members: int | None = None) -> str:
-    """CTEs that end in ``real`` and ``made``; with members by member_id and their mu."""
-    b, bj = ("member_id, ", "member_id, label") if members else ("", "label")
-    grid = f", grid AS (SELECT i::INT AS member_id, i / {members - 1}e0 AS mu FROM range({members}) r(i))" if members else ""
+def resample_sql(mu: str, sigma: float = 0.2, k: int = 3, members: int | None = None, grid: str = "", b: str = "member_id, ") -> str:
+    """CTEs that end in ``real`` and ``made``; with members (or a grid of b and mu) by member_id (or b) and their mu."""
+    grid = f", grid AS (SELECT i::INT AS member_id, i / {members - 1}e0 AS mu FROM range({members}) r(i))" if members else grid and f", grid AS ({grid})"
+    members, b = bool(grid), b if grid else ""
+    bj = f"{b}label"
     rng = f"greatest(exp(-0.5e0 * pow((complexity - {mu}) / {sigma}e0, 2)) / ({sigma}e0 * sqrt(2 * pi())), 1e-10)"
     return (
         f"{TARGET}{grid}, w AS (SELECT {b}h.row_id, h.label, doc.features, {rng} AS weight FROM hard h JOIN doc USING (row_id){' CROSS JOIN grid' if members else ''})"
@@ -91,6 +95,65 @@ def resample_sql(mu: str, sigma: float = 0.2, k: int = 3, members: int | None =
     )
 
 
+#: The bag of ``real`` and ``made`` by b.
+def bag_sql(b: str = "member_id, ", more: str = "") -> str:
+    """``bag``; more: names of further columns, row_id and slot."""
+    m = "".join(f", {c.strip()}" for c in more.split(",") if c.strip())
+    absent = m.replace("slot", "NULL::BIGINT AS slot")
+    return f"bag AS (SELECT {b}label, features{absent} FROM real UNION ALL SELECT {b}label, list_transform(range(1, len(fa) + 1), lambda i: fa[i] + alpha * (fb[i] - fa[i])){m.replace('row_id', 'NULL')} FROM made)"
+
+
+def tree_sql(name: str, rows: str, b: str = "", tried: int | None = None) -> str:
+    """``name``: p of the classes in the leaf that each row of ``rows`` with w = 0 comes to, in trees that those with w > 0 grow, one
+    for each b. Nodes split in a recursion: each step finds ranges, bins and scores of all nodes and moves the rows down."""
+    u = f"{b}node"
+    tree = " || ':' || ".join(c.strip() for c in u.split(","))
+    few = f" QUALIFY row_number() OVER (PARTITION BY {u} ORDER BY {u_sql('features', tree + chr(32) + '||' + chr(39) + ':' + chr(39) + '|| (pos - 1)')}, pos) <= {tried}" if tried else ""
+    binned = lambda v: f"least({BINS - 1}, floor(({v} - low) / (high - low) * {BINS}))::INT"
+    own = "".join(f"z.{c.strip()}, " for c in b.split(",") if c.strip())
+    return (
+        f"{name}_g AS (SELECT {b}row_id, label, features, w, 1::BIGINT AS node, 0 AS depth FROM {rows} UNION ALL SELECT * FROM ("
+        f"WITH c AS (SELECT {u}, label, w, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM {name}_g WHERE w > 0 AND depth < {MAX_DEPTH})"
+        f", impure AS (SELECT {u} FROM c GROUP BY {u} HAVING count(DISTINCT label) > 1)"
+        f", r0 AS (SELECT {u}, pos, min(v) AS low, max(v) AS high FROM c JOIN impure USING ({u}) GROUP BY {u}, pos HAVING max(v) > min(v))"
+        f", r AS (SELECT * FROM r0{few})"
+        f", h AS (SELECT {u}, pos, label, {binned('v')} AS bin, sum(w)::BIGINT AS n FROM c JOIN r USING ({u}, pos) GROUP BY {u}, pos, label, bin)"
+        f", t AS (SELECT {u}, pos, label, sum(n)::BIGINT AS t FROM h GROUP BY {u}, pos, label)"
+        f", cuts AS (SELECT DISTINCT {u}, pos, bin + 1 AS cut FROM h)"
+        f", lr AS (SELECT {u}, pos, cut, label, coalesce(sum(n) FILTER (bin < cut), 0)::BIGINT AS l, any_value(t) AS t FROM cuts JOIN t USING ({u}, pos) LEFT JOIN h USING ({u}, pos, label) GROUP BY {u}, pos, cut, label)"
+        f", s AS (SELECT {u}, pos, cut, sum(l * l)::DOUBLE / sum(l) + sum((t - l) * (t - l))::DOUBLE / sum(t - l) AS score FROM lr GROUP BY {u}, pos, cut HAVING sum(t - l) > 0)"
+        f", best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY {u} ORDER BY score DESC, pos, cut) = 1)"
+        f" SELECT {own}z.row_id, z.label, z.features, z.w, 2 * z.node + ({binned('z.features[pos]')} >= cut)::INT, z.depth + 1 FROM {name}_g z JOIN best USING ({u}) JOIN r USING ({u}, pos)))"
+        f", {name}_last AS (SELECT {b}row_id, label, arg_max(node, depth) AS node FROM {name}_g WHERE w = 0 GROUP BY {b}row_id, label)"
+        f", {name}_counts AS (SELECT {u}, label AS class, sum(w) AS n FROM {name}_g WHERE w > 0 GROUP BY {u}, label)"
+        f", {name} AS (SELECT {b}row_id, label, class, n / sum(n) OVER (PARTITION BY {b}row_id, label)::DOUBLE AS p FROM {name}_last JOIN {name}_counts USING ({u}))"
+    )
+
+
+def forest_sql(name: str, rows: str, trees: int, b: str = "", tried: int | None = 2) -> str:
+    """``name``: p of a forest; ``rows`` have b, row_id, slot (null without one), label, features and w: 1 to train, 0 to be scored."""
+    at, part, steps = 0.0, exp(-1.0), []
+    for n in range(1, 12):
+        at += part
+        part /= n
+        steps.append(f"(u >= {at!r}e0)::INT" if "e" not in repr(at) else f"(u >= {at!r})::INT")
+    key = "tree || coalesce(':' || row_id, '') || coalesce(':' || slot, '')"
+    return (
+        f"{name}_in AS (SELECT tree, * EXCLUDE (w, slot, u), CASE WHEN w = 0 THEN 0 ELSE {' + '.join(steps)} END AS w FROM (SELECT *, {u_sql('bag', key)} AS u FROM {rows}, range({trees}) t(tree)) WHERE w = 0 OR {' + '.join(steps)} > 0)"
+        f", {tree_sql(name + '_all', name + '_in', b + 'tree, ', tried)}"
+        f", {name} AS (SELECT {b}row_id, label, class, round(sum(p) / {trees}, 12) AS p FROM {name}_all GROUP BY {b}row_id, label, class)"
+    )
+
+
+def pred_sql(name: str, proba: str, b: str = "") -> str:
+    return f"{name} AS (SELECT {b}row_id, label, class AS pred FROM {proba} QUALIFY row_number() OVER (PARTITION BY {b}row_id, label ORDER BY p DESC, class) = 1)"
+
+
+def soft_sql(name: str, proba: str, members: str, b: str = "") -> str:
+    """``name`` (p) of the members' p in ``proba``."""
+    return f"{name}_m AS (SELECT {b}row_id, label, class, round(sum(p) / {members}, 12) AS m FROM {proba} GROUP BY {b}row_id, label, class), {name} AS (SELECT {b}row_id, label, class, m / (sum(m) OVER (PARTITION BY {b}row_id, label) + 1e-10) AS p FROM {name}_m)"
+
+
 def columns_sql(width: int, source: str) -> str:
     return ", ".join((f"round(fa[{i + 1}] + alpha * (fb[{i + 1}] - fa[{i + 1}]), 6) AS f{i}" if source == "made" else f"round(features[{i + 1}], 6) AS f{i}") for i in range(width))
 
@@ -114,7 +177,7 @@ def nc_sql(train: str, rows: str, b: str = "") -> str:
 
 
 def bags_sql() -> str:
-    return f"WITH {DOC}, {OVERLAP}, {resample_sql('mu', k=5, members=MEMBERS)}, bag AS (SELECT member_id, label, features FROM real UNION ALL SELECT member_id, label, list_transform(range(1, len(fa) + 1), lambda i: fa[i] + alpha * (fb[i] - fa[i])) FROM made)"
+    return f"WITH {DOC}, {OVERLAP}, {resample_sql('mu', k=5, members=MEMBERS)}, {bag_sql()}"
 
 
 # ---- classes and targets ----
@@ -183,7 +246,6 @@ query(
 query("hardness_overlap_degenerate", f"WITH {DOC} SELECT row_id, label, round(1e0 / count(*) OVER (), 6) AS complexity FROM doc")(
     lambda spark, sf: rounded(hardness.overlap(doc_table(spark, sf).withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))), "complexity")
 )
-query("hardness_error_rate_tree")(lambda spark, sf: hardness.error_rate(doc_table(spark, sf), SparkLearner("tree"), 3))
 
 
 @query("knn_topk", f"WITH {EMB}, {knn_sql(5)} SELECT query_id, CAST(rk AS INT) AS rank, row_id, round(d * d, 6) AS d2, label FROM near")
@@ -199,13 +261,33 @@ def knn_within_class(spark, sf):
 
 
 FOLDS = 3
-FOLD_SQL = (
-    f"{COUNTS}, firsts AS (SELECT label, min(row_id) AS f FROM doc GROUP BY label), offs AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM counts JOIN firsts USING (label))"
-    f", places AS (SELECT label, fold, count(*) AS c FROM (SELECT label, unnest(range(o::BIGINT, (o + n)::BIGINT)) % {FOLDS} AS fold FROM offs) GROUP BY label, fold)"
-    ", ends AS (SELECT label, fold, sum(c) OVER (PARTITION BY label ORDER BY fold) AS e FROM places)"
-    ", numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS rk FROM doc)"
-    ", folded AS (SELECT row_id, m.label, features, min(fold) AS fold FROM numbered m JOIN ends USING (label) WHERE rk <= e GROUP BY row_id, m.label, features)"
-)
+
+
+def fold_sql(folds: int, shuffle: bool = False, b: str = "") -> str:
+    """``folded``: doc with its fold, by b."""
+    bj = f"{b}label"
+    over = f"PARTITION BY {b.rstrip(', ')} " if b else ""
+    return (
+        f"fc AS (SELECT {bj}, count(*) AS n, min(row_id) AS f FROM doc GROUP BY {bj}), offs AS (SELECT {bj}, n, coalesce(sum(n) OVER ({over}ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM fc)"
+        f", places AS (SELECT {bj}, fold, count(*) AS c FROM (SELECT {bj}, unnest(range(o::BIGINT, (o + n)::BIGINT)) % {folds} AS fold FROM offs) GROUP BY {bj}, fold)"
+        f", ends AS (SELECT {bj}, fold, sum(c) OVER (PARTITION BY {bj} ORDER BY fold) AS e FROM places)"
+        f", numbered AS (SELECT *, row_number() OVER (PARTITION BY {bj} ORDER BY {u_sql('fold', 'row_id') + ', ' if shuffle else ''}row_id) AS rk FROM doc)"
+        f", folded AS (SELECT {b}row_id, m.label, features, min(fold) AS fold FROM numbered m JOIN ends USING ({bj}) WHERE rk <= e GROUP BY {b}row_id, m.label, features)"
+    )
+
+
+FOLD_SQL = f"{COUNTS}, {fold_sql(FOLDS)}"
+
+
+def error_rate_sql(folds: int) -> str:
+    """``hard`` by trees on the other folds."""
+    held = f"tr AS (SELECT held::INT AS held, row_id, label, features, (fold <> held)::INT AS w FROM folded, range({folds}) x(held))"
+    return f"{fold_sql(folds)}, {held}, {tree_sql('er', 'tr', 'held, ')}, hard AS (SELECT f.row_id, f.label, 1 - coalesce(p, 0) AS complexity FROM folded f LEFT JOIN er ON er.row_id = f.row_id AND er.class = f.label)"
+
+
+@query("hardness_error_rate_tree", f"WITH RECURSIVE {DOC}, {error_rate_sql(FOLDS)} {HARD} hard")
+def hardness_error_rate_tree(spark, sf):
+    return rounded(hardness.error_rate(doc_table(spark, sf), Tree(), FOLDS), "complexity")
 
 
 @query("stratified_folds", f"WITH {DOC}, {FOLD_SQL} SELECT row_id, label, CAST(fold AS INT) AS fold FROM folded")
@@ -313,7 +395,7 @@ def ensemble_diversity(spark, sf):
 
 
 PROBA = f"{bags_sql()}, {nc_sql('bag', 'doc', 'member_id, ')}"
-SOFT = f"{PROBA}, m AS (SELECT row_id, label, class, sum(p) / {MEMBERS} AS m FROM proba GROUP BY row_id, label, class), q AS (SELECT row_id, label, class, m / (sum(m) OVER (PARTITION BY row_id) + 1e-10) AS p FROM m)"
+SOFT = f"{PROBA}, {soft_sql('q', 'proba', str(MEMBERS))}"
 SOFT_PRED = f"{SOFT}, pred AS (SELECT row_id, label, class AS pred, p FROM q QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, class) = 1)"
 
 
@@ -335,9 +417,19 @@ def ensemble_hard_nc(spark, sf):
     return model.predict(docs)
 
 
-@query("ensemble_soft_tree")
+#: Trees grown on the bags, and the rows of doc for every member.
+TREES = f"tr AS (SELECT member_id, NULL::BIGINT AS row_id, label, features, 1 AS w FROM bag UNION ALL SELECT member_id, row_id, label, features, 0 FROM doc, grid), {tree_sql('proba', 'tr', 'member_id, ')}"
+
+
+@query("ensemble_soft_tree", f"{bags_sql().replace('WITH', 'WITH RECURSIVE', 1)}, {TREES}, {soft_sql('q', 'proba', str(MEMBERS))}, {pred_sql('pred', 'q')} SELECT row_id, label, pred FROM pred")
 def ensemble_soft_tree(spark, sf):
-    docs, model = fitted(spark, sf, SparkLearner("tree", SEED))
+    docs, model = fitted(spark, sf, Tree())
+    return model.predict(docs)
+
+
+@query("ensemble_hard_tree", f"{bags_sql().replace('WITH', 'WITH RECURSIVE', 1)}, {TREES}, {pred_sql('v', 'proba', 'member_id, ')}, t AS (SELECT row_id, label, pred AS class, count(*) AS p FROM v GROUP BY row_id, label, pred), {pred_sql('pred', 't')} SELECT row_id, label, pred FROM pred")
+def ensemble_hard_tree(spark, sf):
+    docs, model = fitted(spark, sf, Tree(), voting="hard")
     return model.predict(docs)
 
 
@@ -406,23 +498,6 @@ def best_mu(spark, sf):
     return rounded(sweep(spark, sf), "f1").orderBy(F.desc("f1"), "mu").limit(1).select("f1", "mu")
 
 
-@query("compare_configurations")
-def compare_configurations(spark, sf):
-    return ensemble.compare_configurations(doc_table(spark, sf), MEMBERS, folds=2, learner=NearestCentroid())
-
-
-@query("compare_learners")
-def compare_learners(spark, sf):
-    """Weighted F1 over folds of tree, forest, bagging and the ensemble."""
-
-    def alone(learner):
-        return lambda train, test: ensemble.best_class(learner.fit(train).probabilities(test))
-
-    methods = {"tree": alone(SparkLearner("tree")), "forest": alone(SparkLearner("forest")), "bagging": alone(Bagging(5))}
-    methods["ensemble"] = lambda train, test: ensemble.Ensemble(members=3, learner=SparkLearner("tree")).fit(train).predict(test)
-    return ensemble.compared(doc_table(spark, sf), methods, 2)
-
-
 def parts(spark, sf):
     """Training rows and the rows left out."""
     docs = cut(doc_table(spark, sf))
@@ -457,9 +532,18 @@ def evaluate_split_nc(spark, sf):
     return rounded(comparison.evaluate(*parts(spark, sf), NearestCentroid()), *comparison.METRICS)
 
 
-@query("evaluate_split_forest")
+def dense(proba: str, classes: str = "doc", rows: str = "test", b: str = "") -> str:
+    """``proba`` with a row for every class; b: "" or "member_id, " with a table ``grid`` of its values."""
+    on = "row_id, label, class" if not b else f"{b}row_id, label, class"
+    return f"proba AS (SELECT {b}x.row_id, x.label, class, coalesce(p, 0) AS p FROM {rows} x{' CROSS JOIN grid' if b else ''} CROSS JOIN (SELECT DISTINCT label AS class FROM {classes}) LEFT JOIN {proba} USING ({on}))"
+
+
+FOREST_IN = "fin AS (SELECT row_id, NULL::BIGINT AS slot, label, features, 1 AS w FROM doc UNION ALL SELECT row_id, NULL, label, features, 0 FROM test)"
+
+
+@query("evaluate_split_forest", f"WITH RECURSIVE {PARTS}, {FOREST_IN}, {forest_sql('forest', 'fin', 100)}, {dense('forest')}, {scores_sql()} SELECT {ROUNDED} FROM m")
 def evaluate_split_forest(spark, sf):
-    return comparison.evaluate(*parts(spark, sf), SparkLearner("forest", SEED, 100))
+    return rounded(comparison.evaluate(*parts(spark, sf), Forest(100)), *comparison.METRICS)
 
 
 STRATEGIES = (
@@ -482,27 +566,120 @@ def best_by_metric(spark, sf):
     return evaluation.winners(strategies(spark, sf))
 
 
-@query("compare_hardness")
+#: hard by each measure; kNN ties go to the smaller id.
+MEASURES = {
+    "overlap": OVERLAP,
+    "neighborhood": f"{knn_sql(5)}, hard AS (SELECT query_id AS row_id, own AS label, avg((own <> label)::INT) AS complexity FROM near GROUP BY query_id, own)",
+    "error_rate": error_rate_sql(5),
+}
+
+
+def measured_bags(measure: str, tail: str, source: str = "traindoc", **options) -> str:
+    """A query on its own: rows of ``source`` resampled by a measure, then ``tail``."""
+    return f"(WITH RECURSIVE doc AS (SELECT row_id, label, features FROM {source}), {MEASURES[measure]}, {resample_sql(**options)} {tail})"
+
+
+#: The id of a synthetic row.
+MADE_ID = "-1 - ('0x' || substr(md5(label || ':' || slot), 1, 15))::BIGINT"
+
+
+def id_tail(b: str = "") -> str:
+    return f"SELECT {b}row_id, label, features FROM real UNION ALL SELECT {b}{MADE_ID}, label, list_transform(range(1, len(fa) + 1), lambda i: fa[i] + alpha * (fb[i] - fa[i])) FROM made"
+
+
+COMPARED = " UNION ALL ".join(f"SELECT {i} AS member_id, NULL::BIGINT AS slot, 1 AS w, * FROM {measured_bags(m, id_tail(), mu='0.5e0', k=5)}" for i, m in enumerate(MEASURES))
+HARDNESS_COMPARED = (
+    f"WITH RECURSIVE {PARTS}, traindoc AS (FROM doc), grid AS (SELECT i::INT AS member_id FROM range({len(MEASURES)}) r(i)), fin AS (SELECT member_id, row_id, slot, label, features, w FROM ({COMPARED}) UNION ALL SELECT member_id, row_id, NULL, label, features, 0 FROM test, grid)"
+    f", {forest_sql('forest', 'fin', 20, 'member_id, ')}, {dense('forest', b='member_id, ')}, {scores_sql('member_id, ')}"
+)
+
+
+@query("compare_hardness", f"{HARDNESS_COMPARED} SELECT member_id AS position, CASE member_id {' '.join(f'WHEN {i} THEN {chr(39)}{m}{chr(39)}' for i, m in enumerate(MEASURES))} END AS name, {ROUNDED} FROM m")
 def compare_hardness(spark, sf):
     """Metrics of a forest on rows left out, resampled by each hardness measure."""
-    return comparison.compare_measures(*parts(spark, sf), SparkLearner("forest", SEED, 20), seed=SEED)
+    return rounded(comparison.compare_measures(*parts(spark, sf), Forest(20), seed=SEED), *comparison.METRICS)
+
+
+STEPS, SWEPT_TREES = 5, 50
+SWEPT = (
+    f"WITH RECURSIVE {PARTS}, traindoc AS (FROM doc), swept AS {measured_bags('overlap', id_tail('member_id, '), mu='mu', k=5, members=STEPS)}"
+    f", fin AS (WITH doc AS (FROM swept), {fold_sql(3, b='member_id, ')} SELECT member_id, held::INT AS held, row_id, NULL::BIGINT AS slot, label, features, (fold <> held)::INT AS w FROM folded, range(3) x(held))"
+    f", {forest_sql('forest', 'fin', SWEPT_TREES, 'member_id, held, ')}, {pred_sql('pred', 'forest', 'member_id, held, ')}"
+    f", f AS (SELECT member_id, held, coalesce(2 * count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1) + count(*) FILTER (pred = 1), 0)::DOUBLE, 0) AS f1 FROM pred GROUP BY member_id, held)"
+)
 
 
-@query("mu_sweep_cross_validated")
+@query("mu_sweep_cross_validated", f"{SWEPT} SELECT member_id AS position, round(member_id / {STEPS - 1}e0, 6) AS mu, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std FROM f GROUP BY member_id")
 def mu_sweep_cross_validated(spark, sf):
-    return comparison.sweep_mu(parts(spark, sf)[0], SparkLearner("forest", SEED, 10), steps=3, folds=3, seed=SEED)
+    return rounded(comparison.sweep_mu(parts(spark, sf)[0], Forest(SWEPT_TREES), steps=STEPS, folds=3, seed=SEED), "mu", "mean", "std")
+
 
+SIZES = (3, 5, 10, 15, 20)
+SIZE_GRID = " UNION ALL ".join(f"SELECT {n} AS members, i::INT AS member_id, i / {n - 1}e0 AS mu FROM range({n}) r(i)" for n in SIZES)
+SIZE_SWEEP = (
+    f"WITH {PARTS}, {OVERLAP}, {resample_sql('mu', k=5, grid=SIZE_GRID, b='members, member_id, ')}, {bag_sql('members, member_id, ')}, {nc_sql('bag', 'test', 'members, member_id, ')}"
+    f", {soft_sql('q', 'proba', 'members', 'members, ')}, {pred_sql('pred', 'q', 'members, ')}"
+)
 
-@query("members_sweep")
+
+@query("members_sweep", f"{SIZE_SWEEP} SELECT members, round(coalesce(2 * count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1) + count(*) FILTER (pred = 1), 0)::DOUBLE, 0), 6) AS f1, round((SELECT stddev_pop(mu) FROM grid WHERE grid.members = pred.members), 6) AS mu_std FROM pred GROUP BY members")
 def members_sweep(spark, sf):
-    """Weighted F1 on held-out rows by the number of members, and the spread of mu."""
-    train, test = parts(spark, sf)
-    rows = []
-    for n in (3, 5, 10):
-        model = ensemble.Ensemble(members=n, learner=NearestCentroid()).fit(train)
-        spread = ensemble.mu_distribution(ensemble.mu_grid(spark, n)).first()["std"]
-        rows.append((n, float(evaluation.weighted_f1(model.predict(test)).first()[0]), float(spread)))
-    return spark.createDataFrame(rows, "members int, weighted_f1 double, mu_std double")
+    """F1 on rows left out by the number of members, and the spread of mu."""
+    return rounded(ensemble.members_sweep(*parts(spark, sf), SIZES, NearestCentroid(), seed=SEED), "f1", "mu_std")
+
+
+def f1_sql(pred: str, b: str) -> str:
+    """``wf``: weighted F1 by b."""
+    return (
+        f"cells AS (SELECT {b}c, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM (SELECT {b}label AS c, 1 AS t, 0 AS p, (label = pred)::INT AS h FROM {pred} UNION ALL SELECT {b}pred, 0, 1, 0 FROM {pred}) GROUP BY {b}c)"
+        f", wf AS (SELECT {b.rstrip(', ')}, sum(CASE WHEN t + p > 0 THEN 2 * h / (t + p)::DOUBLE ELSE 0 END * t) / sum(t) AS f1 FROM cells GROUP BY {b.rstrip(', ')})"
+    )
+
+
+SUMMARY = "SELECT name, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std, round(min(f1), 6) AS min, round(max(f1), 6) AS max FROM wf GROUP BY name"
+
+
+def fold_bags(hardness_of: dict, sigma: dict, folds: int, members: int) -> str:
+    """Bags of each setting on all folds but one."""
+    parts_of = (
+        f"SELECT '{name}' AS name, {held} AS held, * FROM {measured_bags(m, f', {bag_sql()} SELECT member_id, label, features FROM bag', f'(SELECT * FROM folded WHERE fold <> {held})', mu='mu', sigma=sigma[name], k=5, members=members)}"
+        for name, m in hardness_of.items()
+        for held in range(folds)
+    )
+    return " UNION ALL ".join(parts_of)
+
+
+_CONFIGURED = {c["name"]: c["hardness"] for c in ensemble.CONFIGURATIONS}, {c["name"]: c["sigma"] for c in ensemble.CONFIGURATIONS}
+CONFIGURED = (
+    f"WITH RECURSIVE {DOC}, {fold_sql(3, True)}, bags AS ({fold_bags(*_CONFIGURED, 3, MEMBERS)})"
+    ", tc AS (SELECT name, held, member_id, label AS class, pos, avg(v) AS g FROM (SELECT name, held, member_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM bags) GROUP BY name, held, member_id, label, pos)"
+    ", rc AS (SELECT row_id, label, fold AS held, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM folded)"
+    ", sc AS (SELECT name, held, member_id, row_id, label, class, 1 / (1 + sqrt(sum((v - g) * (v - g)))) AS s FROM rc JOIN tc USING (held, pos) GROUP BY name, held, member_id, row_id, label, class)"
+    ", proba AS (SELECT name, held, member_id, row_id, label, class, s / sum(s) OVER (PARTITION BY name, held, member_id, row_id) AS p FROM sc)"
+    f", {soft_sql('q', 'proba', str(MEMBERS), 'name, held, ')}, {pred_sql('pred', 'q', 'name, held, ')}, {f1_sql('pred', 'name, held, ')}"
+)
+
+
+@query("compare_configurations", f"{CONFIGURED} {SUMMARY}")
+def compare_configurations(spark, sf):
+    return rounded(ensemble.compare_configurations(doc_table(spark, sf), MEMBERS, learner=NearestCentroid()), "mean", "std", "min", "max")
+
+
+LEARNED = (
+    f"WITH RECURSIVE {DOC}, {fold_sql(5)}, fin AS (SELECT held::INT AS held, row_id, NULL::BIGINT AS slot, label, features, (fold <> held)::INT AS w FROM folded, range(5) x(held))"
+    f", {tree_sql('tree', 'fin', 'held, ')}, {forest_sql('forest', 'fin', 10, 'held, ')}, {forest_sql('bagging', 'fin', 10, 'held, ', None)}"
+    f", bags AS ({fold_bags({'ensemble': 'overlap'}, {'ensemble': 0.2}, 5, MEMBERS)}), tr AS (SELECT held, member_id, NULL::BIGINT AS row_id, label, features, 1 AS w FROM bags UNION ALL SELECT fold::INT, m::INT, row_id, label, features, 0 FROM folded, range({MEMBERS}) r(m))"
+    f", {tree_sql('members', 'tr', 'held, member_id, ')}, {soft_sql('ensemble', 'members', str(MEMBERS), 'held, ')}"
+    f", every AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS name, held, row_id, label, class, p FROM {n}' for n in ('tree', 'forest', 'bagging', 'ensemble'))})"
+    f", {pred_sql('pred', 'every', 'name, held, ')}, {f1_sql('pred', 'name, held, ')}"
+)
+
+
+@query("compare_learners", f"{LEARNED} {SUMMARY}")
+def compare_learners(spark, sf):
+    """Weighted F1 over folds of tree, forest, bagging and the ensemble of trees."""
+    learners = {"tree": Tree(), "forest": Forest(10), "bagging": Forest(10, every=True)}
+    return rounded(ensemble.compare_learners(doc_table(spark, sf), learners, MEMBERS), "mean", "std", "min", "max")
 
 
 @query("generated_imbalance")

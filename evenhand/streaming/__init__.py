@@ -1,4 +1,4 @@
-"""Scoring of streams with a fitted member: a row transform without aggregation."""
+"""Scoring of streams with a fitted ensemble or member: transforms of single rows, without aggregation."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def score_stream(model, rows: DataFrame) -> DataFrame:
-    """rows (a stream or not) with ``probability``; model is a learner's SparkModel."""
-    return model.scored(rows)
+    """rows (a stream or not) with ``probability`` and ``pred``, as an EnsembleModel votes; with ``votes``, as a member says."""
+    out = model.scored(rows) if hasattr(model, "scored") else model.votes(rows)
+    if out is None:
+        raise ValueError("the model has too many nodes to be sent to all tasks of a stream")
+    return out

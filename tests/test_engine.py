@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evenhand.operators import ensemble, evaluation, hardness, ranking, sampling
-from evenhand.operators.learners import Bagging, NearestCentroid, SparkLearner
+from evenhand.operators import cells, comparison, ensemble, evaluation, hardness, ranking, sampling, trees
+from evenhand.operators.learners import Forest, NearestCentroid, Tree
 from evenhand.operators.neighbours import nearest
 from evenhand.plans import catalog
 from evenhand.sources.frame import imbalanced, validated
@@ -83,13 +83,14 @@ def test_ranks_in_bins(spark, monkeypatch):
     monkeypatch.setattr(ranking, "RANKED", 7)
     rows = [(i, i % 2, float(2.0 ** (i * 37 % 11 - 5)), float(i * 37 % 101)) for i in range(100)]
     df = spark.createDataFrame(rows, "row_id long, label int, w double, v double")
-    low, high = F.lit(0.0), F.lit(100.0)
-    for place, order in ((ranking.by_range(F.col("v"), low, high), ["v", "row_id"]), (ranking.by_octave(F.col("w")), ["w", "row_id"]), (ranking.by_uniform(F.col("v") / 101), ["v", "row_id"])):
+    for place, order in ((ranking.by_octave(F.col("w")), ["w", "row_id"]), (ranking.by_uniform(F.col("v") / 101), ["v", "row_id"])):
         for most in (None, 13):
             got = {(r["label"], r["row_id"]): r["rk"] for r in ranking.ranked(df, ["label"], place, order, "rk", None if most is None else F.lit(most)).collect()}
             column = 2 if order[0] == "w" else 3
             want = {(y, r[0]): n for y in (0, 1) for n, r in enumerate(sorted((r for r in rows if r[1] == y), key=lambda r: (r[column], r[0])), 1) if most is None or n <= most}
             assert got == want
+    got = {(r["label"], r["v"]): r["rk"] for r in ranking.in_order(df, ["label"], "v", "rk").collect()}
+    assert got == {(y, v): n for y in (0, 1) for n, v in enumerate(sorted(r[3] for r in rows if r[1] == y), 1)}
     got = {r["label"]: r["median"] for r in ranking.medians(df, "label", "v").collect()}
     assert got == {y: statistics.median(r[3] for r in rows if r[1] == y) for y in (0, 1)}
 
@@ -127,7 +128,7 @@ def test_resampler_settings(spark):
 
 def test_bagging_and_generated_tables(spark):
     df = imbalanced(spark, 300, 6, informative=2, redundant=2, flip=0.0)
-    model = Bagging(3).fit(df)
+    model = Forest(3, every=True).fit(df)
     pred = ensemble.best_class(model.probabilities(df))
     assert pred.where("label = pred").count() > 280
     x = np.array([r["features"] for r in df.collect()])
@@ -139,14 +140,151 @@ def test_winners_are_the_first_of_equals(spark):
     assert {(r["metric"], r["name"]) for r in evaluation.winners(table).collect()} == {("f1", "a"), ("auc", "b"), ("recall", "a")}
 
 
-def test_stream_scoring(spark, tmp_path):
+def streamed(spark, model, df, folder, name):
+    df.write.parquet(folder)
+    scored = score_stream(model, spark.readStream.schema(df.schema).parquet(folder))
+    scored.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(120)
+    return spark.table(name)
+
+
+@pytest.mark.parametrize("learner", [Tree(), Forest(3), NearestCentroid()])
+@pytest.mark.parametrize("voting", ["soft", "hard"])
+def test_votes_on_streams_and_tables(spark, tmp_path, learner, voting):
+    df = points(spark, [(int(i % 3 == 0), [float(i * 7 % 11 + 4 * (i % 3 == 0)), float(i % 5)]) for i in range(40)])
+    model = ensemble.Ensemble(members=3, voting=voting, learner=learner).fit(df)
+    got = streamed(spark, model, df, str(tmp_path / "in"), f"rows_{voting}_{type(learner).__name__}").collect()
+    p = model.probabilities(df)
+    want = ensemble.soft_vote(p, 3) if voting == "soft" else ensemble.hard_vote(p)
+    assert {(r["row_id"], r["pred"]) for r in got} == {(r["row_id"], r["pred"]) for r in want.collect()} and len(got) == 40
+    means = {(r["row_id"], r["class"]): r["p"] for r in ensemble.mean_probabilities(p, 3).collect()}
+    assert {(r["row_id"], c["class"]): pytest.approx(c["p"]) for r in got for c in r["probability"]} == means
+
+
+def test_member_scores_a_stream(spark, tmp_path):
     df = points(spark, [(i % 2, [float(i % 2), float(i)]) for i in range(20)])
-    df.write.parquet(str(tmp_path / "in"))
-    model = SparkLearner("tree").fit(df)
-    scored = score_stream(model, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    scored.writeStream.format("memory").queryName("scored_rows").trigger(availableNow=True).start().awaitTermination(60)
-    got = spark.table("scored_rows").collect()
-    assert len(got) == 20 and all(r["probability"][r["label"]] == 1.0 for r in got)
+    got = streamed(spark, Tree().fit(df), df, str(tmp_path / "in"), "scored_rows").collect()
+    assert len(got) == 20 and all([(c["class"], c["p"]) for c in r["votes"][0]] == [(r["label"], 1.0)] for r in got)
+
+
+def test_models_too_large_to_be_sent(spark, monkeypatch):
+    df = points(spark, [(i % 2, [float(i * 7 % 11), float(i % 5)]) for i in range(40)])
+    model = ensemble.Ensemble(members=2).fit(df)
+    want = sorted(map(tuple, model.predict(df).collect()))
+    monkeypatch.setattr(trees, "MOST_NODES", 1)
+    assert model.scored(df) is None and sorted(map(tuple, model.predict(df).collect())) == want
+    with pytest.raises(ValueError, match="stream"):
+        score_stream(model, df)
+
+
+def plain_tree(rows, depth=0):
+    """(feature, low, high, cut, left, right) or the class counts of rows (x, y), by loops."""
+    counts = {c: sum(y == c for _, y in rows) for c in {y for _, y in rows}}
+    best = None
+    for f in range(len(rows[0][0])) if len(counts) > 1 and depth < trees.MAX_DEPTH else ():
+        low, high = min(x[f] for x, _ in rows), max(x[f] for x, _ in rows)
+        if high == low:
+            continue
+        place = [min(trees.BINS - 1, int((x[f] - low) / (high - low) * trees.BINS)) for x, _ in rows]
+        for cut in range(1, trees.BINS):
+            sides = [[y for (_, y), b in zip(rows, place, strict=True) if (b >= cut) == s] for s in (False, True)]
+            if all(sides):
+                score = sum(sum(side.count(c) ** 2 for c in counts) / len(side) for side in sides)
+                if best is None or score > best[0]:
+                    best = (score, f, low, high, cut, place)
+    if best is None:
+        return counts
+    _, f, low, high, cut, place = best
+    return (f, low, high, cut, *(plain_tree([r for r, b in zip(rows, place, strict=True) if (b >= cut) == s], depth + 1) for s in (False, True)))
+
+
+def as_tree(nodes, node=1):
+    n = nodes[node]
+    if n["feature"] < 0:
+        return {c["class"]: c["n"] for c in n["counts"]}
+    return (n["feature"], n["low"], n["high"], n["cut"], as_tree(nodes, 2 * node), as_tree(nodes, 2 * node + 1))
+
+
+@pytest.mark.parametrize("small", [5, 1000])
+def test_trees_by_plain_loops(spark, monkeypatch, small):
+    """Whether tasks finish nodes or levels split them, ties and constant features included."""
+    monkeypatch.setattr(trees, "SMALL", small)
+    data = {k: [((float(i * 37 % 101), float(i % 4), 7.0, float(i * i % (13 + k))), (i * i + k * i) % 7 // 3) for i in range(60)] + [((5.0, 1.0, 7.0, 2.0), y) for y in (0, 1, 1)] for k in (0, 1)}
+    df = spark.createDataFrame([(k, i, y, list(x)) for k, rows in data.items() for i, (x, y) in enumerate(rows)], "k int, row_id long, label int, features array<double>")
+    model = Tree(max_depth=8 if small == 5 else 30).fit(df, "k")
+    monkeypatch.setattr(trees, "MAX_DEPTH", 8 if small == 5 else 30)
+    for k, rows in data.items():
+        assert as_tree({r["node"]: r for r in model.nodes.where(F.col("k") == k).collect()}) == plain_tree(rows)
+
+
+def test_weights_count_as_rows(spark):
+    data = [(i * 5 % 3 % 2, [float(i * 7 % 11), float(i % 5)]) for i in range(40)]
+    twice = points(spark, [r for i, r in enumerate(data) for _ in range(i % 3)])
+    once = points(spark, data).withColumn("weight", F.col("row_id") % 3)
+    key = lambda m: sorted(map(str, m.nodes.collect()))
+    assert key(Tree().fit(once)) == key(Tree().fit(twice))
+    assert Tree().fit(once.where("false")).nodes.count() == 0
+    with pytest.raises(ValueError):
+        Tree(max_depth=0)
+
+
+def clouds(n=1500, seed=1):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(25, 4))[r.integers(0, 25, n)] * 20 + r.normal(size=(n, 4))
+    x[100:600] = x[100]  # copies of one row, a third of all
+    return r.permutation(n).tolist(), r.integers(0, 3, n).tolist(), x.tolist()
+
+
+@pytest.mark.parametrize("options", [{}, {"by": ["label"], "exclude_self": False}, {"unlike": True}, {"exclude_self": False}])
+def test_pruned_neighbours_equal_all_pairs(spark, monkeypatch, options):
+    df = spark.createDataFrame(list(zip(*clouds(), strict=True)), "row_id long, label int, features array<double>")
+    some = df.where("row_id % 7 = 0")
+    key = lambda d: [tuple(r) for r in d.orderBy("query_id", "rank").collect()]
+    want = [key(nearest(q, df, 4, **options)) for q in (df, some)]
+    monkeypatch.setattr(cells, "BLOCK", 64)
+    compared = spark.sparkContext.accumulator(0)
+    assert key(nearest(df, df, 4, compared=compared, **options)) == want[0]
+    assert compared.value < 0.1 * 1500 * 1500, compared.value  # under a tenth of all pairs
+    assert key(nearest(some, df, 4, **options)) == want[1]
+
+
+def test_pruned_neighbours_without_structure(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = [*r.normal(size=(300, 12)).tolist(), *[[1e6 + i % 3] * 12 for i in range(40)], *[[0.0] * 12] * 5]
+    df = spark.createDataFrame([(str(i), "ab"[i % 2], v) for i, v in enumerate(x)], "row_id string, label string, features array<double>")
+    key = lambda d: [tuple(r) for r in d.orderBy("query_id", "rank").collect()]
+    for options in ({}, {"unlike": True}):
+        want = key(nearest(df, df, 7, **options))
+        monkeypatch.setattr(cells, "BLOCK", 50)
+        assert key(nearest(df, df, 7, **options)) == want
+        monkeypatch.undo()
+
+
+def test_text_ids_all_the_way(spark):
+    df = points(spark, [(int(i % 4 == 0), [float(i * 7 % 11), float(i % 5)]) for i in range(40)])
+    text = df.withColumn("row_id", F.concat(F.lit("r"), F.lpad(F.col("row_id").cast("string"), 3, "0")))
+    got = sampling.resample(text, 0.5)
+    assert {r["label"]: r["n"] for r in evaluation.class_counts(got).collect()} == {0: 20, 1: 20}
+    assert got.where("NOT is_synthetic AND row_id NOT LIKE 'r0%'").count() == 0 and got.where("is_synthetic AND neighbor_row_id NOT LIKE 'r0%'").count() == 0
+    kinds = [k for k in hardness.REGISTRY if k != "overlap"]
+    for kind in kinds:
+        a, b = ({int(str(r["row_id"]).lstrip("r")): round(r["complexity"], 9) for r in hardness.REGISTRY[kind](d).collect()} for d in (df, text))
+        assert a == b, kind
+    train, test = text.where("row_id < 'r030'"), text.where("row_id >= 'r030'")
+    assert comparison.compare_strategies(train, test, NearestCentroid()).count() == 4
+    assert comparison.sweep_mu(train, Tree(), 2, 2).count() == 2
+
+
+def test_seeds_of_large_classes_in_nested_ranges(spark, monkeypatch):
+    df = points(spark, [(0, [1.0])] * 300).withColumn("weight", (F.col("row_id") % 5).cast("double"))
+    slots = spark.range(1, 20_001).select(F.lit(0).alias("label"), F.col("id").alias("slot"))
+    want = {tuple(r) for r in sampling.seeds(df, slots).collect()}
+    monkeypatch.setattr(sampling, "RANGES", 4)
+    monkeypatch.setattr(sampling, "RANKED", 2)
+    got = sampling.seeds(df, slots).collect()
+    assert len(got) == 20_000 == len(want) and {r["slot"] for r in got} == set(range(1, 20_001))
+    times = np.bincount([r["seed_row_id"] for r in got], minlength=300)
+    expected = np.arange(300) % 5 * 20_000 / 600
+    assert (times[::5] == 0).all() and (abs(times - expected) <= 6 * np.sqrt(expected + 1)).all()
 
 
 def test_entry_lists_every_query():
