@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 BLOCK = 4096
 #: Pivots, and cells of all segments together unless there are more segments.
 MOST_PIVOTS, MOST_CELLS = 1024, 1 << 16
+#: Labels up to which cells hold one label each where rows look for other labels.
+MOST_LABELS = 16
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -61,16 +63,19 @@ class Cells:
     high: np.ndarray
     block: np.ndarray  # its first block, and how many it has
     parts: np.ndarray
+    code: np.ndarray  # of the label of its rows
+    pure: np.ndarray  # whether all have the same
 
     def bounds(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each row of p: least and largest distance to each pivot, nearest pivot, and the squared distances."""
         d2, s = products(p, self.pivots), slack(p, self.pivots)[:, None]
         return np.sqrt(np.maximum(d2 - s, 0)), np.sqrt(np.maximum(d2, 0) + s), np.argmin(d2, 1), d2
 
-    def admitted(self, segments: np.ndarray, unlike: bool) -> np.ndarray:
-        """Cells that a query of each segment may look into."""
-        own = segments[:, None] == self.segment[None, :]
-        return ~own if unlike else own
+    def admitted(self, segments: np.ndarray, codes: np.ndarray, unlike: bool) -> np.ndarray:
+        """Cells that a query of each segment and label may look into."""
+        if unlike:
+            return ~(self.pure[None, :] & (codes[:, None] == self.code[None, :]))
+        return segments[:, None] == self.segment[None, :]
 
     def least(self, p: np.ndarray, bounds: tuple) -> np.ndarray:
         """A lower bound on the distance of each row of p to the rows of each cell."""
@@ -84,11 +89,13 @@ class Cells:
         ring = np.maximum(low[:, self.pivot] - self.high[None, :], self.low[None, :] - high[:, self.pivot])
         return np.fmax(np.fmax(plane, ring), 0.0)
 
-    def most(self, bounds: tuple, admitted: np.ndarray, k: int) -> np.ndarray:
-        """An upper bound on the distance of the k-th row for each query, from the sizes of cells alone."""
+    def most(self, bounds: tuple, admitted: np.ndarray, k: int, unlike: bool) -> np.ndarray:
+        """An upper bound on the distance of the k-th row for each query, from the sizes of cells alone. Of a cell with several
+        labels only one row is sure to be unlike the query."""
+        sizes = np.where(self.pure, self.n, 1) if unlike else self.n
         reach = np.where(admitted, bounds[1][:, self.pivot] + self.high[None, :], np.inf)
         order = np.argsort(reach, axis=1)
-        count = np.cumsum(np.where(np.take_along_axis(admitted, order, 1), self.n[order], 0), axis=1)
+        count = np.cumsum(np.where(np.take_along_axis(admitted, order, 1), sizes[order], 0), axis=1)
         at = np.argmax(count >= k, axis=1)
         found = np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
         return np.where(count[:, -1] >= k, found, np.inf)
@@ -123,7 +130,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def cells_of(dealt_rows: DataFrame, pivots: np.ndarray) -> Cells:
     """Sizes and bounds of the cells, and their blocks."""
-    got = dealt_rows.groupBy("seg", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    got = dealt_rows.groupBy("seg", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("code").alias("code"), F.max("code").alias("last")).toPandas()
     got = got.sort_values(["seg", "pivot"], kind="stable")
     n = got["n"].to_numpy()
     block, parts, at, room = np.zeros(len(n), np.int64), np.ones(len(n), np.int64), -1, 0
@@ -136,7 +143,7 @@ def cells_of(dealt_rows: DataFrame, pivots: np.ndarray) -> Cells:
                 at, room = at + 1, BLOCK
             block[i] = at
             room -= size
-    return Cells(pivots, got["seg"].to_numpy(object), got["pivot"].to_numpy(), n, got["low"].to_numpy(), got["high"].to_numpy(), block, parts)
+    return Cells(pivots, got["seg"].to_numpy(object), got["pivot"].to_numpy(), n, got["low"].to_numpy(), got["high"].to_numpy(), block, parts, got["code"].to_numpy(), (got["code"] == got["last"]).to_numpy())
 
 
 def in_blocks(dealt_rows: DataFrame, cells: Cells) -> DataFrame:

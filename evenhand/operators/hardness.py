@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import distance, min_max
 from evenhand.operators.evaluation import class_counts, in_folds
-from evenhand.operators.learners import Tree, centroids
+from evenhand.operators.learners import NaiveBayes, Tree, centroids
 from evenhand.operators.neighbours import nearest, within
+from evenhand.operators.trees import TreeModel
 from evenhand.sources.staging import cut
 
 
@@ -78,10 +79,11 @@ def minority_value(df: DataFrame) -> DataFrame:
 def _friends_and_enemies(df: DataFrame) -> DataFrame:
     """row_id, label, friend (distance of the nearest other row of the class), enemy and enemy_id (nearest row of another)."""
     n = df.count()
+    df = cut(df)
     own = df.select(F.col("row_id").alias("query_id"), F.col("label"))
     friend = nearest(df, df, 1, by=["label"], n_rows=n, n_queries=n).select("query_id", F.sqrt("d2").alias("friend"))
     enemy = nearest(df, df, 1, n_rows=n, n_queries=n, unlike=True).select("query_id", F.sqrt("d2").alias("enemy"), F.col("row_id").alias("enemy_id"))
-    return own.join(friend, "query_id", "left").join(enemy, "query_id", "left").withColumnRenamed("query_id", "row_id")
+    return cut(own.join(friend, "query_id", "left").join(enemy, "query_id", "left").withColumnRenamed("query_id", "row_id"))
 
 
 def n2(df: DataFrame) -> DataFrame:
@@ -131,10 +133,150 @@ def feature_overlap(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(both)).select("row_id", "label", (inside / F.size("features")).alias("complexity"))
 
 
+def feature_efficiency(df: DataFrame) -> DataFrame:
+    """Share of the features that it took to separate the row, 1 if all together don't.
+
+    In each round the feature that separates most of the rows left (outside the range that all classes left share; the first of
+    equals) is taken out, and these rows with it. Rows of a single class left are separate.
+    """
+    width = df.select(F.size("features").alias("w")).first()
+    left, done, used = df.select("row_id", "label", "features"), None, []
+    for turn in range(width["w"] if width else 0):
+        ranges = left.select("label", F.posexplode("features").alias("pos", "v")).groupBy("label", "pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        # one row for each feature
+        shared = ranges.groupBy("pos").agg(F.max("low").alias("low"), F.min("high").alias("high"), F.count(F.lit(1)).alias("classes")).where(~F.col("pos").isin(used))
+        packed = cut(shared.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high", "classes"))).alias("~r")))
+        outside = lambda r: (r["classes"] < 2) | (F.element_at(F.col("features"), r["pos"] + 1) < r["low"]) | (F.element_at(F.col("features"), r["pos"] + 1) > r["high"])
+        marked = left.crossJoin(F.broadcast(packed)).withColumn("~o", F.transform("~r", lambda r: F.struct(r["pos"].alias("pos"), outside(r).alias("out"))))
+        counts = marked.select(F.explode("~o").alias("o")).groupBy("o.pos").agg(F.sum(F.col("o.out").cast("long")).alias("n"))
+        best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "pos")).alias("b")).first()["b"]
+        if best is None or best["n"] == 0:
+            break
+        used.append(best["pos"])
+        marked = cut(marked.withColumn("~out", F.filter("~o", lambda o: o["pos"] == best["pos"])[0]["out"]).drop("~r", "~o"))
+        gone = marked.where("`~out`").select("row_id", "label", F.lit(turn / width["w"]).alias("complexity"))
+        done = gone if done is None else done.unionByName(gone)
+        left = marked.where("NOT `~out`").drop("~out")
+    stays = left.select("row_id", "label", F.lit(1.0).alias("complexity"))
+    return stays if done is None else done.unionByName(stays)
+
+
+def overlap_volume(df: DataFrame) -> DataFrame:
+    """One row: f2, the product over features of the share of the range that all classes share (0 where nothing is), and f3, the
+    share of rows that the best single feature leaves in it."""
+    ranges = df.select("label", F.posexplode("features").alias("pos", "v")).groupBy("label", "pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    shared = ranges.groupBy("pos").agg(F.max("low").alias("low"), F.min("high").alias("high"), (F.max("high") - F.min("low")).alias("span"))
+    # one row for each feature
+    packed = cut(shared.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high", "span"))).alias("~r")))
+    part = F.transform("~r", lambda r: F.when(r["span"] > 0, F.greatest(F.lit(0.0), r["high"] - r["low"]) / r["span"]).otherwise(F.lit(1.0)))
+    volume = packed.select(F.aggregate(part, F.lit(1.0), lambda t, x: t * x).alias("f2"))
+    inside = F.zip_with("features", "~r", lambda x, r: ((x >= r["low"]) & (x <= r["high"])).cast("double"))
+    share = df.crossJoin(F.broadcast(packed)).select(F.posexplode(inside).alias("pos", "i")).groupBy("pos").agg(F.avg("i").alias("s")).agg(F.min("s").alias("f3"))
+    return volume.crossJoin(F.broadcast(share))
+
+
+def class_likelihood(df: DataFrame) -> DataFrame:
+    """1 - probability of the row's class by naive Bayes, fitted on all rows."""
+    p = NaiveBayes().fit(df).probabilities(df)
+    return p.where(F.col("class") == F.col("label")).select("row_id", "label", (1 - F.col("p")).alias("complexity"))
+
+
+def likelihood_difference(df: DataFrame) -> DataFrame:
+    """Half of 1 less the probability of the row's class plus the largest of another, by naive Bayes on all rows."""
+    own = F.max(F.when(F.col("class") == F.col("label"), F.col("p")))
+    other = F.coalesce(F.max(F.when(F.col("class") != F.col("label"), F.col("p"))), F.lit(0.0))
+    return NaiveBayes().fit(df).probabilities(df).groupBy("row_id", "label").agg(((1 - own + other) / 2).alias("complexity"))
+
+
+#: What a leaf costs where trees are pruned.
+ALPHA = 0.01
+
+
+def _tree_depth(model: TreeModel, df: DataFrame) -> DataFrame:
+    depth = F.floor(F.log2(F.col("node").cast("double")))
+    deepest = model.nodes.agg(F.max(depth).alias("d"))
+    share = F.when(F.col("d") > 0, depth / F.col("d")).otherwise(F.lit(0.0))
+    return model.leaves(df).crossJoin(F.broadcast(deepest)).select("row_id", "label", share.alias("complexity"))
+
+
+def tree_depth_unpruned(df: DataFrame) -> DataFrame:
+    """Depth of the row's leaf over the depth of a tree on all rows."""
+    return _tree_depth(Tree().fit(df), df)
+
+
+def tree_depth_pruned(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The same in the tree pruned at ``alpha``."""
+    return _tree_depth(Tree().fit(df).pruned(alpha), df)
+
+
+def disjunct_size(df: DataFrame) -> DataFrame:
+    """1 - (rows of the row's leaf - 1) / (rows of the largest leaf - 1) in a tree on all rows; 1 if all leaves have one row."""
+    model = Tree().fit(df)
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + c["n"])
+    sizes = model.nodes.where("feature < 0").select("node", size.alias("n"))
+    largest = sizes.agg(F.max("n").alias("m"))
+    share = F.when(F.col("m") > 1, (F.col("n") - 1) / (F.col("m") - 1)).otherwise(F.lit(0.0))
+    return model.leaves(df).join(sizes, "node").crossJoin(F.broadcast(largest)).select("row_id", "label", (1 - share).alias("complexity"))
+
+
+def disjunct_class_percentage(df: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """1 - share of the row's class in its leaf of the tree pruned at ``alpha``."""
+    p = Tree().fit(df).pruned(alpha).probabilities(df)
+    return p.where(F.col("class") == F.col("label")).select("row_id", "label", (1 - F.col("p")).alias("complexity"))
+
+
+def spanning_tree(df: DataFrame) -> DataFrame:
+    """a, b and d2 of the edges of the minimum spanning tree; of equal distances the edge with the smaller ids counts as shorter.
+
+    Boruvka rounds: each component's shortest edge out of it, found by the neighbour join among rows of other components, is in
+    the tree; components that edges join become one by pointer jumping. Components at least halve in number each round.
+    """
+    n = df.count()
+    state = cut(df.select("row_id", "features", F.col("row_id").alias("label")))
+    edges = None
+    while True:
+        # the first round's components are the rows themselves
+        near = nearest(state, state, 1, n_rows=n, n_queries=n, unlike=edges is not None)
+        ends = near.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("other"), "d2", F.col("label").alias("target")).join(state.select("row_id", "label"), "row_id")
+        edge = F.struct("d2", F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b"), "target")
+        best = cut(ends.groupBy("label").agg(F.min(edge).alias("e")).select("label", "e.*"))
+        if best.isEmpty():
+            break
+        now = best.select("a", "b", "d2").distinct()
+        edges = now if edges is None else edges.unionByName(now)
+        # two components that chose each other are a root: the smaller one
+        back = best.select(F.col("label").alias("target"), F.col("target").alias("~back"))
+        chosen = best.select("label", "target").join(back, "target", "left")
+        up = cut(chosen.select("label", F.when((F.col("~back") == F.col("label")) & (F.col("label") < F.col("target")), F.col("label")).otherwise(F.col("target")).alias("up")))
+        while True:
+            step = up.join(up.select(F.col("label").alias("up"), F.col("up").alias("~next")), "up")
+            moved = cut(step.select("label", F.col("~next").alias("up"), (F.col("~next") != F.col("up")).alias("moves")))
+            up = moved.select("label", "up")
+            if moved.where("moves").isEmpty():
+                break
+        state = cut(state.join(up, "label").select("row_id", "features", F.col("up").alias("label")))
+        if state.select("label").distinct().limit(2).count() < 2:
+            break
+    return edges if edges is not None else df.sparkSession.createDataFrame([], df.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(0.0).alias("d2")).schema)
+
+
+def borderline_points(df: DataFrame) -> DataFrame:
+    """Share of the row's edges in the minimum spanning tree that lead to other classes."""
+    edges = spanning_tree(df)
+    twice = edges.select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))).alias("x")).select("x.*")
+    label = df.select("row_id", "label")
+    met = twice.join(label.withColumnsRenamed({"row_id": "i", "label": "~own"}), "i").join(label.withColumnsRenamed({"row_id": "j", "label": "~other"}), "j")
+    share = met.groupBy(F.col("i").alias("row_id")).agg(F.avg((F.col("~own") != F.col("~other")).cast("double")).alias("s"))
+    return label.join(share, "row_id", "left").select("row_id", "label", F.coalesce("s", F.lit(0.0)).alias("complexity"))
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "overlap": overlap, "neighborhood": neighbourhood, "kdn": neighbourhood, "error_rate": error_rate,
     "class_balance": class_balance, "minority_value": minority_value, "n2": n2, "lsc": local_set_cardinality,
     "lsr": local_set_radius, "usefulness": usefulness, "harmfulness": harmfulness, "f1": feature_overlap,
+    "f4": feature_efficiency, "class_likelihood": class_likelihood, "likelihood_difference": likelihood_difference,
+    "tree_depth_unpruned": tree_depth_unpruned, "tree_depth_pruned": tree_depth_pruned, "disjunct_size": disjunct_size,
+    "disjunct_class_percentage": disjunct_class_percentage, "n1": borderline_points,
 }
 
 

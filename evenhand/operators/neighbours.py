@@ -121,22 +121,24 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
     Blocks that many queries ask for are repeated for chunks of them, so a task has about BLOCK rows on either side. Vectors
     without structure (many independent dimensions) rule out little, and the work is then that of all blocks.
     """
-    seg = segments(["label"] if unlike else by or [])
+    n_segments = rows.select(*(["label"] if unlike else by)).distinct().count() if by or unlike else 1
+    # with few labels cells hold one each; with many, as in growing components, rows of several share a cell
+    seg = segments(["label"] if unlike and n_segments <= voronoi.MOST_LABELS else by or [])
+    code = F.xxhash64(F.col("label").cast("string")).alias("code")
     added = not exclude_self and queries is rows  # each query's own row is then known without a search
-    plain = lambda df: df.select("row_id", "label", "features", seg.alias("seg"))
+    plain = lambda df: df.select("row_id", "label", "features", seg.alias("seg"), code)
     points = plain(rows)
     if exclude_self or added:
-        copies = Window.partitionBy("seg", "features").orderBy("row_id")
+        copies = Window.partitionBy("seg", "features", *(["code"] if unlike else [])).orderBy("row_id")
         points = points.withColumn("~copy", F.row_number().over(copies)).where(F.col("~copy") <= k + 1).drop("~copy")
     points = cut(points)
-    n_segments = points.select("seg").distinct().count() if by or unlike else 1
-    pivots = voronoi.pivots_of(points, n_rows or rows.count(), max(1, n_segments))
+    pivots = voronoi.pivots_of(points, n_rows or rows.count(), 1 if unlike and n_segments > voronoi.MOST_LABELS else max(1, n_segments))
     put = cut(voronoi.dealt(points, pivots))
     cells = voronoi.cells_of(put, pivots)
     placed = cut(voronoi.in_blocks(put, cells))
     shipped = rows.sparkSession.sparkContext.broadcast(cells)
     kind, label = rows.schema["row_id"].dataType, rows.schema["label"].dataType
-    asking = T.StructType([T.StructField("query_id", kind), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("seg", T.StringType())])
+    asking = T.StructType([T.StructField("query_id", kind), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("seg", T.StringType()), T.StructField("code", T.LongType())])
 
     # the query's home: the nearest cell with more than k rows, or the largest
     def home(batches):
@@ -145,24 +147,26 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 p = matrix(part["features"])
-                admitted = known.admitted(part["seg"].to_numpy(object), unlike)
+                admitted = known.admitted(part["seg"].to_numpy(object), part["code"].to_numpy(), unlike)
                 reach = np.where(admitted, known.bounds(p)[1][:, known.pivot], np.inf)
                 enough = np.where(known.n[None, :] > k, reach, np.inf)
                 cell = np.where(np.isfinite(enough.min(1)), np.argmin(enough, 1), np.argmin(reach, 1))
                 some = admitted.any(1)
-                yield pd.DataFrame({"query_id": part["row_id"], "features": part["features"], "seg": part["seg"], "cell": cell, "first": known.block[cell], "parts": known.parts[cell]})[some]
+                yield pd.DataFrame({"query_id": part["row_id"], "features": part["features"], "seg": part["seg"], "code": part["code"], "cell": cell, "first": known.block[cell], "parts": known.parts[cell]})[some]
 
-    homes = plain(queries).select("row_id", "features", "seg").mapInPandas(home, T.StructType([*asking.fields, *(T.StructField(c, T.IntegerType()) for c in ("cell", "first", "parts"))]))
+    homes = plain(queries).select("row_id", "features", "seg", "code").mapInPandas(home, T.StructType([*asking.fields, *(T.StructField(c, T.IntegerType()) for c in ("cell", "first", "parts"))]))
     homes = cut(homes.withColumn("block", F.col("first") + share("query_id", F.col("parts"))).drop("first", "parts"))
 
     def compare(q: pd.DataFrame, r: pd.DataFrame, wanted) -> list[tuple]:
         """(queries, rows, squared distances) of the best of each cell; wanted gives the places of the queries that a cell meets."""
-        p, own, got = matrix(q["features"]), q["query_id"].to_numpy(), []
+        p, own, codes, got = matrix(q["features"]), q["query_id"].to_numpy(), q["code"].to_numpy(), []
         for cell, part in r.groupby("cell", sort=True):
             asks = wanted(cell)
             if len(asks):
                 x = matrix(part["features"])
-                i, j, d2 = _best(own[asks], p[asks], part["row_id"].to_numpy(), x, k, exclude_self or added)
+                theirs = part["code"].to_numpy()
+                barred = (lambda s, a=codes[asks], b=theirs: a[s, None] == b[None, :]) if unlike else None
+                i, j, d2 = _best(own[asks], p[asks], part["row_id"].to_numpy(), x, k, exclude_self or added, barred)
                 got.append((asks[i], part.index.to_numpy()[j], d2))
                 if compared is not None:
                     compared.add(len(asks) * len(part))
@@ -194,10 +198,10 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
                 for at in range(0, len(batch), 256):
                     part = batch.iloc[at : at + 256].reset_index(drop=True)
                     p = matrix(part["features"])
-                    bounds, admitted = known.bounds(p), known.admitted(part["seg"].to_numpy(object), unlike)
+                    bounds, admitted = known.bounds(p), known.admitted(part["seg"].to_numpy(object), part["code"].to_numpy(), unlike)
                     kth = np.array([d[k - 1] if len(d) >= k else np.inf for d in part["d2s"]])
                     # one row more, as the query may be among them
-                    radius = np.minimum(np.sqrt(kth), known.most(bounds, admitted, k + 1))
+                    radius = np.minimum(np.sqrt(kth), known.most(bounds, admitted, k + 1, unlike))
                     needed = admitted & (known.least(p, bounds) <= (radius * (1 + 1e-9))[:, None])
                     i, c = np.nonzero(needed)
                     times = known.parts[c]
@@ -209,15 +213,15 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
                     heads = np.concatenate([[0], edges]) if len(i) else np.zeros(0, int)
                     made = pd.DataFrame({"block": block[heads].astype(np.int32)})
                     if not narrow:
-                        made = made.assign(query_id=part["query_id"].to_numpy()[i[heads]], features=part["features"].to_numpy()[i[heads]], cells=[x.tolist() for x in np.split(c, edges)] if len(i) else [])
-                        made = made[["query_id", "features", "block", "cells"]]
+                        made = made.assign(query_id=part["query_id"].to_numpy()[i[heads]], features=part["features"].to_numpy()[i[heads]], code=part["code"].to_numpy()[i[heads]], cells=[x.tolist() for x in np.split(c, edges)] if len(i) else [])
+                        made = made[["query_id", "features", "code", "block", "cells"]]
                     yield made
 
         return run
 
-    needs = first.select("query_id", "features", "seg", "cell", "block", "d2s")
+    needs = first.select("query_id", "features", "seg", "code", "cell", "block", "d2s")
     counts = needs.mapInPandas(spread(True), "block int").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    sent = needs.mapInPandas(spread(False), T.StructType([*asking.fields[:2], T.StructField("block", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    sent = needs.mapInPandas(spread(False), T.StructType([*asking.fields[:2], asking.fields[3], T.StructField("block", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
     schema = _result(rows)
 
     def beyond(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

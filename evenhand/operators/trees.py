@@ -203,11 +203,11 @@ class _Packed:
             columns = tuple(part[c].to_numpy() for c in ("feature", "low", "high", "cut"))
             chances = [[(c["class"], c["n"]) for c in counts] for counts in part["counts"]]
             leaf = [[(c, n / sum(m for _, m in found)) for c, n in found] for found in chances]
-            self.trees[key if isinstance(key, tuple) else (key,)] = (child, *columns, leaf)
+            self.trees[key if isinstance(key, tuple) else (key,)] = (child, *columns, leaf, node)
 
     def leaves(self, key: tuple, x: np.ndarray) -> np.ndarray:
         """Places of the leaves that the rows of x come to."""
-        child, feature, low, high, at, _ = self.trees[key]
+        child, feature, low, high, at = self.trees[key][:5]
         place = np.zeros(len(x), np.int64)
         while (inner := np.flatnonzero(feature[place] >= 0)).size:
             here = place[inner]
@@ -288,8 +288,35 @@ class TreeModel:
 
         return rows.mapInPandas(score, schema)
 
+    def leaves(self, rows: DataFrame) -> DataFrame:
+        """keys..., row_id, label and the node of the leaf that each row comes to in each tree."""
+        trees = self.packed()
+        if trees is None:
+            return self._ends(rows, ()).select(*self.keys, "row_id", "label", "node")
+        shipped = rows.sparkSession.sparkContext.broadcast(trees)
+        keys, names = self.keys, [*self.keys, "row_id", "label", "node"]
+        schema = T.StructType([*(self.nodes.schema[k] for k in keys), rows.schema["row_id"], rows.schema["label"], T.StructField("node", T.LongType())])
+
+        def find(batches):
+            known = shipped.value
+            for batch in batches:
+                x = np.array(batch["features"].tolist(), float).reshape(len(batch), -1)
+                for key, tree in known.trees.items():
+                    made = batch[["row_id", "label"]].assign(node=tree[6][known.leaves(key, x)])
+                    for k, v in zip(keys, key, strict=True):
+                        made[k] = v
+                    yield made[names]
+
+        return rows.select("row_id", "label", "features").mapInPandas(find, schema)
+
     def _joined(self, rows: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
         """The same by joins, one for each level, for models that are too large to be sent."""
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + c["n"])
+        ends = self._ends(rows, own).select(*self.keys, "row_id", "label", total.alias("t"), F.explode("counts").alias("c"))
+        return ends.select(*self.keys, "row_id", "label", F.col("c.class").alias("class"), (F.col("c.n") / F.col("t")).alias("p"))
+
+    def _ends(self, rows: DataFrame, own: tuple[str, ...]) -> DataFrame:
+        """Rows at their leaves, with its columns."""
         others = [k for k in self.keys if k not in own]
         roots = self.nodes.where("node = 1").select(*self.keys)
         # one row for each tree
@@ -298,8 +325,7 @@ class TreeModel:
         by, done = [*self.keys, "node"], None
         while True:
             met = cut(state.join(self.nodes, by))
-            total = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + c["n"])
-            ends = met.where("feature < 0").select(*self.keys, "row_id", "label", total.alias("t"), F.explode("counts").alias("c")).select(*self.keys, "row_id", "label", F.col("c.class").alias("class"), (F.col("c.n") / F.col("t")).alias("p"))
+            ends = met.where("feature < 0").select(*by, "row_id", "label", "counts")
             done = ends if done is None else done.unionByName(ends)
             inner = met.where("feature >= 0")
             if inner.isEmpty():
@@ -307,6 +333,41 @@ class TreeModel:
             goes = bin_of(F.element_at(F.col("features"), F.col("feature") + 1), F.col("low"), F.col("high"), self.bins) >= F.col("cut")
             state = inner.select("row_id", "label", "features", *self.keys, (F.col("node") * 2 + goes.cast("long")).alias("node"))
 
+    def pruned(self, alpha: float) -> TreeModel:
+        """The smallest subtree of least cost: impurity of the leaves, weighted by their share of the rows, plus alpha for each leaf.
+
+        From the deepest nodes upwards: a node becomes a leaf if that costs no more than its children do. All trees go up level
+        by level together.
+        """
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + c["n"])
+        squares = F.aggregate("counts", F.lit(0.0), lambda t, c: t + c["n"].cast("double") * c["n"])
+        depth = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
+        own = self.nodes.select(*self.keys, "node", "feature", depth.alias("depth"), (total - squares / total).alias("impurity"), total.alias("n"))
+        own = cut(own)
+        whole = own.where("node = 1").select(*self.keys, (F.col("n") * F.lit(float(alpha))).alias("price"))
+        priced = own.join(F.broadcast(whole), list(self.keys)) if self.keys else own.crossJoin(F.broadcast(whole))  # one row for each tree
+        deepest = own.agg(F.max("depth")).first()[0]
+        leaves, below, by = None, None, [*self.keys, "node"]
+        for level in range(deepest if deepest is not None else -1, -1, -1):
+            here = priced.where(F.col("depth") == level).withColumn("alone", F.col("impurity") + F.col("price"))
+            if below is None:
+                here = here.withColumn("children", F.lit(None).cast("double"))
+            else:
+                costs = below.groupBy(*self.keys, F.shiftright("node", 1).alias("node")).agg(F.sum("cost").alias("children"))
+                here = here.join(costs, by, "left")
+            leaf = (F.col("feature") < 0) | (F.col("alone") <= F.col("children"))
+            below = cut(here.select(*by, leaf.alias("leaf"), F.when(leaf, F.col("alone")).otherwise(F.col("children")).alias("cost")))
+            now = below.where("leaf").select(*by)
+            leaves = now if leaves is None else leaves.unionByName(now)
+        if leaves is None:
+            return self
+        # nodes with a leaf above them go
+        up = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("node").cast("double"))).cast("int")), lambda i: F.call_function("shiftright", F.col("node"), i))
+        above = self.nodes.select(*by, F.explode(up).alias("up")).join(leaves.select(*self.keys, F.col("node").alias("up"), F.lit(True).alias("is_leaf")), [*self.keys, "up"])
+        top = above.groupBy(*by).agg(F.min("up").alias("top"))
+        kept = self.nodes.join(top, by, "left").where("top IS NULL OR top = node")
+        return TreeModel(cut(kept.withColumn("feature", F.when(F.col("top").isNotNull(), -1).otherwise(F.col("feature"))).select(*self.nodes.columns)), self.keys, self.bins)
+
 
 @dataclass(frozen=True)
 class ForestModel:

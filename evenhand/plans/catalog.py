@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.operators import comparison, ensemble, evaluation, hardness, neighbours, sampling
-from evenhand.operators.learners import Forest, NearestCentroid, Tree
+from evenhand.operators.learners import Forest, NaiveBayes, NearestCentroid, Tree
 from evenhand.operators.trees import BINS, MAX_DEPTH
 from evenhand.sources.frame import canonical, doc_table, embedding_table, imbalanced
 from evenhand.sources.staging import cut
@@ -306,6 +306,78 @@ def hardness_error_rate_nc(spark, sf):
     return rounded(hardness.error_rate(doc_table(spark, sf), NearestCentroid(), FOLDS), "complexity")
 
 
+# ---- hardness by trees, likelihoods, features and a spanning tree ----
+TREE = f"tr AS (SELECT row_id, label, features, 1 AS w FROM doc UNION ALL SELECT row_id, label, features, 0 FROM doc), {tree_sql('tree', 'tr')}"
+LEAVES = "d AS (SELECT row_id, label, node, floor(log2(node))::INT AS depth FROM tree_last)"
+#: Costs from the deepest nodes upwards, nodes that become leaves, and each row's first leaf from the root.
+PRUNED = (
+    f"nd AS (SELECT node, floor(log2(node))::INT AS depth, sum(n) - sum(n * n)::DOUBLE / sum(n) AS impurity, sum(n) AS n FROM tree_counts GROUP BY node)"
+    f", pr AS (SELECT nd.*, n.n * {hardness.ALPHA!r}::DOUBLE AS price, EXISTS (SELECT 1 FROM nd c WHERE c.node = 2 * nd.node) AS inner_ FROM nd, (SELECT n FROM nd WHERE node = 1) n)"
+    ", up AS (SELECT (SELECT max(depth) FROM nd) + 1 AS level, NULL::BIGINT AS node, NULL::BOOLEAN AS leaf, NULL::DOUBLE AS cost UNION ALL SELECT * FROM (WITH ch AS (SELECT node // 2 AS node, sum(cost) AS children FROM up WHERE node IS NOT NULL GROUP BY node // 2)"
+    " SELECT depth, pr.node, NOT inner_ OR impurity + price <= children, CASE WHEN NOT inner_ OR impurity + price <= children THEN impurity + price ELSE children END FROM pr LEFT JOIN ch USING (node) WHERE depth = (SELECT any_value(level) - 1 FROM up)))"
+    ", cutat AS (SELECT row_id, label, min(up.node) AS node FROM tree_last l JOIN up ON up.leaf AND l.node >> (floor(log2(l.node))::INT - floor(log2(up.node))::INT) = up.node AND up.node <= l.node GROUP BY row_id, label)"
+)
+for _kind, _sql in (
+    ("tree_depth_unpruned", f"{TREE}, {LEAVES} SELECT row_id, label, round(depth / (SELECT max(floor(log2(node))) FROM tree_counts)::DOUBLE, 6) AS complexity FROM d"),
+    ("disjunct_size", f"{TREE}, z AS (SELECT node, sum(n) AS n FROM tree_counts GROUP BY node), lf AS (SELECT * FROM z WHERE NOT EXISTS (SELECT 1 FROM z c WHERE c.node = 2 * z.node)) SELECT row_id, label, round(1 - (n - 1) / ((SELECT max(n) FROM lf) - 1)::DOUBLE, 6) AS complexity FROM tree_last JOIN lf USING (node)"),
+    ("tree_depth_pruned", f"{TREE}, {PRUNED} SELECT row_id, label, round(coalesce(floor(log2(node)) / nullif((SELECT max(floor(log2(node))) FROM cutat), 0)::DOUBLE, 0), 6) AS complexity FROM cutat"),
+    ("disjunct_class_percentage", f"{TREE}, {PRUNED} SELECT c.row_id, c.label, round(1 - n / (SELECT sum(n) FROM tree_counts t WHERE t.node = c.node)::DOUBLE, 6) AS complexity FROM cutat c JOIN tree_counts t ON t.node = c.node AND t.class = c.label"),
+):
+    query(f"hardness_{_kind}", f"WITH RECURSIVE {DOC}, {_sql}")(hard(_kind))
+
+BAYES = (
+    "bc AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM doc), bs AS (SELECT label AS class, pos, avg(v) AS m, var_pop(v) AS s, count(*) AS n FROM bc GROUP BY label, pos)"
+    ", bv AS (SELECT max(v) * 1e-9 AS e FROM (SELECT var_pop(v) AS v FROM bc GROUP BY pos))"
+    ", ll AS (SELECT row_id, bc.label, class, sum(CASE WHEN s + e > 0 THEN -0.5e0 * (ln(2 * pi() * (s + e)) + (v - m) * (v - m) / (s + e)) WHEN v = m THEN 0 ELSE '-infinity'::DOUBLE END) + ln(any_value(n) / (SELECT count(*) FROM doc)::DOUBLE) AS s FROM bc JOIN bs USING (pos), bv GROUP BY row_id, bc.label, class)"
+    ", lm AS (SELECT *, max(s) OVER (PARTITION BY row_id) AS top FROM ll), nb AS (SELECT row_id, label, class, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY row_id) AS p FROM lm)"
+)
+query("hardness_class_likelihood", f"WITH {DOC}, {BAYES} SELECT row_id, label, round(1 - p, 6) AS complexity FROM nb WHERE class = label")(hard("class_likelihood"))
+query("hardness_likelihood_difference", f"WITH {DOC}, {BAYES} SELECT row_id, label, round((1 - max(p) FILTER (class = label) + coalesce(max(p) FILTER (class <> label), 0)) / 2, 6) AS complexity FROM nb GROUP BY row_id, label")(hard("likelihood_difference"))
+
+
+def efficiency_sql(width: int) -> str:
+    """Rounds of f4, one for each feature: r{i} are the rows left, u{i} the features used."""
+    parts_of, ends = ["r0 AS (SELECT row_id, label, features FROM doc), u0 AS (SELECT -1 AS pos)"], []
+    for i in range(width):
+        parts_of.append(
+            f"c{i} AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM r{i})"
+            f", g{i} AS (SELECT pos, max(low) AS low, min(high) AS high, count(*) AS k FROM (SELECT label, pos, min(v) AS low, max(v) AS high FROM c{i} GROUP BY label, pos) WHERE pos NOT IN (SELECT pos FROM u{i}) GROUP BY pos)"
+            f", b{i} AS (SELECT pos, sum((k < 2 OR v < low OR v > high)::INT) AS n FROM c{i} JOIN g{i} USING (pos) GROUP BY pos HAVING n > 0 ORDER BY n DESC, pos LIMIT 1)"
+            f", o{i} AS (SELECT row_id, label FROM c{i} JOIN b{i} USING (pos) JOIN g{i} USING (pos) WHERE k < 2 OR v < low OR v > high)"
+            f", r{i + 1} AS (SELECT * FROM r{i} WHERE row_id NOT IN (SELECT row_id FROM o{i})), u{i + 1} AS (SELECT pos FROM u{i} UNION ALL SELECT pos FROM b{i})"
+        )
+        ends.append(f"SELECT row_id, label, {i} / {width}e0 AS c FROM o{i}")
+    return f"{', '.join(parts_of)}, f4 AS ({' UNION ALL '.join(ends)} UNION ALL SELECT row_id, label, 1e0 FROM r{width})"
+
+
+query("hardness_f4", f"WITH {DOC}, {efficiency_sql(3)} SELECT row_id, label, round(c, 6) AS complexity FROM f4")(hard("f4"))
+
+
+@query("overlap_volume", f"WITH {LI}, c AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM doc), g AS (SELECT pos, max(low) AS low, min(high) AS high, max(high) - min(low) AS span FROM (SELECT label, pos, min(v) AS low, max(v) AS high FROM c GROUP BY label, pos) GROUP BY pos), s AS (SELECT pos, avg((v >= low AND v <= high)::INT) AS s FROM c JOIN g USING (pos) GROUP BY pos) SELECT round((SELECT product(CASE WHEN span > 0 THEN greatest(0, high - low) / span ELSE 1 END) FROM g), 6) AS f2, round((SELECT min(s) FROM s), 6) AS f3")
+def overlap_volume(spark, sf):
+    return rounded(hardness.overlap_volume(lineitems(spark, sf)), "f2", "f3")
+
+
+#: Boruvka: each step finds the shortest edge out of each component; pointers are followed nine times, which is enough for 512.
+_JUMPS = ", ".join(f"j{i + 1} AS (SELECT x.c, y.p FROM j{i} x JOIN j{i} y ON y.c = x.p)" for i in range(9))
+SPANNING = (
+    "pairs AS (SELECT a.row_id AS i, b.row_id AS j, list_distance(a.features, b.features) AS d FROM doc a JOIN doc b ON a.row_id <> b.row_id)"
+    ", bo AS (SELECT row_id, row_id AS comp, NULL::BIGINT AS a, NULL::BIGINT AS b, 0 AS step FROM doc UNION ALL SELECT * FROM ("
+    "WITH o AS (SELECT x.comp AS c, d, least(i, j) AS a, greatest(i, j) AS b, y.comp AS t FROM pairs JOIN bo x ON x.row_id = i JOIN bo y ON y.row_id = j WHERE x.comp <> y.comp)"
+    ", e AS (SELECT c, a, b, t FROM o QUALIFY row_number() OVER (PARTITION BY c ORDER BY d, a, b) = 1)"
+    f", j0 AS (SELECT e.c, CASE WHEN f.t = e.c AND e.c < e.t THEN e.c ELSE e.t END AS p FROM e JOIN e f ON f.c = e.t), {_JUMPS}"
+    " SELECT bo.row_id, j9.p, e.a, e.b, bo.step + 1 FROM bo JOIN e ON e.c = bo.comp JOIN j9 ON j9.c = bo.comp))"
+    ", mst AS (SELECT DISTINCT a, b FROM bo WHERE a IS NOT NULL), both_ AS (SELECT a AS i, b AS j FROM mst UNION ALL SELECT b, a FROM mst)"
+)
+query("hardness_n1", f"WITH RECURSIVE {DOC}, {SPANNING} SELECT x.row_id, x.label, round(avg((x.label <> y.label)::INT), 6) AS complexity FROM both_ JOIN doc x ON x.row_id = i JOIN doc y ON y.row_id = j GROUP BY x.row_id, x.label")(hard("n1"))
+
+
+@query("ensemble_soft_bayes", f"{bags_sql()}, tb AS (SELECT member_id, label AS class, pos, avg(v) AS m, var_pop(v) AS s, count(*) AS n FROM (SELECT member_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM bag) GROUP BY member_id, label, pos), tv AS (SELECT member_id, max(v) * 1e-9 AS e FROM (SELECT member_id, pos, var_pop(v) AS v FROM (SELECT member_id, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM bag) GROUP BY member_id, pos) GROUP BY member_id), tn AS (SELECT member_id, count(*) AS t FROM bag GROUP BY member_id), rc AS (SELECT row_id, label, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM doc), ll AS (SELECT member_id, row_id, rc.label, class, sum(-0.5e0 * (ln(2 * pi() * (s + e)) + (v - m) * (v - m) / (s + e))) + ln(any_value(n) / any_value(t)::DOUBLE) AS s FROM rc JOIN tb USING (pos) JOIN tv USING (member_id) JOIN tn USING (member_id) GROUP BY member_id, row_id, rc.label, class), lm AS (SELECT *, max(s) OVER (PARTITION BY member_id, row_id) AS top FROM ll), proba AS (SELECT member_id, row_id, label, class, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY member_id, row_id) AS p FROM lm), {soft_sql('q', 'proba', str(MEMBERS))} SELECT row_id, label, class, round(p, 6) AS p FROM q")
+def ensemble_soft_bayes(spark, sf):
+    docs, model = fitted(spark, sf, NaiveBayes())
+    return rounded(model.predict_proba(docs), "p").select("row_id", "label", "class", "p")
+
+
 @query("hardness_statistics", f"WITH {DOC}, {OVERLAP} SELECT label, round(avg(complexity), 6) AS mean, round(stddev_pop(complexity), 6) AS std, round(min(complexity), 6) AS min, round(max(complexity), 6) AS max, round(quantile_cont(complexity, 0.5), 6) AS median FROM hard GROUP BY ROLLUP (label)")
 def hardness_statistics(spark, sf):
     return rounded(evaluation.hardness_statistics(hardness.overlap(doc_table(spark, sf))), "mean", "std", "min", "max", "median")
