@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import uniform
 from evenhand.operators.ranking import by_uniform, in_order, medians, ranked
-from evenhand.sources.staging import cut
+from evenhand.sources.staging import cut, once
 
 
 def class_counts(df: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def stratified_folds(df: DataFrame, folds: int = 5, shuffle: bool = False, seed:
 
 def in_folds(df: DataFrame, folds: int, shuffle: bool = False, seed: int = 42, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Training and test rows of all folds at once: a row trains for every fold ``held`` but its own, in which it is tested."""
-    df = cut(df)
+    df = once(df)
     assigned = cut(df.join(stratified_folds(df, folds, shuffle, seed, by), [*by, "row_id", "label"]))
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
     return assigned.withColumn("held", others).drop("fold"), assigned.withColumnRenamed("fold", "held")

@@ -12,7 +12,7 @@ from evenhand.operators.evaluation import class_counts, in_folds
 from evenhand.operators.learners import NaiveBayes, Tree, centroids
 from evenhand.operators.neighbours import nearest, within
 from evenhand.operators.trees import TreeModel
-from evenhand.sources.staging import cut
+from evenhand.sources.staging import cut, once
 
 
 def feature_ranges(df: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def scaled(df: DataFrame) -> DataFrame:
 
 def overlap(df: DataFrame) -> DataFrame:
     """Closeness to the nearest centroid of another class, 1 / (1 + distance) on scaled features, brought to [0, 1]."""
-    points = scaled(df)
+    points = scaled(once(df))
     others = centroids(points).agg(F.collect_list(F.struct("label", "centroid")).alias("~c"))  # one entry for each class
     away = F.transform(F.filter("~c", lambda c: c["label"] != F.col("label")), lambda c: distance(F.col("features"), c["centroid"]))
     raw = points.crossJoin(F.broadcast(others)).select("row_id", "label", F.coalesce(1 / (1 + F.array_min(away)), F.lit(0.0)).alias("r"))
@@ -79,7 +79,7 @@ def minority_value(df: DataFrame) -> DataFrame:
 def _friends_and_enemies(df: DataFrame) -> DataFrame:
     """row_id, label, friend (distance of the nearest other row of the class), enemy and enemy_id (nearest row of another)."""
     n = df.count()
-    df = cut(df)
+    df = once(df)
     own = df.select(F.col("row_id").alias("query_id"), F.col("label"))
     friend = nearest(df, df, 1, by=["label"], n_rows=n, n_queries=n).select("query_id", F.sqrt("d2").alias("friend"))
     enemy = nearest(df, df, 1, n_rows=n, n_queries=n, unlike=True).select("query_id", F.sqrt("d2").alias("enemy"), F.col("row_id").alias("enemy_id"))

@@ -52,8 +52,8 @@ def in_order(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame
 
 
 def medians(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key and the exact median of ``value`` for each key."""
-    rows = cut(df.select(key, F.col(value).cast("double").alias("~v")))
+    """key and the exact median of ``value`` for each key. df is read three times."""
+    rows = df.select(key, F.col(value).cast("double").alias("~v"))
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("~n"))
     numbered = in_order(rows, [key], "~v", "~rk").join(F.broadcast(sizes), key)
     middle = numbered.where((F.col("~rk") >= F.floor((F.col("~n") + 1) / 2)) & (F.col("~rk") <= F.floor(F.col("~n") / 2) + 1))

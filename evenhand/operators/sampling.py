@@ -13,7 +13,7 @@ from evenhand.operators.hardness import with_complexity
 from evenhand.operators.neighbours import nearest
 from evenhand.operators.ranking import RANKED, by_octave, ranked
 from evenhand.sources.frame import validated
-from evenhand.sources.staging import cut
+from evenhand.sources.staging import cut, once
 
 #: Hash ranges of a class in which running weights are summed, and ranges inside each where classes are large.
 RANGES = 64
@@ -63,17 +63,16 @@ def slots_of(short: DataFrame, *keys: str) -> DataFrame:
     return parts.repartition(*keys, "part").select(*keys, F.explode(F.sequence(first, F.least(F.col("missing"), first + SLOTS - 1))).alias("slot"))
 
 
-def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+def seeds(df: DataFrame, slots: DataFrame, seed: int = 42, by: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """slots (by..., label, slot) with seed_row_id, drawn with replacement with chances by weight.
 
     A slot's number u times the class total falls into one row's stretch of the running weight. Rows lie in hash ranges, which
     nest: RANGES of the whole class, RANGES of each of these, and so on until a range has some RANKED rows. A slot looks through
     the RANGES entries of one range on each level, then finds its row by an as-of union inside the last. Only the first level,
-    RANGES entries for each class, is broadcast.
+    RANGES entries for each class, is broadcast. ``most``, the rows of the largest class, saves counting.
     """
     keys = [*by, "label"]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n")).first()[0] or 1
+    most = most or df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     levels = 1
     while RANGES**levels * RANKED < most:
         levels += 1
@@ -118,9 +117,9 @@ def oversample(df: DataFrame, targets: DataFrame, k: int = 3, seed: int = 42, by
     base = df if base is None else base
     counts = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets.select("label", "target")), "label").where(F.col("n") < F.col("target"))
     # a row for each class
-    n_short = counts.agg(F.sum("n")).first()[0] or 1
+    n_short, most = (n or 1 for n in counts.agg(F.sum("n"), F.max("n")).first())
     short = df.select(*keys).distinct().join(F.broadcast(counts), "label").withColumn("missing", F.col("target") - F.col("n"))
-    drawn = seeds(df.join(F.broadcast(counts.select("label")), "label"), slots_of(short, *keys), seed, by)
+    drawn = seeds(df.join(F.broadcast(counts.select("label")), "label"), slots_of(short, *keys), seed, by, most)
     points = base.select("row_id", "label", "features").join(F.broadcast(counts.select("label")), "label")
     near = nearest(points, points, k, by=["label"], exclude_self=False, n_rows=n_short, n_queries=n_short).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id"))).alias("near"))
     u = lambda purpose: uniform(seed, purpose, F.col("label"), F.col("slot"))
@@ -162,7 +161,7 @@ class Resampler:
 
     def fit(self, df: DataFrame) -> FittedResampler:
         """Validates the rows and finds their hardness (a ``complexity`` column of their own is taken as it is)."""
-        rows = validated(cut(df))  # hardness reads the rows several times
+        rows = validated(once(df))  # hardness reads the rows several times
         hard = rows if "complexity" in rows.columns else cut(with_complexity(rows, self.hardness))
         return FittedResampler(self, hard, cut(class_info(hard, self.strategy)))
 

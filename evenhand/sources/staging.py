@@ -45,4 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.unset(CLEAN_SHUFFLES)
         else:
             spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.is_cut = True
+    return out
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, cut unless it comes from ``cut`` as it is: for operators that read their rows several times."""
+    return df if getattr(df, "is_cut", False) else cut(df)
