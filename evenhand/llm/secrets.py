@@ -2,13 +2,15 @@
 
 Three plain kinds (assign, access, hex) come from patterns. Three more are reported only when the candidate decodes to
 the structure that it claims: ``jwt`` (a signed-token header and payload), ``der`` (a private key in PKCS#1, PKCS#8 or
-SEC1 form, all nested lengths fitting exactly) and ``openssh`` (the length-prefixed key format). Keys are read from hex and
-from base64, its URL form and lines of it included; a key's own lengths say where it ends. Armour may have header lines and
-escaped line breaks.
+SEC1 form, or an encrypted one in PKCS#8 form, all nested lengths fitting exactly) and ``openssh`` (the length-prefixed key
+format). Keys are read from hex and from base64, its URL form and lines of it included, whether line breaks or spaces part
+them; a key's own lengths say where it ends, and only its headers are decoded. Armour may have header lines and escaped line
+breaks, and may itself be in base64 or hex.
 
 Null and empty texts have no spans. Rows are handled one by one, so repeated rows give repeated results and an empty
-table an empty one. Very long texts are scanned whole, in time that grows with their length. Spans with one start go by kind
-as listed. Other columns, whatever their names, are left alone.
+table an empty one. Very long texts are scanned whole, in time that grows with their length: a candidate costs a few decoded
+headers, and what lies inside a key that was found is not looked at again. Keys have any size. Spans with one start go by
+kind as listed. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,98 +36,118 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: Base64, in lines or not, that begins as a DER sequence or the magic of an OpenSSH key does, and how far apart lines may be.
+#: Base64 that begins as a DER sequence or the magic of an OpenSSH key does, and what may part its lines.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-I]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{14}")
+#: The same that begins as armour does, at any place in a stretch of base64.
+BASE64_ARMOUR = re.compile(r"LS0tLS1CRUdJTi")
 LETTERS64 = re.compile(r"[A-Za-z0-9+/_-]+")
-BREAK = re.compile(r"(?:\r|\n|\\r|\\n)[ \t]*(?:(?:\r|\n|\\r|\\n)[ \t]*)?")
+BREAK = re.compile(r"[ \t]*(?:\r|\n|\\r|\\n)[ \t]*(?:(?:\r|\n|\\r|\\n)[ \t]*)?|[ \t]+")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,32}PRIVATE KEY)-----")
 HEADER = re.compile(r"[A-Za-z0-9-]+:")
-#: Characters of base64 that one key may have: a 16384-bit key has fewer than 13,000.
-MOST_KEY = 1 << 16
 OPENSSH = b"openssh-key-v1\x00"
-HEX_STARTS = ("30", OPENSSH.hex())
+HEX_STARTS = ("30", OPENSSH.hex(), b"-----BEGIN ".hex())
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# The object ids of password-based encryption begin with these bytes.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: Elements that a key has at most: a PKCS#1 key of several primes has ten.
+MOST_ELEMENTS = 10
 
+#: Gives n bytes at an offset, fewer at the end.
+Reader = Callable[[int, int], bytes]
 
-def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The tag-length-value elements that fill ``data`` exactly, else None."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+
+def _header(read: Reader, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, and where the content of the element at ``at`` begins and ends."""
+    head = read(at, 6)
+    if at + 2 > end or len(head) < 2:
+        return None
+    width, size = 0, head[1]
+    if size & 0x80:
+        width = size & 0x7F
+        if not 1 <= width <= 4 or len(head) < 2 + width:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            width = size & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
-                return None
-            size = int.from_bytes(data[at : at + width], "big")
-            at += width
-        if at + size > len(data):
+        size = int.from_bytes(head[2 : 2 + width], "big")
+    begin = at + 2 + width
+    return (head[0], begin, begin + size) if begin + size <= end else None
+
+
+def _elements(read: Reader, at: int, end: int, most: int = MOST_ELEMENTS) -> list[tuple[int, int, int]] | None:
+    """The elements that fill the stretch exactly, ``most`` of them at most, else None. Contents are not read."""
+    found = []
+    while at < end:
+        if len(found) == most or (got := _header(read, at, end)) is None:
             return None
-        found.append((tag, data[at : at + size]))
-        at += size
+        found.append(got)
+        at = got[2]
     return found
 
 
-def is_private_key_der(data: bytes) -> bool:
-    """Whether the bytes are one private key whose nested lengths all fit."""
-    outer = _elements(data)
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
-        return False
-    parts = _elements(outer[0][1])
-    if not parts or parts[0][0] != INTEGER or len(parts[0][1]) != 1:
-        return False
-    tags = [tag for tag, _ in parts]
-    if len(parts) >= 9 and tags[:9] == [INTEGER] * 9:  # PKCS#1: version, modulus, exponents, primes, ...
-        return all(value for _, value in parts[:9])
-    if len(parts) >= 3 and tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8: version, algorithm, key
-        algorithm = _elements(parts[1][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT and bool(parts[2][1])
-    if len(parts) >= 2 and tags[1] == OCTETS and parts[0][1] == b"\x01":  # SEC1: version 1, key, [0] curve, [1] point
-        return len(parts[1][1]) >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:])
-    return False
+def _algorithm(read: Reader, element: tuple[int, int, int]) -> bytes | None:
+    """The first bytes of the object id that names an algorithm, if the sequence is one."""
+    parts = _elements(read, element[1], element[2], 2)
+    return read(parts[0][1], min(9, parts[0][2] - parts[0][1])) if parts and parts[0][0] == OBJECT else None
 
 
-def _take(data: bytes, at: int) -> tuple[bytes, int] | None:
-    if at + 4 > len(data):
+def der_key_size(read: Reader, size: int) -> int | None:
+    """Bytes of the private key that the stretch begins with, if its nested lengths all fit."""
+    outer = _header(read, 0, size)
+    if outer is None or outer[0] != SEQUENCE or not (parts := _elements(read, outer[1], outer[2])):
+        return None
+    tags, sizes = [p[0] for p in parts], [p[2] - p[1] for p in parts]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8: algorithm, data
+        name = _algorithm(read, parts[0])
+        return outer[2] if name and name.startswith(ENCRYPTIONS) and sizes[1] else None
+    if tags[0] != INTEGER or sizes[0] != 1:
         return None
-    size = int.from_bytes(data[at : at + 4], "big")
-    return (data[at + 4 : at + 4 + size], at + 4 + size) if at + 4 + size <= len(data) else None
+    if len(parts) >= 9 and tags[:9] == [INTEGER] * 9:  # PKCS#1: version, modulus, exponents, primes, ...
+        return outer[2] if all(sizes[:9]) else None
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8: version, algorithm, key
+        return outer[2] if _algorithm(read, parts[1]) is not None and sizes[2] else None
+    if tags[1:2] == [OCTETS] and read(parts[0][1], 1) == b"\x01":  # SEC1: version 1, key, [0] curve, [1] point
+        return outer[2] if sizes[1] >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:]) else None
+    return None
 
 
-def openssh_size(data: bytes) -> int | None:
-    """Bytes of the key file that ``data`` begins with: magic, cipher, kdf, options, count, public keys, private part."""
-    if not data.startswith(OPENSSH):
+def openssh_size(read: Reader, size: int) -> int | None:
+    """Bytes of the key file that the stretch begins with: magic, cipher, kdf, options, count, public keys, private part."""
+    if read(0, len(OPENSSH)) != OPENSSH:
         return None
-    at = len(OPENSSH)
+
+    def behind(at: int, least: int) -> int | None:
+        """Where the string at ``at`` ends."""
+        head = read(at, 4)
+        length = int.from_bytes(head, "big")
+        return at + 4 + length if len(head) == 4 and length >= least and at + 4 + length <= size else None
+
+    at: int | None = len(OPENSSH)
     for _ in range(3):
-        if (got := _take(data, at)) is None:
+        if (at := behind(at, 0)) is None:
             return None
-        at = got[1]
-    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    count, at = int.from_bytes(read(at, 4), "big"), at + 4
     if not 1 <= count <= 64:
         return None
     for _ in range(count + 1):
-        if (got := _take(data, at)) is None or not got[0]:
+        if (at := behind(at, 1)) is None:
             return None
-        at = got[1]
     return at
 
 
-def is_openssh_key(data: bytes) -> bool:
-    return bool(data) and openssh_size(data) == len(data)
+def key_size(read: Reader, size: int) -> tuple[int, str] | None:
+    """Size and kind of the key that a stretch of ``size`` bytes begins with."""
+    if (found := der_key_size(read, size)) is not None:
+        return found, "der"
+    return (found, "openssh") if (found := openssh_size(read, size)) is not None else None
 
 
-def der_size(data: bytes) -> int | None:
-    """Bytes of the sequence that ``data`` begins with, by its own length."""
-    if len(data) < 2 or data[0] != SEQUENCE:
-        return None
-    width = data[1] & 0x7F if data[1] & 0x80 else 0
-    if data[1] & 0x80 and not 1 <= width <= 4:
-        return None
-    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+def _key_kind(data: bytes | None) -> str | None:
+    """The kind of the key that the bytes are, no more and no less."""
+    got = key_size(lambda at, n: data[at : at + n], len(data)) if data else None
+    return got[1] if got and got[0] == len(data) else None
+
+
+def is_private_key_der(data: bytes) -> bool:
+    return _key_kind(data) == "der"
 
 
 def _unbase64(text: str, url: bool = False) -> bytes | None:
@@ -145,66 +169,124 @@ def _json_object(text: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _key_kind(data: bytes | None) -> str | None:
-    if not data:
-        return None
-    return "der" if is_private_key_der(data) else "openssh" if is_openssh_key(data) else None
-
-
-def _base64_key(text: str, start: int) -> tuple[int, str] | None:
-    """End and kind of the key whose base64 begins at ``start``, if it is one."""
-    letters, ends, at = [], [], start  # stretches of base64 in consecutive lines, and where they end
-    total = 0
-    while (m := LETTERS64.match(text, at, at + MOST_KEY)) is not None and total < MOST_KEY:
-        letters.append(m[0])
-        total += len(m[0])
-        ends.append(m.end())
-        if (gap := BREAK.match(text, m.end())) is None:
-            break
-        at = gap.end()
-    body = "".join(letters)
-    if not ("-" in body or "_" in body) or not ("+" in body or "/" in body):
-        data = _unbase64(body[: len(body) // 4 * 4].translate(URL)) or b""
-    else:
-        return None
-    tail = body[len(body) // 4 * 4 :]
-    if len(tail) > 1:
-        data += _unbase64(tail.translate(URL)) or b""
-    size = der_size(data) if data[:1] == b"0" else openssh_size(data)
-    if size is None or size > len(data) or (kind := _key_kind(data[:size])) is None:
-        return None
-    need = -(-size * 4 // 3)  # characters, less padding
-    for piece, end in zip(letters, ends, strict=True):
-        if need <= len(piece):
-            end -= len(piece) - need
-            break
-        need -= len(piece)
-    while end < len(text) and text[end] == "=":
-        end += 1
-    # more of the alphabet right behind is not a key that ends here
-    return None if end < len(text) and LETTERS64.match(text, end) else (end, kind)
+class _Stretch:
+    """Base64 letters that line breaks or spaces part, and where they are in the text."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.starts, self.before, pieces, total = [], [], [], 0
+        at = start
+        while (m := LETTERS64.match(text, at)) is not None:
+            self.starts.append(m.start())
+            self.before.append(total)
+            pieces.append(m[0])
+            total += len(m[0])
+            self.end = m.end()
+            if (gap := BREAK.match(text, m.end())) is None:
+                break
+            at = gap.end()
+        self.letters = "".join(pieces)
+        self.url, self.plain = ([m.start() for m in re.finditer(x, self.letters)] for x in ("[-_]", r"[+/]"))
+
+    def index(self, at: int) -> int:
+        """The number of the letter at a place of the text."""
+        i = bisect_right(self.starts, at) - 1
+        return self.before[i] + at - self.starts[i]
+
+    def place(self, letter: int) -> int:
+        """Where in the text the letter is."""
+        i = bisect_right(self.before, letter) - 1
+        return self.starts[i] + letter - self.before[i]
+
+    def mixed(self, a: int, b: int) -> bool:
+        """Whether letters of both alphabets lie between two letters."""
+        return all(bisect_right(x, b - 1) > bisect_right(x, a - 1) for x in (self.url, self.plain))
+
+    def reader(self, first: int) -> tuple[Reader, int]:
+        """Reads bytes of what begins at a letter, decoding no more than asked for; and their number."""
+
+        def read(at: int, n: int) -> bytes:
+            skip = at % 3
+            a = first + at // 3 * 4
+            part = self.letters[a : a + -(-(skip + n) // 3) * 4]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            return base64.b64decode(part.translate(URL) + "=" * (-len(part) % 4))[skip : skip + n]
+
+        return read, (len(self.letters) - first) * 3 // 4
 
 
 URL = str.maketrans("-_", "+/")
 
 
-def _armoured(text: str) -> list[tuple[int, int, str]]:
-    """Private keys between their BEGIN and END lines."""
-    found, at, without = [], 0, set()
-    while (m := ARMOUR.search(text, at)) is not None:
-        at, mark = m.end(), f"-----END {m[1]}-----"
-        end = -1 if mark in without else text.find(mark, at)
-        if end < 0:
-            without.add(mark)
+def _base64_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64, and armour in base64."""
+    found, stretch, done = [], None, 0
+    for m in BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        if stretch is None or m.start() >= stretch.end:
+            stretch = _Stretch(text, m.start())
+        first = stretch.index(m.start())
+        read, size = stretch.reader(first)
+        if (got := key_size(read, size)) is None:
             continue
-        lines = text[at:end].replace("\\r", "\n").replace("\\n", "\n").split("\n")
-        body = "".join(x.strip() for x in lines if not HEADER.match(x.strip()))
-        if (kind := _key_kind(_unbase64(body))) is not None:
-            found.append((m.start(), end + len(mark), kind))
-            at = end + len(mark)
+        behind = first - (-got[0] * 4 // 3)  # letters, less padding
+        end = stretch.place(behind - 1) + 1
+        # more of the alphabet right behind is not a key that ends here
+        if stretch.mixed(first, behind) or LETTERS64.match(text, end):
+            continue
+        while end < len(text) and text[end] == "=":
+            end += 1
+        found.append((m.start(), end, got[1]))
+        done = end
+    return found + _base64_armour(text)
+
+
+def _base64_armour(text: str) -> list[tuple[int, int, str]]:
+    """Armour in base64: a stretch is decoded once for each of the four places in a quantum where armour begins there."""
+    found, stretch, phases = [], None, set()
+    for m in BASE64_ARMOUR.finditer(text):
+        if stretch is None or m.start() >= stretch.end:
+            stretch, phases = _Stretch(text, m.start()), set()
+        first = stretch.index(m.start())
+        if first % 4 in phases:
+            continue
+        phases.add(first % 4)
+        body = stretch.letters[first:]
+        data = base64.b64decode(body[: len(body) // 4 * 4].translate(URL)) + (_unbase64(body[len(body) // 4 * 4 :].translate(URL)) or b"")
+        for a, b, kind in _armoured(data.decode("latin-1")):
+            end = stretch.place(min(first - (-b * 4 // 3), len(stretch.letters)) - 1) + 1
+            while end < len(text) and text[end] == "=":
+                end += 1
+            found.append((stretch.place(first + a * 4 // 3), end, kind))
+    return found
+
+
+def _armoured(text: str) -> list[tuple[int, int, str]]:
+    """Private keys between their BEGIN and END lines; the last BEGIN before an END counts."""
+    found, m = [], ARMOUR.search(text)
+    while m is not None:
+        following, mark = ARMOUR.search(text, m.end()), f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), following.start() if following else len(text))
+        if end >= 0:
+            lines = text[m.end() : end].replace("\\r", "\n").replace("\\n", "\n").split("\n")
+            body = "".join("".join(x.split()) for x in lines if not HEADER.match(x.strip()))
+            if (kind := _key_kind(_unbase64(body))) is not None:
+                found.append((m.start(), end + len(mark), kind))
+        m = following
     return found
 
 
+def _hex_kind(digits: str) -> str | None:
+    """The kind of key, or of armour around one, that hex digits spell."""
+    if len(digits) % 2 or not digits.lower().startswith(HEX_STARTS):
+        return None
+    data = bytes.fromhex(digits)
+    if (kind := _key_kind(data)) is not None:
+        return kind
+    inside = _armoured(data.decode("latin-1")) if data.startswith(b"-----") else []
+    return inside[0][2] if inside else None
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start and then kind as listed; code points, end exclusive."""
     if not text:
@@ -216,11 +298,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         header = _json_object(m[1])
         if header and isinstance(header.get("alg"), str) and _json_object(m[2]) is not None and (not m[3] or _unbase64(m[3], url=True) is not None):
             spans.add((m.start(), m.end(), "jwt"))
-    for m in BASE64.finditer(text):
-        if (key := _base64_key(text, m.start())) is not None:
-            spans.add((m.start(), *key))
+    spans |= set(_base64_keys(text))
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0].lower().startswith(HEX_STARTS) and (kind := _key_kind(bytes.fromhex(m[0]))) is not None:
+        if (kind := _hex_kind(m[0])) is not None:
             spans.add((m.start(), m.end(), kind))
     spans |= set(_armoured(text))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
