@@ -435,14 +435,22 @@ def shuffle_rank(spark, sf):
 
 
 # ---- ensemble ----
-@query("mu_grid", f"SELECT i::INT AS member_id, round(i / {MEMBERS - 1}e0, 6) AS mu FROM range({MEMBERS}) r(i)")
+#: Members of the grid queries: one for each ten labelled rows.
+GRID = f"WITH {DOC}, m AS (SELECT greatest(count(*) // 10, 2)::BIGINT AS m FROM doc), grid AS (SELECT i::INT AS member_id, i / (m - 1)::DOUBLE AS mu FROM m, range(m.m) r(i))"
+
+
+def grid(spark, sf):
+    return ensemble.mu_grid(spark, max(2, doc_table(spark, sf).count() // 10))
+
+
+@query("mu_grid", f"{GRID} SELECT member_id, round(mu, 6) AS mu FROM grid")
 def mu_grid(spark, sf):
-    return rounded(ensemble.mu_grid(spark, MEMBERS), "mu")
+    return rounded(grid(spark, sf), "mu")
 
 
-@query("mu_distribution", f"SELECT round(avg(mu), 6) AS mean, round(stddev_pop(mu), 6) AS std, min(mu) AS min, max(mu) AS max, count(*) AS n_members FROM (SELECT i / {MEMBERS - 1}e0 AS mu FROM range({MEMBERS}) r(i))")
+@query("mu_distribution", f"{GRID} SELECT round(avg(mu), 6) AS mean, round(stddev_pop(mu), 6) AS std, min(mu) AS min, max(mu) AS max, count(*) AS n_members FROM grid")
 def mu_distribution(spark, sf):
-    return rounded(ensemble.mu_distribution(ensemble.mu_grid(spark, MEMBERS)), "mean", "std")
+    return rounded(ensemble.mu_distribution(grid(spark, sf)), "mean", "std")
 
 
 def fitted(spark, sf, learner=None, **options):
@@ -754,9 +762,11 @@ def compare_learners(spark, sf):
     return rounded(ensemble.compare_learners(doc_table(spark, sf), learners, MEMBERS), "mean", "std", "min", "max")
 
 
-@query("generated_imbalance")
+@query("generated_imbalance", f"WITH g AS (SELECT CASE WHEN {u_sql('flip', 'row_id')} < 0.05e0 THEN floor({u_sql('to', 'row_id')} * 2)::INT WHEN {u_sql('class', 'row_id')} < 0.95e0 THEN 0 ELSE 1 END AS label FROM range((SELECT count(*) FROM documents)) r(row_id)) SELECT label, count(*) AS n FROM g GROUP BY label")
 def generated_imbalance(spark, sf):
-    return evaluation.class_counts(imbalanced(spark, 2000, weights=(0.95, 0.05)))
+    """Classes of a generated table with as many rows as there are documents."""
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    return evaluation.class_counts(imbalanced(spark, n, weights=(0.95, 0.05)))
 
 
 def queries() -> dict:
