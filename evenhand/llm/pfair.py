@@ -91,24 +91,21 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> pa.Table:
     return pa.table([pa.array(names, pa.string()).take(pa.array(columns[0])), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["s", "first", "ran", "slot0", "period", "a", "k", "place"])
 
 
-def ranked(docs: DataFrame, source_col: str, id_col: str, seed: int) -> DataFrame:
-    """docs with ``~s`` (source) and ``~rank`` (from 0 within the source, in hash order).
+def ranked(docs: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """docs (s, h, ...) with ``rank`` (from 0 within the source s, in the order of the hash h).
 
-    Hash ranges are counted first; a document's rank is the count before its range plus its rank inside.
+    Hash ranges are counted first; a document's rank is the count before its range plus its rank inside. Counts are summed
+    inside groups of ranges and over the groups, so that no window grows faster than the root of a source.
     """
-    names = docs.columns
-    keyed = docs.withColumn("~s", F.coalesce(col(source_col).cast("string"), F.lit(""))).withColumn("~h", F.xxhash64(*(col(c) for c in (id_col, *(n for n in names if n != id_col)) if docs.schema[c].dataType.typeName() != "map"), F.lit(seed)))
-    sizes = keyed.groupBy("~s").count().limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    largest = max((r["count"] for r in sizes), default=0)
+    largest = max(sizes.values(), default=0)
     bits = min(32, max(0, (largest // RANKED).bit_length()))
-    keyed = keyed.withColumn("~b", F.shiftrightunsigned(F.col("~h"), 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
-    before = Window.partitionBy("~s").orderBy("~b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("~s", "~b").agg(F.count(F.lit(1)).alias("~n"))
-    starts = counts.select("~s", "~b", F.coalesce(F.sum("~n").over(before), F.lit(0)).alias("~start"))
-    inside = Window.partitionBy("~s", "~b").orderBy("~h", col(id_col))
-    return keyed.withColumn("~i", F.row_number().over(inside)).join(starts, ["~s", "~b"]).withColumn("~rank", F.col("~start") + F.col("~i") - 1).drop("~b", "~i", "~start")
+    keyed = docs.withColumn("b", F.shiftrightunsigned(F.col("h"), 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.shiftright("b", bits // 2))
+    groups = counts.groupBy("s", "g").agg(F.sum("n").alias("t")).select("s", "g", F.coalesce(F.sum("t").over(earlier("s", "g")), F.lit(0)).alias("over"))
+    starts = counts.withColumn("own", F.coalesce(F.sum("n").over(earlier("s", "g", "b")), F.lit(0))).join(groups, ["s", "g"]).select("s", "b", (F.col("own") + F.col("over")).alias("start"))
+    inside = Window.partitionBy("s", "b").orderBy("h", "id")
+    return keyed.withColumn("i", F.row_number().over(inside)).join(starts, ["s", "b"]).withColumn("rank", F.col("start") + F.col("i") - 1).drop("b", "i", "start")
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], block: int = 16, default_weight: int = 1, source_col: str = "source", id_col: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -121,24 +118,27 @@ def mixed(docs: DataFrame, weights: dict[str, int], block: int = 16, default_wei
     spark = docs.sparkSession
     docs = docs.drop("mix_slot", "mix_block", "mix_position")
     names = docs.columns
-    sizes = {r["s"]: r["count"] for r in docs.groupBy(F.coalesce(col(source_col).cast("string"), F.lit("")).alias("s")).count().limit(MOST_SOURCES + 1).collect()}
+    hashed = [id_col, *(n for n in names if n != id_col and docs.schema[n].dataType.typeName() != "map")]
+    # the user's columns travel under numbers, so that no name of theirs meets one of ours
+    rows = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(col(source_col).cast("string"), F.lit("")).alias("s"), F.xxhash64(*map(col, hashed), F.lit(seed)).alias("h"), col(id_col).alias("id"))
+    sizes = {r["s"]: r["count"] for r in rows.groupBy("s").count().limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     own = {s: int(weights.get(s, default_weight)) for s in sizes}
     # metadata of sources alone, MOST_SLOTS rows at most; Spark broadcasts it if it is small
     made = phases(own, {s: -(-n // block) for s, n in sizes.items()})
     plan = spark.createDataFrame(made)
-    plan = plan.select(*(F.col(c).alias(f"~p_{c}") for c in plan.columns))
-    spans = plan.where("`~p_k` = 0").groupBy("~p_s").agg(F.array_sort(F.collect_list(F.struct("~p_first", "~p_ran", "~p_a"))).alias("~spans"))
-    rows = ranked(docs, source_col, id_col, seed).withColumn("mix_block", F.floor(F.col("~rank") / block)).withColumn("mix_position", (F.col("~rank") % block).cast("int"))
-    rows = rows.join(F.broadcast(spans), F.col("~s") == F.col("~p_s")).drop("~p_s")  # one row for each source
-    phase = F.filter(F.col("~spans"), lambda p: (p["~p_first"] <= F.col("mix_block")) & (F.col("mix_block") < p["~p_first"] + p["~p_ran"]))[0]
-    rows = rows.withColumn("~phase", phase).drop("~spans")
-    nth = F.col("mix_block") - F.col("~phase.~p_first")
+    plan = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))
+    spans = plan.where("p_k = 0").groupBy("p_s").agg(F.array_sort(F.collect_list(F.struct("p_first", "p_ran", "p_a"))).alias("spans"))
+    rows = ranked(rows, sizes).withColumn("mix_block", F.floor(F.col("rank") / block)).withColumn("mix_position", (F.col("rank") % block).cast("int"))
+    rows = rows.join(F.broadcast(spans), F.col("s") == F.col("p_s")).drop("p_s")  # one row for each source
+    phase = F.filter(F.col("spans"), lambda p: (p["p_first"] <= F.col("mix_block")) & (F.col("mix_block") < p["p_first"] + p["p_ran"]))[0]
+    rows = rows.withColumn("phase", phase).drop("spans")
+    nth = F.col("mix_block") - F.col("phase.p_first")
     small = F.broadcast(plan) if made.num_rows <= BROADCAST_SLOTS else plan
-    joined = rows.join(small, (F.col("~s") == F.col("~p_s")) & (F.col("~phase.~p_first") == F.col("~p_first")) & (nth % F.col("~phase.~p_a") == F.col("~p_k")))
-    slot = F.col("~p_slot0") + F.floor(nth / F.col("~p_a")) * F.col("~p_period") + F.col("~p_place")
-    return joined.select(*(col(c) for c in names), slot.cast("long").alias("mix_slot"), "mix_block", "mix_position")
+    joined = rows.join(small, (F.col("s") == F.col("p_s")) & (F.col("phase.p_first") == F.col("p_first")) & (nth % F.col("phase.p_a") == F.col("p_k")))
+    slot = F.col("p_slot0") + F.floor(nth / F.col("p_a")) * F.col("p_period") + F.col("p_place")
+    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), slot.cast("long").alias("mix_slot"), "mix_block", "mix_position")
 
 
 def in_order(mixture: DataFrame, partitions: int | None = None) -> DataFrame:
