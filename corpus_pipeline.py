@@ -22,6 +22,8 @@ from evenhand.llm.suffix import text_key
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower score go.
 QUALITY = 0.3
+#: Files whose rows are summed in one window.
+FILES = 1024
 #: Rows that go to a Python worker at a time: texts are long, and executors have little room beside their heap.
 ARROW_ROWS = 1000
 
@@ -70,10 +72,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.in_order(pfair.mixed(docs.select(*COLUMNS), TARGETS)).select(*COLUMNS)
 
 
+def file_starts(sizes: DataFrame) -> DataFrame:
+    """file and start, the rows of all files before it, from file and n: files go by the number in their names, which Spark writes
+    with five digits or more, then by name. Rows are summed inside groups of FILES files, then over the groups."""
+    number = F.coalesce(F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    placed = sizes.select("file", "n", number.alias("i")).withColumn("g", F.floor(F.col("i") / FILES))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each FILES files
+    groups = placed.groupBy("g").agg(F.sum("n").alias("t")).select("g", F.coalesce(F.sum("t").over(upto(Window.orderBy("g"))), F.lit(0)).alias("over"))
+    own = F.coalesce(F.sum("n").over(upto(Window.partitionBy("g").orderBy("i", "file"))), F.lit(0))
+    return placed.withColumn("own", own).join(groups, "g").select("file", (F.col("own") + F.col("over")).alias("start"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, position, n_tokens, ids_sha256 and decoded_sha256 of each document left.
 
-    The position is the place in the mixture, from 0: the rows of the files in the order of their names. Rows that come from
+    The position is the place in the mixture, from 0: the rows of the files in the order of their numbers. Rows that come from
     no file have none.
     """
     _narrow_batches(spark)
@@ -81,13 +95,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         placed = docs.select("*", F.col("_metadata.file_name").alias("~file"), F.col("_metadata.row_index").alias("~row"))
     except AnalysisException:
         placed = docs.select("*", F.lit("").alias("~file"), F.lit(None).cast("long").alias("~row"))
-    # one row for each file
-    sizes = cut(placed.groupBy("~file").agg(F.count(F.lit(1)).alias("~n")))
-    before = Window.orderBy("~file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("~file").alias("~f"), F.coalesce(F.sum("~n").over(before), F.lit(0)).alias("~start"))
+    starts = cut(file_starts(placed.groupBy(F.col("~file").alias("file")).agg(F.count(F.lit(1)).alias("n"))))
     made = bpe.round_trip(placed, keep=("doc_id", "source", "~file", "~row"))
-    out = made.join(F.broadcast(starts), F.col("~file") == F.col("~f"))
-    return out.select("doc_id", "source", (F.col("~start") + F.col("~row")).alias("position"), "n_tokens", "ids_sha256", "decoded_sha256")
+    # rows of digests; Spark broadcasts the files if they are few enough
+    out = made.join(starts, F.col("~file") == F.col("file"))
+    return out.select("doc_id", "source", (F.col("start") + F.col("~row")).alias("position"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("redact", redact), ("mix", mix), ("encode", encode)]
