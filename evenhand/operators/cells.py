@@ -77,11 +77,15 @@ class Cells:
             return ~(self.pure[None, :] & (codes[:, None] == self.code[None, :]))
         return segments[:, None] == self.segment[None, :]
 
+    def rounding(self, p: np.ndarray) -> np.ndarray:
+        """How far a distance by matrix product between each row of p and the rows of each cell may be off."""
+        return np.sqrt(slack(p, self.pivots))[:, None] + np.sqrt(4 * (p.shape[1] + 4) * np.finfo(float).eps) * self.high[None, :]
+
     def least(self, p: np.ndarray, bounds: tuple) -> np.ndarray:
         """A lower bound on the distance of each row of p to the rows of each cell."""
         low, high, near, d2 = bounds
         x = self.pivots
-        off = (np.sqrt(slack(p, x))[:, None] + np.sqrt(4 * (x.shape[1] + 4) * np.finfo(float).eps) * self.high[None, :]) ** 2
+        off = self.rounding(p) ** 2
         apart = np.sqrt(np.maximum(products(x[near], x), 0) + slack(x[near], x)[:, None])[:, self.pivot]
         nearest = d2[np.arange(len(p)), near][:, None]
         # rows of the cell lie beyond the plane between its pivot and the query's

@@ -108,6 +108,20 @@ def _meet(queries: DataFrame, counts: DataFrame, rows: DataFrame):
     return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
 
 
+def _blocks_of(known: voronoi.Cells, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, cell and block of each block of each cell that a query needs, by query and block."""
+    i, c = np.nonzero(needed)
+    times = known.parts[c]
+    i, c = np.repeat(i, times), np.repeat(c, times)
+    return i, c, known.block[c] + np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _heads(i: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal queries and blocks begin, and where all but the first do."""
+    edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(block) != 0)) + 1
+    return (np.concatenate([[0], edges]) if len(i) else np.zeros(0, int)), edges
+
+
 def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = None, exclude_self: bool = True, n_rows: int | None = None, unlike: bool = False, compared: Accumulator | None = None) -> DataFrame:
     """What ``nearest`` gives, by Voronoi cells.
 
@@ -203,14 +217,10 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
                     # one row more, as the query may be among them
                     radius = np.minimum(np.sqrt(kth), known.most(bounds, admitted, k + 1, unlike))
                     needed = admitted & (known.least(p, bounds) <= (radius * (1 + 1e-9))[:, None])
-                    i, c = np.nonzero(needed)
-                    times = known.parts[c]
-                    i, c = np.repeat(i, times), np.repeat(c, times)
-                    block = known.block[c] + np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)
+                    i, c, block = _blocks_of(known, needed)
                     out = ~((c == part["cell"].to_numpy()[i]) & (block == part["block"].to_numpy()[i]))
                     i, c, block = i[out], c[out], block[out]
-                    edges = np.flatnonzero((np.diff(i) != 0) | (np.diff(block) != 0)) + 1
-                    heads = np.concatenate([[0], edges]) if len(i) else np.zeros(0, int)
+                    heads, edges = _heads(i, block)
                     made = pd.DataFrame({"block": block[heads].astype(np.int32)})
                     if not narrow:
                         made = made.assign(query_id=part["query_id"].to_numpy()[i[heads]], features=part["features"].to_numpy()[i[heads]], code=part["code"].to_numpy()[i[heads]], cells=[x.tolist() for x in np.split(c, edges)] if len(i) else [])
@@ -244,33 +254,124 @@ def pruned(queries: DataFrame, rows: DataFrame, k: int, by: list[str] | None = N
     return _ranked(found, k)
 
 
-def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None) -> DataFrame:
+def within(rows: DataFrame, radii: DataFrame, n_rows: int | None = None, compared: Accumulator | None = None) -> DataFrame:
     """row_id, n_within (rows of its label nearer than its radius, itself not counted), n_holding (rows of its label that hold
     it within theirs) and farthest (distance of the farthest row of its label).
 
-    radii has row_id and radius. Blocks meet as in ``nearest``, and each sends counts only.
+    radii has row_id and radius. Up to BLOCK rows are one block. More are dealt into Voronoi cells: a cell that lies wholly
+    inside a row's radius is counted as a whole, one that lies outside not at all, and only rows of the others are compared,
+    and of those that can hold the farthest row. Equal rows fill a cell of no width, so copies are counted and not compared.
     """
-    n = _parts(n_rows or rows.count())
     asking = rows.join(radii.select("row_id", "radius"), "row_id")
+    n = n_rows or rows.count()
+    schema = T.StructType([T.StructField("row_id", rows.schema["row_id"].dataType), T.StructField("n_within", T.LongType()), T.StructField("n_holding", T.LongType()), T.StructField("farthest", T.DoubleType())])
+    if n > voronoi.BLOCK:
+        found = _within_cells(asking, n, schema, compared)
+    else:
 
-    def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"row_id": pd.Series(dtype=object), "n_within": pd.Series(dtype="int64"), "n_holding": pd.Series(dtype="int64"), "farthest": pd.Series(dtype="float64")})]
-        if len(q) and len(r):
-            x, ids = matrix(r["rf"]), r["rid"].to_numpy()
-            holding = np.zeros(len(r), np.int64)
-            for begin in range(0, len(q), 256):
-                part = q.iloc[begin : begin + 256]
-                p, own, radius = matrix(part["features"]), part["row_id"].to_numpy(), part["radius"].to_numpy(float)
-                d = np.zeros((len(p), len(x)))
-                for c in range(x.shape[1]):  # exact, as radii are distances of rows
-                    d += (p[:, c, None] - x[None, :, c]) ** 2
-                d = np.sqrt(d)
-                inside = (d < radius[:, None]) & (own[:, None] != ids[None, :])
-                holding += inside.sum(0)
-                parts.append(pd.DataFrame({"row_id": own, "n_within": inside.sum(1), "n_holding": 0, "farthest": d.max(1)}))
-            parts.append(pd.DataFrame({"row_id": ids, "n_within": 0, "n_holding": holding, "farthest": 0.0}))
-        return pd.concat(parts)
+        def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.concat(_counted(q["row_id"].to_numpy(), matrix(q["features"]), q["radius"].to_numpy(float), r["rid"].to_numpy(), matrix(r["rf"])))
 
-    schema = T.StructType([T.StructField("row_id", rows.schema["row_id"].dataType), T.StructField("n_within", T.LongType()), T.StructField("n_holding", T.LongType()), T.StructField("farthest", T.DoubleType())])
-    found = _blocks(asking, rows, ["label"], n, n).applyInPandas(count, schema)
+        found = _blocks(asking, rows, ["label"], 1, 1).applyInPandas(count, schema)
     return found.groupBy("row_id").agg(F.sum("n_within").alias("n_within"), F.sum("n_holding").alias("n_holding"), F.max("farthest").alias("farthest"))
+
+
+def _counted(own: np.ndarray, p: np.ndarray, radius: np.ndarray, ids: np.ndarray, x: np.ndarray, counts=None, far=None) -> list[pd.DataFrame]:
+    """What rows x add to the counts of the rows p, and these to theirs; ``counts`` and ``far`` say for which of p."""
+    place, holding, out = pd.Index(ids).get_indexer(own), np.zeros(len(ids), np.int64), []
+    for begin in range(0, len(own), 256):
+        part = slice(begin, begin + 256)
+        d = np.zeros((len(p[part]), len(x)))
+        for c in range(x.shape[1]):  # exact, as radii are distances of rows
+            d += (p[part, c, None] - x[None, :, c]) ** 2
+        d = np.sqrt(d)
+        inside = d < radius[part, None]
+        itself = place[part]
+        inside[np.flatnonzero(itself >= 0), itself[itself >= 0]] = False
+        if counts is not None:
+            inside &= counts[part, None]
+        holding += inside.sum(0)
+        farthest = d.max(1)
+        out.append(pd.DataFrame({"row_id": own[part], "n_within": inside.sum(1), "n_holding": 0, "farthest": farthest if far is None else np.where(far[part], farthest, 0.0)}))
+    return [*out, pd.DataFrame({"row_id": ids, "n_within": 0, "n_holding": holding, "farthest": 0.0})]
+
+
+def _within_cells(asking: DataFrame, n: int, schema: T.StructType, compared: Accumulator | None) -> DataFrame:
+    """Parts of the sums of ``within``, by cells of each label."""
+    points = cut(asking.select("row_id", "label", "features", segments(["label"]).alias("seg"), F.xxhash64(F.col("label").cast("string")).alias("code"), F.col("radius").cast("double").alias("radius")))
+    pivots = voronoi.pivots_of(points, n, points.select("seg").distinct().count())
+    put = cut(voronoi.dealt(points, pivots))
+    cells = voronoi.cells_of(put, pivots)
+    placed = cut(voronoi.in_blocks(put, cells))
+    shipped = asking.sparkSession.sparkContext.broadcast(cells)
+    kind = asking.schema["row_id"].dataType
+
+    def reached(batches):
+        """Rows, and for each cell whether it lies inside the radius, is to be counted by rows, or may hold the farthest row."""
+        known = shipped.value
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256].reset_index(drop=True)
+                p, radius = matrix(part["features"]), part["radius"].to_numpy(float)[:, None]
+                bounds, admitted = known.bounds(p), known.admitted(part["seg"].to_numpy(object), part["code"].to_numpy(), False)
+                low, high = (b[:, known.pivot] for b in bounds[:2])
+                upper = high + known.high[None, :]
+                whole = admitted & (upper < radius)
+                some = admitted & ~whole & (known.least(p, bounds) < radius)
+                # the cell's outermost row, or its innermost, is at least so far away, but for rounding
+                sure = np.maximum(low - known.low[None, :], known.high[None, :] - high) - 4 * known.rounding(p)
+                sure = np.where(admitted, sure, -np.inf).max(1)
+                far = admitted & (upper >= (sure * (1 - 1e-9))[:, None])
+                yield known, part, whole, some, far
+
+    def wholly(batches):
+        for known, part, whole, _, _ in reached(batches):
+            own = whole[np.arange(len(part)), part["cell"].to_numpy()].astype(np.int64)  # the row itself is no neighbour
+            yield pd.DataFrame({"row_id": part["row_id"], "n_within": (whole * known.n[None, :]).sum(1) - own, "n_holding": -own, "farthest": 0.0})
+
+    def covered(batches):
+        for _, _, whole, _, _ in reached(batches):
+            times = whole.sum(0)
+            yield pd.DataFrame({"cell": np.flatnonzero(times).astype(np.int32), "n": times[times > 0]})
+
+    def spread(narrow: bool):
+        def run(batches):
+            for known, part, _, some, far in reached(batches):
+                i, c, block = _blocks_of(known, some | far)
+                heads, edges = _heads(i, block)
+                made = pd.DataFrame({"block": block[heads].astype(np.int32)})
+                if not narrow:
+                    cut_up = lambda x, i=i, edges=edges: [v.tolist() for v in np.split(x, edges)] if len(i) else []
+                    made = made.assign(query_id=part["row_id"].to_numpy()[i[heads]], features=part["features"].to_numpy()[i[heads]], radius=part["radius"].to_numpy()[i[heads]], cells=cut_up(c), modes=cut_up(some[i, c] + 2 * far[i, c]))
+                    made = made[["query_id", "features", "radius", "block", "cells", "modes"]]
+                yield made
+
+        return run
+
+    rows = placed.select("row_id", "features", "seg", "code", "radius", "cell")
+    inner = rows.mapInPandas(wholly, schema)
+    times = rows.mapInPandas(covered, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    held = placed.join(times, "cell").select("row_id", F.lit(0).cast("long").alias("n_within"), F.col("n").alias("n_holding"), F.lit(0.0).alias("farthest"))
+    counts = rows.mapInPandas(spread(True), "block int").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    ints = T.ArrayType(T.IntegerType())
+    sent = rows.mapInPandas(spread(False), T.StructType([T.StructField("query_id", kind), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType()), T.StructField("block", T.IntegerType()), T.StructField("cells", ints), T.StructField("modes", ints)]))
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        got = [pd.DataFrame({f.name: [] for f in schema.fields})]
+        if len(q) and len(r):
+            q = q.reset_index(drop=True)
+            p, own, radius = matrix(q["features"]), q["query_id"].to_numpy(), q["radius"].to_numpy(float)
+            asked, modes, who = np.concatenate(q["cells"].to_numpy()), np.concatenate(q["modes"].to_numpy()), np.repeat(np.arange(len(q)), q["cells"].map(len).to_numpy())
+            for cell, part in r.groupby("cell", sort=True):
+                at = np.flatnonzero(asked == cell)
+                if len(at):
+                    a = who[at]
+                    got += _counted(own[a], p[a], radius[a], part["row_id"].to_numpy(), matrix(part["features"]), (modes[at] & 1) > 0, (modes[at] & 2) > 0)
+                    if compared is not None:
+                        compared.add(len(a) * len(part))
+        return pd.concat(got)
+
+    near = _meet(sent, counts, placed.drop("radius")).applyInPandas(compare, schema)
+    return inner.unionByName(held).unionByName(near)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.operators import cells, hardness
 from evenhand.operators.learners import NaiveBayes, Tree
-from evenhand.operators.neighbours import nearest
+from evenhand.operators.neighbours import nearest, within
 from evenhand.operators.trees import TreeModel
 
 
@@ -69,6 +69,25 @@ def test_nearest_unlike_with_many_labels(spark, monkeypatch):
     assert key(nearest(df, df, 2, unlike=True)) == want
 
 
+def test_counts_within_radii_by_all_pairs(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(15, 3))[r.integers(0, 15, 500)] * 30 + r.normal(size=(500, 3))
+    x[50:200] = x[50]
+    y, radius = r.integers(0, 2, 500), r.choice([0.0, 0.5, 3.0, 30.0, 500.0, math.inf], 500)
+    df = points(spark, list(zip(y.tolist(), x.tolist(), strict=True)))
+    radii = spark.createDataFrame(list(enumerate(radius.tolist())), "row_id long, radius double")
+    d = np.sqrt(sum((x[:, None, c] - x[None, :, c]) ** 2 for c in range(3)))
+    same = y[:, None] == y[None, :]
+    inside = (d < radius[:, None]) & same & ~np.eye(500, dtype=bool)
+    want = {i: (int(inside[i].sum()), int(inside[:, i].sum()), float(np.where(same[i], d[i], 0).max())) for i in range(500)}
+    for block in (4096, 40):
+        monkeypatch.setattr(cells, "BLOCK", block)
+        compared = spark.sparkContext.accumulator(0)
+        got = {q["row_id"]: (q["n_within"], q["n_holding"], q["farthest"]) for q in within(df, radii, compared=compared).collect()}
+        assert got == want
+        assert compared.value < 0.25 * 500 * 500
+
+
 def plain_pruned(nodes, price, node=1):
     """Leaves of the cheapest subtree, and its cost."""
     counts = [c["n"] for c in nodes[node]["counts"]]
