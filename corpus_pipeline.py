@@ -48,10 +48,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     real = found.where(F.col("component").isNotNull())
     order = F.struct(F.col("~id").isNull().alias("none"), F.col("~id").alias("id"), F.col("~k").alias("k"))
     best = real.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.id").alias("~id"), F.col("m.k").alias("~k"))
-    empty = found.where(F.col("component").isNull()).select("~id", "~k")
-    keep = cut(best.union(empty).distinct())
+    best = best.select(F.col("~id").alias("~bid"), F.col("~k").alias("~bk"))
+    # pairs of id and digest that go are fewer than those that stay, and texts without words are never among them
+    goes = real.select("~id", "~k").distinct().join(best, F.col("~id").eqNullSafe(F.col("~bid")) & (F.col("~k") == F.col("~bk")), "left_anti")
+
     same = F.col("doc_id").eqNullSafe(F.col("~id")) & (F.col("~t") == F.col("~k"))
-    left = keyed.join(small_enough(keep), same, "left_semi")
+    left = keyed.join(small_enough(cut(goes)), same, "left_anti")
     # rows that are repeated whole are rare, so only they are shuffled
     shared = cut(real.groupBy("~id", "~k").count().where("count > 1").select("~id", "~k"))
     if not shared.isEmpty():
