@@ -2,7 +2,6 @@ import statistics
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from evenhand.operators import cells, comparison, ensemble, evaluation, hardness
 from evenhand.operators.learners import Forest, NearestCentroid, Tree
 from evenhand.operators.neighbours import nearest
 from evenhand.plans import catalog
+from evenhand.sources import staging
 from evenhand.sources.frame import imbalanced, validated
 from evenhand.streaming import score_stream
 
@@ -175,6 +175,22 @@ def test_models_too_large_to_be_sent(spark, monkeypatch):
         score_stream(model, df)
 
 
+def test_trees_that_rows_meet_in_groups(spark, monkeypatch):
+    """Scores, sums and leaves are the same by trees that are sent, in groups of trees and parts of rows, and by levels."""
+    df = points(spark, [(i * i % 7 // 3, [float(i * 7 % 11), float(i % 5), 1.0]) for i in range(60)]).withColumn("held", (F.col("row_id") % 3).cast("int"))
+    forest = Forest(5).fit(df, "held")
+    parts = lambda: (forest.probabilities(df, ("held",)), forest.probabilities(df), forest.model.probabilities(df, ("held",)), forest.model.leaves(df))
+    key = lambda found: [sorted(map(tuple, f.select(sorted(f.columns)).collect())) for f in found]
+    want = key(parts())
+    assert [len(w) > 0 for w in want] == [True] * 4
+    monkeypatch.setattr(trees, "MOST_NODES", 1)
+    monkeypatch.setattr(trees, "GROUP", 60)
+    monkeypatch.setattr(trees, "SMALL", 90)
+    assert key(parts()) == want
+    monkeypatch.setattr(trees, "LARGEST", 0)
+    assert key(parts()) == want
+
+
 def plain_tree(rows, depth=0):
     """(feature, low, high, cut, left, right) or the class counts of rows (x, y), by loops."""
     counts = {c: sum(y == c for _, y in rows) for c in {y for _, y in rows}}
@@ -226,6 +242,14 @@ def test_weights_count_as_rows(spark):
         Tree(max_depth=0)
 
 
+def test_few_bytes_with_much_work_are_spread(spark, tmp_path):
+    """Tasks that compute long over few bytes are not merged into one."""
+    rows = spark.range(100).withColumn("b", F.col("id") % 20)
+    staging.spread(rows, 3.2, "b").groupBy("b").applyInPandas(lambda part: part[:1], "id long, b long").write.parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) == 4
+    assert staging.spread(rows, 0.5, "b") is rows
+
+
 def clouds(n=1500, seed=1):
     r = np.random.default_rng(seed)
     x = r.normal(size=(25, 4))[r.integers(0, 25, n)] * 20 + r.normal(size=(n, 4))
