@@ -2,11 +2,12 @@ import statistics
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evenhand.operators import cells, comparison, ensemble, evaluation, hardness, ranking, sampling, trees
+from evenhand.operators import cells, comparison, ensemble, evaluation, hardness, neighbours, ranking, sampling, trees
 from evenhand.operators.learners import Forest, NearestCentroid, Tree
 from evenhand.operators.neighbours import nearest
 from evenhand.plans import catalog
@@ -250,6 +251,21 @@ def test_few_bytes_with_much_work_are_spread(spark, tmp_path):
     assert staging.spread(rows, 0.5, "b") is rows
 
 
+def test_counts_within_radii_at_ties():
+    """Radii that are distances of rows, equal rows and far offsets, by matrix products as by plain loops."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(60, 12)), np.repeat(r.normal(size=(1, 12)), 20, 0)]) + 1000.0
+    d = np.zeros((80, 80))
+    for c in range(12):
+        d += (x[:, c, None] - x[None, :, c]) ** 2
+    d = np.sqrt(d)
+    radius = np.where(np.arange(80) % 9 == 0, np.inf, d[np.arange(80), r.integers(0, 80, 80)])
+    got = pd.concat(neighbours._counted(np.arange(80), x, radius, np.arange(80), x)).groupby("row_id").agg({"n_within": "sum", "n_holding": "sum", "farthest": "max"})
+    inside = (d < radius[:, None]) & ~np.eye(80, dtype=bool)
+    assert got["n_within"].tolist() == inside.sum(1).tolist() and got["n_holding"].tolist() == inside.sum(0).tolist()
+    assert got["farthest"].tolist() == d.max(1).tolist()
+
+
 def clouds(n=1500, seed=1):
     r = np.random.default_rng(seed)
     x = r.normal(size=(25, 4))[r.integers(0, 25, n)] * 20 + r.normal(size=(n, 4))
