@@ -59,6 +59,23 @@ def test_spanning_tree_of_one_row_and_none(spark):
     assert hardness.spanning_tree(points(spark, [])).collect() == []
 
 
+def test_nearest_where_most_rows_look_into_no_other_cell(spark, monkeypatch):
+    """Of rows with copies the cells beyond are ruled out, so all batches but that of the last row have lists of nothing."""
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    df = points(spark, [(0, [100 * (i % 6), 0]) for i in range(1200)] + [(0, [149, 60])])
+    got = {r["query_id"]: (r["row_id"], r["d2"]) for r in nearest(df, df, 1, n_rows=1201, n_queries=1201).collect()}
+    assert got == {i: (i % 6 if i > 5 else i + 6, 0.0) for i in range(1200)} | {1200: (1, 49.0**2 + 60.0**2)}
+
+
+def test_spanning_tree_of_separate_clusters(spark, monkeypatch):
+    """More rows lie together than are known of a row, so components have to search again, and far."""
+    monkeypatch.setattr(cells, "BLOCK", 60)
+    r = np.random.default_rng(8)
+    data = [(0, (np.array([i % 9, i % 5]) * 1000 + r.integers(0, 9, 2)).tolist()) for i in range(300)]
+    df = points(spark, data)
+    assert {(e["a"], e["b"]) for e in hardness.spanning_tree(df).collect()} == plain_spanning_tree([x for _, x in data])
+
+
 def test_nearest_unlike_with_many_labels(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.normal(size=(12, 3))[r.integers(0, 12, 400)] * 30 + r.normal(size=(400, 3))
