@@ -61,6 +61,24 @@ def test_rule_statistics():
     assert score.argmax() == 300
 
 
+def test_rules_learn_from_all_labelled_documents(spark, monkeypatch):
+    """Of 13,000 labelled documents all grow a tree or set the cut-off, which is that of the plain definition."""
+    got = {}
+    calibrate, forest = rules.calibrate, rules.forest
+    monkeypatch.setattr(rules, "calibrate", lambda s, good, bad, most: got.setdefault("limit", (s, good, bad, calibrate(s, good, bad, most)))[3])
+    monkeypatch.setattr(rules, "forest", lambda grown, e: got.setdefault("forest", forest(grown, e)))
+    ids = spark.range(13_000)
+    docs = ids.selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', pmod(xxhash64(id, i), 9973), if(id % 13 = 0 AND i % 3 = 0, '##', '')))) AS text")
+    counts = rules.judge(docs, ids.selectExpr("id AS doc_id", "int(id % 13 > 0) AS quality")).groupBy("base_failed").count().collect()
+    assert [tuple(c) for c in counts] == [(False, 13_000)]
+    s, good, bad, limit = got["limit"]
+    assert got["forest"].feature.shape[0] == 200 and 6_000 < good.sum() + bad.sum() < 7_000
+    good, bad = np.repeat(s, good), np.repeat(s, bad)
+    floor = np.quantile(good, 1 - 0.005, method="higher")
+    tried = np.unique([*bad[bad > floor], np.nextafter(floor, 2)])
+    assert limit == tried[np.argmax([(bad >= c).mean() - (good >= c).mean() for c in tried])]
+
+
 def test_rules_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = rules.judge(docs, labels).toPandas()
