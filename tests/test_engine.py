@@ -55,6 +55,23 @@ def test_resampled_classes_have_the_target_size(spark):
     assert counts == {0: 18, 1: 18}
 
 
+def test_bags_of_all_settings_share_a_search_for_neighbours(spark, monkeypatch):
+    """One search for each fold, and bags as those of each setting alone."""
+    df = points(spark, [(0, [i, i * i % 37]) for i in range(60)] + [(1, [i + 0.5, 7 + i % 5]) for i in range(24)])
+    searched = []
+    monkeypatch.setattr(sampling, "nearest", lambda *a, **o: (searched.append(1), nearest(*a, **o))[1])
+    settings = [("a", "overlap", 0.2), ("b", "class_balance", 0.2), ("c", "overlap", 0.5)]
+    made, _ = ensemble.of_all_folds(df, settings, 2, 2)
+    assert len(searched) == 2
+    key = lambda d: sorted((r["held"], r["member_id"], r["label"], *r["features"]) for r in d.collect())
+    for one in settings[::2]:
+        alone = sampling.Resampler(one[1])
+        train, _ = evaluation.in_folds(df, 2, True, 42)
+        for held in range(2):
+            bag = ensemble.bags_of(alone.fit(train.where(F.col("held") == held).drop("held")), ensemble.mu_grid(spark, 2), one[2], 5).withColumn("held", F.lit(held))
+            assert key(made.where((F.col("name") == one[0]) & (F.col("held") == held))) == key(bag)
+
+
 def test_nearest_of_many_equal_rows(spark):
     df = points(spark, [(0, [i % 2 + 0.1, 0.7, 3.3]) for i in range(200)])
     for exclude in (True, False):
