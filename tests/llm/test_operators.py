@@ -228,6 +228,18 @@ def test_exact_repeats_that_go_on_from_a_common_start(spark, monkeypatch, part):
     assert not missed and all(got[i]["class_id"] == got[i + 1]["class_id"] for i in range(0, 160, 2))
 
 
+def test_changed_passages_that_a_large_group_shares_in_twos(spark):
+    """Two of many texts with a common start go on alike but for a word: the first and the last text of their group don't."""
+    least = lambda text: [int(np.argmin(minhash.mixed(windows.tokens_of(text) * s) | np.uint64(1))) for s in windows._SEEDS]
+    start = next(t for t in (prose(42, i) for i in range(700, 2000)) if max(least(t)) < 14)
+    tails = [prose(12, 800 + i // 2).split() if i < 80 else [] for i in range(100)]
+    for i in range(1, 80, 2):
+        tails[i][2] = "changed"
+    texts = [f"{prose(20, 1000 + i)} {start} {' '.join(tail)} {prose(20, 2000 + i)}" for i, tail in enumerate(tails)]
+    got = {r["doc_id"]: r for r in windows.duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i]["class_id"] == got[i + 1]["class_id"] and got[i]["n_dup_words"] >= 50 for i in range(0, 80, 2)) >= 38
+
+
 def test_nearest_recall_and_exclusions(spark):
     x = np.random.default_rng(5).normal(size=(400, 16))
     x[20] = x[21]
