@@ -228,6 +228,60 @@ def test_exact_repeats_that_go_on_from_a_common_start(spark, monkeypatch, part):
     assert not missed and all(got[i]["class_id"] == got[i + 1]["class_id"] for i in range(0, 160, 2))
 
 
+@pytest.mark.parametrize("part", [windows.PART_OF_HASH, 3])
+def test_windows_are_grouped_in_one_shuffle(spark, monkeypatch, part):
+    """Pairs and groups against plain loops over the windows; those of hashes beyond the limit are handed on whole."""
+    monkeypatch.setattr(windows, "PART_OF_HASH", part)
+    monkeypatch.setattr(windows, "ROWS_OF_GROUPS", 50)
+    texts = [f"{prose(20 + i, i)} {prose(60, 500 + i // 3)} {prose(30, 100 + i)} {prose(60, 500 + i // 3) if i % 4 == 0 else ''}" for i in range(60)] * 2
+    texts += [f"{prose(30, 300 + i)} {prose(60, 900)}" for i in range(20)]
+    found = windows.windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "text")
+    rows = {tuple(r) for r in found.where("least is not null").collect()}
+    got = windows.groups(found).collect()
+    often = {k for k in {r[0] for r in rows} if sum(r[0] == k for r in rows) > part}
+    handed = {(r["least"], r["tkey"], r["place"], r["before"], r["after"], r["context"]) for r in got if r["kind"] == "window"}
+    assert {r for r in rows if r[0] in often} <= handed and bool(handed) == (part == 3)
+    met = {}
+    for least, tkey, place, before, after, _ in rows - handed:
+        for side, mark in ((0, before), (1, after)):
+            if mark is not None:
+                met.setdefault((least, side, mark), {}).setdefault(tkey, set()).add(place)
+    met = [g for g in met.values() if len(g) > 1]
+    plain = [g for g in met if len(g) <= windows.MOST_TEXTS and all(len(p) == 1 for p in g.values())]
+    want = set()
+    for g in plain:
+        for a in g:
+            for b in g:
+                (x,), (y,) = g[a], g[b]
+                if a < b and min(x >> 8 & 255, y >> 8 & 255) + min(x & 255, y & 255) + 1 >= windows.AGREEING:
+                    want.add((a, b, (y >> 16) - (x >> 16)))
+    assert {(r["least"], r["tkey"], r["place"]) for r in got if r["kind"] == "pair"} == want and (want or part == 3)
+    left = {}
+    for r in got:
+        if r["kind"] == "group":
+            left.setdefault((r["least"], r["texts"]), {})[r["tkey"]] = tuple(sorted(r["places"]))
+    assert all(n == len(g) for (_, n), g in left.items())
+    want = sorted(sorted((t, tuple(sorted(p))) for t, p in g.items()) for g in met if g not in plain)
+    assert sorted(sorted(g.items()) for g in left.values()) == want
+    assert {(r["tkey"], r["place"]) for r in got if r["kind"] == "size"} == {(r["tkey"], r["place"]) for r in found.where("least is null").collect()}
+
+
+def test_strange_tokens_of_many_rows_at_once():
+    draw = np.random.default_rng(12)
+    side = windows.LONGEST - 1
+    rows, want = [], []
+    for i in range(300):
+        a = draw.integers(-60, 60, draw.integers(1, 400)).astype(np.int32)
+        b = np.r_[a[draw.integers(0, len(a)) :], a].astype(np.int32) if i % 2 else draw.integers(-60, 60, draw.integers(1, 400)).astype(np.int32)
+        x, y = (draw.integers(0, len(t), 1 + (draw.random() < 0.2)) for t in (a, b))
+        la, lb = max(0, x.min() - side), max(0, y.min() - side - windows.APART)
+        rows.append((x << 16, a[la : x.max() + side + 1], y << 16, b[lb : y.max() + side + 1 + windows.APART], la, len(a), lb, len(b)))
+        want.append(sorted(windows.strange_tokens(a, x, b, y).tolist()))
+    lists = [(np.concatenate(c), np.r_[0, np.cumsum([len(v) for v in c])]) for c in list(zip(*rows, strict=True))[:4]]
+    values, ends = windows.strange_lists(*lists, *(np.array(c) for c in list(zip(*rows, strict=True))[4:]))
+    assert [sorted(values[m:n].tolist()) for m, n in zip(ends[:-1], ends[1:], strict=True)] == want and any(want)
+
+
 def test_changed_passages_that_a_large_group_shares_in_twos(spark):
     """Two of many texts with a common start go on alike but for a word: the first and the last text of their group don't."""
     least = lambda text: [int(np.argmin(minhash.mixed(windows.tokens_of(text) * s) | np.uint64(1))) for s in windows._SEEDS]
