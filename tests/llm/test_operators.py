@@ -266,6 +266,14 @@ def test_windows_are_grouped_in_one_shuffle(spark, monkeypatch, part):
     assert {(r["tkey"], r["place"]) for r in got if r["kind"] == "size"} == {(r["tkey"], r["place"]) for r in found.where("least is null").collect()}
 
 
+def test_groups_with_the_same_texts_and_places_are_met_once(spark):
+    kinds = "key long, tkey long, places array<long>, context long, texts int"
+    rows = spark.createDataFrame([(k, t, p, 0, 2) for k, g in enumerate(([(1, [5, 6]), (2, [7])], [(2, [7]), (1, [6, 5])], [(1, [5]), (2, [7])], [(1, [5, 6]), (3, [7])])) for t, p in g], kinds)
+    left, known = windows.fresh(rows)
+    assert {r["key"] for r in left.collect()} == {0, 2, 3} and left.count() == 6
+    assert windows.fresh(rows.where("key = 1"), known)[0].isEmpty()
+
+
 def test_strange_tokens_of_many_rows_at_once():
     draw = np.random.default_rng(12)
     side = windows.LONGEST - 1
