@@ -302,6 +302,35 @@ def test_changed_passages_that_a_large_group_shares_in_twos(spark):
     assert sum(got[i]["class_id"] == got[i + 1]["class_id"] and got[i]["n_dup_words"] >= 50 for i in range(0, 80, 2)) >= 38
 
 
+def test_near_copies_of_a_passage_are_compared_in_twos(spark, monkeypatch):
+    """40 texts share a passage, each with other words changed: a hub would lack tokens in every round, so groups of nearly all of
+    them would follow. All pairs are compared instead, and what each text has in common with any other is found."""
+    monkeypatch.setattr(windows, "lacking", None)
+    passage, r = prose(70, 77).split(), random.Random(3)
+    texts = []
+    for i in range(40):
+        words = list(passage)
+        for at in r.sample(range(70), 3):
+            words[at] = f"changed{i}x{at}"
+        texts.append(f"{prose(20 + i, 3000 + i)} {' '.join(words)} {prose(30, 4000 + i)}")
+    got = {x["doc_id"]: {w for s in x["spans"] for w in range(s["x"], s["y"])} for x in windows.duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    tokens = [windows.tokens_of(t).astype(np.uint32).view(np.int32) for t in texts]
+    want = {i: set() for i in range(40)}
+    for i in range(40):
+        for j in range(i):
+            for k, spans in zip((i, j), windows.passages(tokens[i], tokens[j], [j - i]), strict=True):
+                want[k] |= {w for x, y in spans for w in range(x, y)}
+    assert sum(len(w) for w in want.values()) > 1000 and got == want
+
+
+def test_pairs_of_a_cluster_are_dealt_out_together(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PAIRS", 100)
+    rows = [(100 * c + i, 100 * c + j, [c]) for c in range(5) for j in range(20) for i in range(j)]
+    got = windows.dealt_pairs(spark.createDataFrame(rows, "a long, b long, offsets array<int>")).collect()
+    assert sorted((r["a"], r["b"], r["offsets"]) for r in got) == sorted(rows)
+    assert len({(r["deal"], r["part"], r[c]) for r in got for c in "ab"}) <= 5 * 20 * 2 and len({(r["deal"], r["part"]) for r in got}) >= 4
+
+
 def test_nearest_recall_and_exclusions(spark):
     x = np.random.default_rng(5).normal(size=(400, 16))
     x[20] = x[21]
