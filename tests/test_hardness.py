@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand.operators import cells, hardness
+from evenhand.operators import cells, hardness, neighbours
 from evenhand.operators.learners import NaiveBayes, Tree
 from evenhand.operators.neighbours import nearest, within
 from evenhand.operators.trees import TreeModel
@@ -105,6 +105,26 @@ def test_counts_within_radii_by_all_pairs(spark, monkeypatch):
         assert compared.value < 0.25 * 500 * 500
 
 
+def test_searches_write_no_pairs_of_rows_and_blocks(spark, monkeypatch):
+    """Vectors without structure need all blocks; each row is dealt out once, to its home, and no row for every block."""
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "HELD", 1 << 14)  # blocks are held in several parts
+    dealt, meet = [], neighbours._meet
+    monkeypatch.setattr(neighbours, "_meet", lambda q, counts, r: (dealt.append(q.count()), meet(q, counts, r))[1])
+    x = np.random.default_rng(6).normal(size=(700, 12))
+    df = points(spark, [(i % 2, v) for i, v in enumerate(x.tolist())])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    compared = spark.sparkContext.accumulator(0)
+    got = {(r["query_id"], r["rank"]): r["row_id"] for r in nearest(df, df, 3, compared=compared).collect()}
+    assert got == {(i, rank + 1): int(j) for i in range(700) for rank, j in enumerate(np.argsort(d[i])[:3])}
+    assert sum(dealt) <= 700 and compared.value > 0.5 * 700 * 700
+    radius = np.sqrt(np.median(d, axis=1))
+    found = {r["row_id"]: (r["n_within"], r["n_holding"]) for r in within(df, spark.createDataFrame(list(enumerate(radius.tolist())), "row_id long, radius double")).collect()}
+    inside = (np.sqrt(d) < radius[:, None]) & ((np.arange(700)[:, None] - np.arange(700)) % 2 == 0)
+    assert found == {i: (int(inside[i].sum()), int(inside[:, i].sum())) for i in range(700)} and sum(dealt) <= 700
+
+
 def plain_pruned(nodes, price, node=1):
     """Leaves of the cheapest subtree, and its cost."""
     counts = [c["n"] for c in nodes[node]["counts"]]
