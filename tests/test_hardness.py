@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -125,6 +126,18 @@ def test_searches_write_no_pairs_of_rows_and_blocks(spark, monkeypatch):
     assert found == {i: (int(inside[i].sum()), int(inside[:, i].sum())) for i in range(700)} and sum(dealt) <= 700
 
 
+def test_tables_of_a_search_go_when_nothing_reads_them(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 50)
+    written = []
+    for module in (neighbours, hardness):
+        monkeypatch.setattr(module, "cut", lambda df, made=module.cut: (written.append(made(df)), written[-1])[1])
+    df = points(spark, [(i % 2, v) for i, v in enumerate(np.random.default_rng(7).normal(size=(300, 4)).tolist())])
+    found = hardness._friends_and_enemies(df)
+    left = [t.path for t in written if os.path.exists(t.path)]
+    wide = [t.path for t in written if {"features", "points", "rows"} & set(t.columns)]
+    assert len(wide) > 10 and not set(wide) & set(left) and found.path in left and found.count() == 300
+
+
 def plain_pruned(nodes, price, node=1):
     """Leaves of the cheapest subtree, and its cost."""
     counts = [c["n"] for c in nodes[node]["counts"]]
