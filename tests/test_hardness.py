@@ -120,10 +120,16 @@ def test_searches_write_no_pairs_of_rows_and_blocks(spark, monkeypatch):
     got = {(r["query_id"], r["rank"]): r["row_id"] for r in nearest(df, df, 3, compared=compared).collect()}
     assert got == {(i, rank + 1): int(j) for i in range(700) for rank, j in enumerate(np.argsort(d[i])[:3])}
     assert sum(dealt) <= 700 and compared.value > 0.5 * 700 * 700
+    # blocks hold cells of both labels; only rows of the own one count
+    by_label = {(r["query_id"], r["rank"]): r["row_id"] for r in nearest(df, df, 2, by=["label"]).collect()}
+    apart = np.where((np.arange(700)[:, None] - np.arange(700)) % 2 == 0, d, np.inf)
+    assert by_label == {(i, rank + 1): int(j) for i in range(700) for rank, j in enumerate(np.argsort(apart[i])[:2])}
+    dealt.clear()
     radius = np.sqrt(np.median(d, axis=1))
-    found = {r["row_id"]: (r["n_within"], r["n_holding"]) for r in within(df, spark.createDataFrame(list(enumerate(radius.tolist())), "row_id long, radius double")).collect()}
+    found = {r["row_id"]: (r["n_within"], r["n_holding"], round(r["farthest"], 9)) for r in within(df, spark.createDataFrame(list(enumerate(radius.tolist())), "row_id long, radius double")).collect()}
     inside = (np.sqrt(d) < radius[:, None]) & ((np.arange(700)[:, None] - np.arange(700)) % 2 == 0)
-    assert found == {i: (int(inside[i].sum()), int(inside[:, i].sum())) for i in range(700)} and sum(dealt) <= 700
+    farthest = np.sqrt(np.where(np.isfinite(apart), apart, 0).max(1))
+    assert found == {i: (int(inside[i].sum()), int(inside[:, i].sum()), round(float(farthest[i]), 9)) for i in range(700)} and not dealt
 
 
 def test_tables_of_a_search_go_when_nothing_reads_them(spark, monkeypatch):
